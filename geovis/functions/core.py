@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,3 +24,18 @@ def unfold(df: DataFrame, keys: str | list[str], items: Column, name: str) -> Da
     """
     keys = [keys] if isinstance(keys, str) else keys
     return df.select(*keys, F.posexplode_outer(items).alias("ord", name)).filter(F.col("ord").isNotNull())
+
+
+def built_once(build: Callable) -> Callable:
+    """Keep the Columns that `build` returns for its (plain text) arguments. Building a long
+    expression takes thousands of calls into the JVM, and it is the same for every table."""
+    kept: dict = {}
+
+    @functools.wraps(build)
+    def cached(*names: str):
+        key = (id(SparkContext._active_spark_context), *names)
+        if key not in kept:
+            kept[key] = build(*names)
+        return kept[key]
+
+    return cached

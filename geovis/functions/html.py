@@ -41,7 +41,8 @@ SHELL_MIN_TEXT = 500
 def decode_entities(text: Column) -> Column:
     """Resolve named and numeric character references. Only references that occur are replaced;
     the ampersand comes last, so that an escaped reference stays text."""
-    known = F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair])
+    listed = "\t".join(f"{name}={char}" for name, char in ENTITIES.items())
+    known = F.str_to_map(F.lit(listed), F.lit("\t"), F.lit("="))
 
     def char(ref):
         number = F.regexp_extract(ref, r"^&#(\d+);$", 1)
@@ -103,19 +104,15 @@ def has_attr(tag: Column, name: str) -> Column:
     return tag.rlike(rf"(?i)\s{name}(?:[\s=/>]|\z)")
 
 
-def attr(tag: Column, name: str) -> Column:
-    """Decoded attribute value, "" when the attribute is missing or empty."""
+def raw_attr(tag: Column, name: str) -> Column:
+    """Attribute value as written, "" when the attribute is missing or empty."""
     raw = F.regexp_extract(tag, rf"""(?i)\s{name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", 1)
-    bare = let(
-        raw, lambda r: F.when(r.rlike("""^["']"""), r.substr(F.lit(2), F.length(r) - 2)).otherwise(r)
-    )
-    return decode_entities(bare)
+    return F.regexp_replace(raw, r"""(?s)^(["'])(.*)\1$""", "$2")
 
 
-def first_attr(tag_list: Column, keep, name: str) -> Column:
-    """The attribute of the first tag that `keep` accepts, null when it has none."""
-    found = F.get(F.filter(tag_list, lambda t: keep(t)), F.lit(0))
-    return let(found, lambda t: F.when(has_attr(t, name), attr(t, name)))
+def attr(tag: Column, name: str) -> Column:
+    """Decoded attribute value."""
+    return decode_entities(raw_attr(tag, name))
 
 
 def first_title(head: Column) -> Column:

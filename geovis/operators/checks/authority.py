@@ -2,12 +2,14 @@
 
 from pyspark.sql import functions as F
 
+from geovis.functions.core import built_once
 from geovis.operators.checks.registry import Check, describe, graded
 
 C = "authority"
 c = F.col
 
 
+@built_once
 def checks() -> list[Check]:
     """The authority checks."""
     no_brand = c("brand") == ""

@@ -2,12 +2,14 @@
 
 from pyspark.sql import functions as F
 
+from geovis.functions.core import built_once
 from geovis.operators.checks.registry import Check, describe, graded, yes_no
 
 C = "content"
 c = F.col
 
 
+@built_once
 def checks() -> list[Check]:
     """The content checks."""
     h1 = F.when(c("h1_count") == 1, 2).when(c("h1_count") > 1, 1).otherwise(0)

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from geovis.functions.core import built_once
 from geovis.operators.checks.registry import Check, describe, graded, yes_no
 from geovis.operators.robots import AI_BOTS
 
@@ -23,6 +24,7 @@ BOT_LABELS = {
 }
 
 
+@built_once
 def checks() -> list[Check]:
     """The foundation checks."""
     https = (c("protocol") == "https") & (F.coalesce(c("home_status"), F.lit(0)) == 200)

@@ -2,12 +2,14 @@
 
 from pyspark.sql import functions as F
 
+from geovis.functions.core import built_once
 from geovis.operators.checks.registry import Check, describe, graded, yes_no
 
 C = "geo_triptych"
 c = F.col
 
 
+@built_once
 def checks() -> list[Check]:
     """The answer-engine file checks."""
     structure = F.when(c("has_llms"), c("llms_points")).otherwise(0)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from geovis.functions import html as H
 from geovis.functions import text as T
 from geovis.functions import urls as U
-from geovis.functions.core import unfold
+from geovis.functions.core import built_once, unfold
 from geovis.operators import jsonld as J
 from geovis.operators import robots as R
 from geovis.operators import sitemaps as S
@@ -47,6 +47,11 @@ MAP_EMBED = r"google\.com/maps/embed|maps\.google\.com/maps"
 MAP_LINK = r"maps\.google\.com|goo\.gl/maps|maps\.app\.goo\.gl"
 TITLE_SEPARATOR = r"(?s)\A(.*?)\s*[|·•—-]"
 
+SOURCE_FACTS = [
+    "language_hint", "travel_site", "has_blog", "has_faq_words", "social_profiles", "map_embed",
+    "map_link", "bot_wall",
+]
+
 # Kinds of outside sources a brand is looked up in.
 SEARCH_KINDS = ["press", "reddit", "reviews", "sectoral"]
 
@@ -121,25 +126,33 @@ def brand_name(schema_name: Column, og: Column, title: Column, url: Column) -> C
     return F.coalesce(schema_name, site_name, by_title, by_host)
 
 
-def page_facts(sites: DataFrame, now: str) -> DataFrame:
-    """Everything that can be read within a site's own row. `now` is an ISO timestamp."""
+@built_once
+def _resource_columns() -> list[dict[str, Column]]:
     html = F.coalesce(F.col("home_html"), F.lit(""))
-    source = source_facts(html)
     sitemap, llms = F.col("sitemap_xml"), F.col("llms_txt")
-    cells = (
-        sites.withColumns(source)
-        .withColumn("_blocks", J.raw_blocks(H.strip_comments(html)))
-        .withColumn("_parsed", J.parsed(F.col("_blocks")))
-        .withColumn("_objects", J.summary(J.objects(F.col("_parsed"))))
-        .withColumn("_rules", R.rules(F.col("robots_txt")))
-        .withColumn("_entries", S.entries(sitemap))
-        .withColumn("_children", S.children(sitemap))
-        .withColumn("_llms", S.llms_structure(llms))
-        .withColumn("_llms_links", S.llms_links(llms))
-        .withColumn("_depth", S.depth_stats(F.col("_entries")))
-    )
-    paged = page_signals(cells, url="url", html="home_html")
-    entries = F.col("_entries")
+    every_bot = [bot for bots in R.AI_BOTS.values() for bot in bots]
+    return [
+        {
+            **source_facts(html),
+            "_blocks": J.raw_blocks(H.strip_comments(html)),
+            "_rules": R.rules(F.col("robots_txt")),
+            "_entries": S.entries(sitemap),
+            "_children": S.children(sitemap),
+            "_llms": S.llms_structure(llms),
+            "_llms_links": S.llms_links(llms),
+        },
+        {
+            "_parsed": J.parsed(F.col("_blocks")),
+            "_bots": R.bot_states(F.col("_rules"), every_bot),
+            "_depth": S.depth_stats(F.col("_entries")),
+        },
+        {"_objects": J.summary(J.objects(F.col("_parsed")))},
+    ]
+
+
+@built_once
+def _fact_columns(now: str) -> list[Column]:
+    sitemap, entries = F.col("sitemap_xml"), F.col("_entries")
     has_text = {
         name: F.coalesce(F.col(column), F.lit("")) != ""
         for name, column in {
@@ -147,8 +160,10 @@ def page_facts(sites: DataFrame, now: str) -> DataFrame:
         }.items()
     }
     questions = F.filter(F.col("answers"), lambda a: T.is_question(a.heading))
-    h2_h3 = F.concat(F.col("h2"), F.col("h3"))
-    reading = T.readability(F.col("text"))
+    counted = {
+        "answer_questions": F.size(questions),
+        "direct_answers": F.size(F.filter(questions, lambda a: T.opens_like_answer(a.answer))),
+    }
     facts = {
         # resources
         "has_sitemap_text": has_text["sitemap"],
@@ -183,14 +198,13 @@ def page_facts(sites: DataFrame, now: str) -> DataFrame:
         "title_length": T.js_length(F.coalesce("title", F.lit(""))),
         "description_length": T.js_length(F.coalesce("description", F.lit(""))),
         "hreflang_count": F.size("hreflang"),
-        "heading_questions": F.size(F.filter(h2_h3, T.is_question)),
+        "heading_questions": F.size(F.filter(F.concat("h2", "h3"), T.is_question)),
         "h2_questions": F.size(F.filter(F.col("h2"), T.is_question)),
-        "answer_questions": F.size(questions),
-        "direct_answers": F.size(F.filter(questions, lambda a: T.opens_like_answer(a.answer))),
+        **counted,
         "image_count": F.col("images.total"),
         "image_alt_count": F.col("images.with_meaningful_alt"),
         "home_words": F.col("words"),
-        "reading": reading,
+        "reading": T.readability(F.col("text")),
         "language": page_language(F.col("lang"), F.col("og")),
         "sample_urls": sample_links(F.col("links"), F.col("url_normalized")),
         # JSON-LD
@@ -199,17 +213,26 @@ def page_facts(sites: DataFrame, now: str) -> DataFrame:
         **schema_facts(F.col("_objects")),
     }
     for check_id, bots in R.AI_BOTS.items():
-        facts[f"{check_id}_allowed"] = R.any_bot_allowed(F.col("_rules"), bots)
-        facts[f"{check_id}_named"] = R.any_bot_named(F.col("_rules"), bots)
-    base = paged.withColumn("url_normalized", U.site_url(F.col("url")))
+        facts[f"{check_id}_allowed"] = R.any_bot(F.col("_bots"), "allowed", bots)
+        facts[f"{check_id}_named"] = R.any_bot(F.col("_bots"), "explicit", bots)
+    return [column.alias(name) for name, column in facts.items()]
+
+
+def page_facts(sites: DataFrame, now: str) -> DataFrame:
+    """Everything that can be read within a site's own row. `now` is an ISO timestamp."""
+    cells = sites
+    for columns in _resource_columns():
+        cells = cells.withColumns(columns)
+    paged = page_signals(cells, url="url", html="home_html").withColumn(
+        "url_normalized", U.site_url(F.col("url"))
+    )
     kept = [
         "site_id", "url", "url_normalized", "home_status", "home_method", "http_probe_ok", "title",
-        "viewport", "og", "is_shell", *source,
+        "viewport", "og", "is_shell", *SOURCE_FACTS,
     ]
-    named = base.select(*kept, *[c.alias(n) for n, c in facts.items()])
-    return named.withColumn(
-        "brand", brand_name(F.col("brand_in_schema"), F.col("og"), F.col("title"), F.col("url"))
-    ).drop("og")
+    named = paged.select(*kept, *_fact_columns(now))
+    brand = brand_name(F.col("brand_in_schema"), F.col("og"), F.col("title"), F.col("url"))
+    return named.withColumn("brand", brand).drop("og")
 
 
 def page_measures(pages: DataFrame, keep: tuple | list = ()) -> DataFrame:

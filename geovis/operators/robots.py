@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geovis.functions.core import unfold
+from geovis.functions.core import let, unfold
 from geovis.functions.text import js_trim
 
 # Crawlers of the four answer providers, by check.
@@ -78,44 +78,34 @@ def sitemap_lines(text: Column) -> Column:
     return F.transform(F.filter(every, lambda f: f.key == "sitemap"), lambda f: f.value)
 
 
-def _blocks_all(rule_list: Column, agent: str, rfc_empty_disallow: bool) -> Column:
-    """The agent's own rules close the whole site. An empty Disallow counts as closing it unless
-    `rfc_empty_disallow` is set."""
-    whole = ["/"] if rfc_empty_disallow else ["/", ""]
+def bot_states(rule_list: Column, bots: list[str], rfc_empty_disallow: bool = False) -> Column:
+    """array(struct(bot, explicit, allowed)): the bot's own block decides; else the block for all
+    agents; else it is allowed. A block that closes the whole site counts unless it also opens it.
+    An empty Disallow closes the site unless `rfc_empty_disallow` is set."""
+    closing = ["/"] if rfc_empty_disallow else ["/", ""]
 
-    def any_rule(kind, values):
-        return F.exists(
-            rule_list, lambda r: (r.agent == agent) & (r.kind == kind) & r.value.isin(*values)
-        )
-
-    return any_rule("disallow", whole) & ~any_rule("allow", ["/", ""])
-
-
-def names_agent(rule_list: Column, agent: str) -> Column:
-    return F.exists(rule_list, lambda r: r.agent == agent)
+    def state(bot):
+        def decide(own):
+            agent = F.when(own, bot).otherwise("*")
 
+            def any_rule(kind, values):
+                return F.exists(
+                    rule_list, lambda r: (r.agent == agent) & (r.kind == kind) & r.value.isin(*values)
+                )
 
-def bot_allowed(rule_list: Column, agent: str, rfc_empty_disallow: bool = False) -> Column:
-    """The agent's own block decides; else the block for all agents; else allowed."""
-    return (
-        F.when(names_agent(rule_list, agent), ~_blocks_all(rule_list, agent, rfc_empty_disallow))
-        .when(names_agent(rule_list, "*"), ~_blocks_all(rule_list, "*", rfc_empty_disallow))
-        .otherwise(F.lit(True))
-    )
+            return F.struct(
+                bot.alias("bot"), own.alias("explicit"),
+                (~any_rule("disallow", closing) | any_rule("allow", ["/", ""])).alias("allowed"),
+            )
 
+        return let(F.exists(rule_list, lambda r: r.agent == bot), decide)
 
-def any_bot_allowed(rule_list: Column, agents: list[str]) -> Column:
-    out = F.lit(False)
-    for agent in agents:
-        out = out | bot_allowed(rule_list, agent)
-    return out
+    return F.transform(F.array(*[F.lit(b) for b in bots]), state)
 
 
-def any_bot_named(rule_list: Column, agents: list[str]) -> Column:
-    out = F.lit(False)
-    for agent in agents:
-        out = out | names_agent(rule_list, agent)
-    return out
+def any_bot(states: Column, field: str, bots: list[str]) -> Column:
+    """Whether `field` (explicit or allowed) holds for any of the bots."""
+    return F.exists(states, lambda s: s.bot.isin(*bots) & s[field])
 
 
 def robots_rules(resources: DataFrame, key: str = "site_id", text: str = "robots_txt") -> DataFrame:
@@ -129,14 +119,4 @@ def bot_access(
 ) -> DataFrame:
     """Long table (key, bot, explicit, allowed)."""
     staged = resources.select(key, rules(F.col(text)).alias("_rules"))
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(bot).alias("bot"),
-                names_agent(F.col("_rules"), bot).alias("explicit"),
-                bot_allowed(F.col("_rules"), bot, rfc_empty_disallow).alias("allowed"),
-            )
-            for bot in bots
-        ]
-    )
-    return staged.select(key, F.inline_outer(rows))
+    return staged.select(key, F.inline_outer(bot_states(F.col("_rules"), bots, rfc_empty_disallow)))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from geovis.functions import html as H
 from geovis.functions import text as T
 from geovis.functions import urls as U
-from geovis.functions.core import let, unfold
+from geovis.functions.core import built_once, let, unfold
 
 _ANSWER = (
     r"(?is)<h[23]\b[^>]*>(.*?)(?:</h[23]\s*>|\z)"
@@ -17,17 +17,13 @@ _ANSWER = (
 )
 
 
-def prefixed_map(meta_tags: Column, key_attr: str, prefix: str) -> Column:
+def prefixed_map(metas: Column, key: str, prefix: str) -> Column:
     """Map of prefixed meta tags without the prefix; the last value wins, empties are dropped."""
+    named = F.filter(metas, lambda m: m[key].startswith(prefix) & (m[key] != prefix) & (m.content != ""))
     pairs = F.transform(
-        meta_tags,
-        lambda t: F.struct(H.attr(t, key_attr).alias("key"), H.attr(t, "content").alias("value")),
+        named, lambda m: F.struct(m[key].substr(len(prefix) + 1, 1000).alias("key"), m.content.alias("value"))
     )
-    named = F.filter(pairs, lambda p: p.key.startswith(prefix) & (p.value != ""))
-    cut = F.transform(
-        named, lambda p: F.struct(p.key.substr(len(prefix) + 1, 1000).alias("key"), p.value.alias("value"))
-    )
-    return F.map_from_entries(F.filter(cut, lambda p: p.key != ""))
+    return F.map_from_entries(pairs)
 
 
 def heading_answers(markup: Column) -> Column:
@@ -76,55 +72,69 @@ def internal_links(markup: Column, base_origin: Column) -> Column:
     return let(F.struct(base_origin.alias("origin"), U.host(base_origin).alias("host")), of_site)
 
 
+def _meta_fields(tag: Column) -> Column:
+    return F.struct(
+        H.raw_attr(tag, "name").alias("name"),
+        H.raw_attr(tag, "property").alias("property"),
+        F.when(H.has_attr(tag, "content"), H.attr(tag, "content")).alias("content"),
+    )
+
+
+def _link_fields(tag: Column) -> Column:
+    return F.struct(
+        H.raw_attr(tag, "rel").alias("rel"),
+        H.raw_attr(tag, "hreflang").alias("lang"),
+        F.when(H.has_attr(tag, "href"), H.attr(tag, "href")).alias("href"),
+    )
+
+
+@built_once
+def _markup_columns() -> list[dict[str, Column]]:
+    markup = F.col("_markup")
+    quiet = H.drop_elements(markup, "noscript")
+    return [
+        {"_markup": H.drop_elements(F.col("_plain"), "script", "style")},
+        {
+            "_head": H.head_part(markup),
+            "_visible": H.body_part(H.drop_elements(markup, "noscript", "svg")),
+            "_main": H.body_part(H.drop_elements(quiet, "nav", "header", "footer")),
+            "_metas": F.transform(H.tags(markup, "meta"), _meta_fields),
+            "_links": F.transform(H.tags(markup, "link"), _link_fields),
+            "_html": F.get(H.tags(markup, "html"), F.lit(0)),
+        },
+    ]
+
+
 def with_markup(pages: DataFrame, html: str = "html") -> DataFrame:
     """Add the cleaned forms of a page that the signals read, each computed once."""
-    return (
-        pages.withColumn("_plain", H.strip_comments(F.coalesce(F.col(html), F.lit(""))))
-        .withColumn("_markup", H.drop_elements(F.col("_plain"), "script", "style"))
-        .withColumns(
-            {
-                "_head": H.head_part(F.col("_markup")),
-                "_visible": H.body_part(H.drop_elements(F.col("_markup"), "noscript", "svg")),
-                "_main": H.body_part(
-                    H.drop_elements(
-                        H.drop_elements(F.col("_markup"), "noscript"), "nav", "header", "footer"
-                    )
-                ),
-                "_meta": H.tags(F.col("_markup"), "meta"),
-                "_link": H.tags(F.col("_markup"), "link"),
-                "_html": F.get(H.tags(F.col("_markup"), "html"), F.lit(0)),
-            }
-        )
-    )
+    out = pages.withColumn("_plain", H.strip_comments(F.coalesce(F.col(html), F.lit(""))))
+    for columns in _markup_columns():
+        out = out.withColumns(columns)
+    return out
 
 
-def page_signals(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """`pages` without its HTML, plus one column per signal."""
-    meta, link = F.col("_meta"), F.col("_link")
+@built_once
+def _signal_columns(url: str, html: str) -> list[Column]:
+    metas, links = F.col("_metas"), F.col("_links")
 
     def text(column):
         return T.collapse_space(H.decode_entities(H.strip_tags(F.col(column))))
 
-    staged = with_markup(pages, html)
+    def first(items, test):
+        return F.get(F.filter(items, test), F.lit(0))
+
+    alternates = F.filter(
+        links, lambda t: (t.rel == "alternate") & (t.lang != "") & (F.coalesce(t.href, F.lit("")) != "")
+    )
     signals = {
         "title": H.first_title(F.col("_head")),
-        "description": T.js_trim(
-            H.first_attr(meta, lambda t: H.attr(t, "name") == "description", "content")
-        ),
-        "canonical": H.first_attr(link, lambda t: H.attr(t, "rel") == "canonical", "href"),
-        "viewport": H.first_attr(meta, lambda t: H.attr(t, "name") == "viewport", "content"),
-        "lang": F.when(H.has_attr(F.col("_html"), "lang"), H.attr(F.col("_html"), "lang")),
-        "og": prefixed_map(meta, "property", "og:"),
-        "twitter": prefixed_map(meta, "name", "twitter:"),
-        "hreflang": F.filter(
-            F.transform(
-                F.filter(link, lambda t: H.attr(t, "rel") == "alternate"),
-                lambda t: F.struct(
-                    H.attr(t, "hreflang").alias("lang"), H.attr(t, "href").alias("href")
-                ),
-            ),
-            lambda p: (p.lang != "") & (p.href != ""),
-        ),
+        "description": T.js_trim(first(metas, lambda m: m["name"] == "description")["content"]),
+        "canonical": first(links, lambda t: t.rel == "canonical")["href"],
+        "viewport": first(metas, lambda m: m["name"] == "viewport")["content"],
+        "lang": F.when(H.has_attr(F.col("_html"), "lang"), H.raw_attr(F.col("_html"), "lang")),
+        "og": prefixed_map(metas, "property", "og:"),
+        "twitter": prefixed_map(metas, "name", "twitter:"),
+        "hreflang": F.transform(alternates, lambda t: F.struct(t.lang.alias("lang"), t.href.alias("href"))),
         "h1": H.element_texts(F.col("_markup"), "h1"),
         "h2": H.element_texts(F.col("_markup"), "h2"),
         "h3": H.element_texts(F.col("_markup"), "h3"),
@@ -136,8 +146,13 @@ def page_signals(pages: DataFrame, url: str = "url", html: str = "html") -> Data
         "words": T.count_words(text("_main")),
         "is_shell": H.is_shell(F.col(html)),
     }
+    return [column.alias(name) for name, column in signals.items()]
+
+
+def page_signals(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """`pages` without its HTML, plus one column per signal."""
     kept = [c for c in pages.columns if c != html]
-    return staged.select(*kept, *[c.alias(n) for n, c in signals.items()])
+    return with_markup(pages, html).select(*kept, *_signal_columns(url, html))
 
 
 def page_language(lang: Column, og: Column) -> Column:
