@@ -225,8 +225,8 @@ SELECT page_id, 'llms', CASE WHEN page_id % 6 = 5 THEN 410 ELSE 200 END, coalesc
 # An audit per conversation, a question and its answer per assistant turn.
 ANSWER_SQL = """
 SELECT conv_id * 1000 + turn AS response_id, conv_id AS audit_id,
-  CAST((turn - 1) / 2 AS INT) + 1 AS position,
-  CASE CAST(conv_id + turn / 2 AS BIGINT) % 4 WHEN 0 THEN 'openai' WHEN 1 THEN 'anthropic' WHEN 2 THEN 'perplexity' ELSE 'gemini' END AS provider,
+  CAST(floor((turn - 1) / 2) AS INT) + 1 AS position,
+  CASE CAST(conv_id + floor(turn / 2) AS BIGINT) % 4 WHEN 0 THEN 'openai' WHEN 1 THEN 'anthropic' WHEN 2 THEN 'perplexity' ELSE 'gemini' END AS provider,
   CASE WHEN (conv_id + turn) % 13 = 0 THEN '' ELSE
     text || CASE WHEN conv_id % 4 = 0 THEN ' Voir https://www.maison' || CAST(conv_id AS STRING) || '.fr/a, Supplier#000000001 et Supplier#000000007.' ELSE '' END END AS text,
   CASE WHEN (conv_id + turn) % 17 = 0 THEN 'HTTP 503' ELSE NULL END AS error

@@ -185,7 +185,7 @@ sig AS (SELECT *,
   {keep('links_', "x.rel = 'alternate' AND x.lang <> '' AND x.href <> ''")} AS hreflang,
   {heads('h1')} AS h1, {heads('h2')} AS h2, {heads('h3')} AS h3, {heads('h4')} AS h4,
   {each(find_all('m', _ANSWER, 1), clean('x'))} AS ah,
-  {each(find_all('m', _ANSWER, 2), clean('x'))} AS ap, {each(find_all('m', _ANSWER, 3), clean('x'))} AS ad,
+  {each(find_all('m', _ANSWER, 2), clean("coalesce(x, '')"))} AS ap, {each(find_all('m', _ANSWER, 3), clean("coalesce(x, '')"))} AS ad,
   {tags('m', 'img')} AS imgs,
   {collapse(decode(sub(body(drop('m', 'noscript', 'svg')), TAG)))} AS vtext,
   {collapse(decode(sub(body(drop(drop('m', 'noscript'), 'nav', 'header', 'footer')), TAG)))} AS mtext
@@ -288,9 +288,6 @@ rules AS (SELECT site_id, v AS agent, 'agent' AS kind, '' AS value FROM pairs WH
   UNION ALL SELECT r.site_id, a.v, r.k, r.v FROM pairs r JOIN pairs a ON a.site_id = r.site_id AND a.blk = r.blk AND a.n < r.n AND a.k = 'user-agent' WHERE r.k IN ('allow', 'disallow')),
 agents AS (SELECT site_id, agent, NOT bool_or(kind = 'disallow' AND value IN ('/', '')) OR bool_or(kind = 'allow' AND value IN ('/', '')) AS ok FROM rules GROUP BY site_id, agent)"""
 _BOTS = [b for names in AI_BOTS.values() for b in names]
-BOTS = f"""bots AS (SELECT site_id, bot, a.agent IS NOT NULL AS explicit, coalesce(a.ok, w.ok, true) AS allowed
-  FROM (SELECT site_id, unnest([{', '.join(q(b) for b in _BOTS)}]) AS bot FROM site) s
-  LEFT JOIN agents a USING (site_id) LEFT JOIN agents w ON w.site_id = s.site_id AND w.agent = '*' WHERE a.agent = bot OR a.agent IS NULL)"""
 BOTS = f"""bots AS (SELECT s.site_id, s.bot, a.agent IS NOT NULL AS explicit, coalesce(a.ok, w.ok, true) AS allowed
   FROM (SELECT site_id, unnest([{', '.join(q(b) for b in _BOTS)}]) AS bot FROM site) s
   LEFT JOIN agents a ON a.site_id = s.site_id AND a.agent = s.bot LEFT JOIN agents w ON w.site_id = s.site_id AND w.agent = '*')"""
@@ -511,8 +508,8 @@ tech AS (SELECT site_id, """ + ", ".join(f"max(score) FILTER (WHERE category = '
 
 ANSWERS = f"answers AS ({I.ANSWER_SQL}), brands AS ({I.BRAND_SQL})"
 CANDS = f"""cands AS (SELECT a.response_id, a.text, c.name, c.ord FROM answers a JOIN (SELECT audit_id, brand_name AS name, 0 AS ord FROM brands UNION ALL SELECT audit_id, alias, 1 FROM brands) c USING (audit_id)),
-exact_hits AS (SELECT response_id, name, ord, strpos(lower(text), lower(name)) AS at FROM cands WHERE length(name) >= 3 AND strpos(lower(text), lower(name)) > 0),
-exact AS (SELECT response_id, arg_min(name, at * 10 + ord) AS matched, min(at) AS at FROM exact_hits GROUP BY response_id),
+exact_hits AS (SELECT response_id, name, ord, strpos(lower(text), lower(name)) AS at_ FROM cands WHERE length(name) >= 3 AND strpos(lower(text), lower(name)) > 0),
+exact AS (SELECT response_id, arg_min(name, at_ * 10 + ord) AS matched, min(at_) AS at_ FROM exact_hits GROUP BY response_id),
 missed AS (SELECT * FROM answers WHERE response_id NOT IN (SELECT response_id FROM exact)),
 token_lists AS (SELECT response_id, {keep("string_split_regex(text, " + q(SEP) + ")", "x <> ''")} AS t FROM missed WHERE text <> ''),
 words_ AS (SELECT response_id, unnest(t) AS w, generate_subscripts(t, 1) AS n, 0 AS pair FROM token_lists),
@@ -735,17 +732,17 @@ def statements() -> dict[str, str]:
         "site_overview": by_facts + f"""{host('url')} AS domain, coalesce(lang, {last_of('og', "x.property = 'og:locale'")}) AS language, sampled,
           array_to_string(list_sort(list_distinct(list_concat([home_method], CASE WHEN coalesce(sampled_methods, '') = '' THEN CAST([] AS VARCHAR[]) ELSE string_split(sampled_methods, '|') END))), '|') AS fetch_methods,
           map_text AS has_sitemap, coalesce(robots_txt, '') <> '' AS has_robots, has_llms, {_SHELL} AS is_shell, {_WALL} AS bot_wall FROM f""",
-        "exact_mentions": f"WITH {ANSWERS}, {CANDS} SELECT a.response_id, e.at, e.matched FROM answers a LEFT JOIN exact e USING (response_id)",
+        "exact_mentions": f"WITH {ANSWERS}, {CANDS} SELECT a.response_id, e.at_ AS \"at\", e.matched FROM answers a LEFT JOIN exact e USING (response_id)",
         "fuzzy_mentions": f"WITH {ANSWERS}, {CANDS} SELECT m.response_id, f.matched, f.original FROM missed m LEFT JOIN fuzzy f USING (response_id)",
         "mention_report": f"""WITH {RESPONSES}, {CANDS} SELECT audit_id, CASE WHEN NOT brand_mentioned THEN 'none' WHEN e.response_id IS NOT NULL THEN 'exact' WHEN z.response_id IS NOT NULL THEN 'fuzzy' ELSE 'llm' END AS detection_method,
           count(*) AS answers, count(*) FILTER (WHERE brand_mentioned <> (e.response_id IS NOT NULL OR z.response_id IS NOT NULL)) AS disagreements
           FROM responses r LEFT JOIN exact e USING (response_id) LEFT JOIN fuzzy z USING (response_id) WHERE analysed GROUP BY 1, 2""",
-        "rule_analysis": f"""WITH {ANSWERS}, {CANDS}, comp AS (SELECT a.response_id, n.name, n.o, strpos(lower(text), lower(n.name)) AS at FROM answers a,
+        "rule_analysis": f"""WITH {ANSWERS}, {CANDS}, comp AS (SELECT a.response_id, n.name, n.o, strpos(lower(text), lower(n.name)) AS at_ FROM answers a,
             (VALUES ('Supplier#000000001', 0), ('Supplier#000000007', 1), ('Supplier#000000009', 2)) n(name, o) WHERE strpos(lower(text), lower(n.name)) > 0),
           srcs AS (SELECT a.response_id, a.audit_id, a.text, {each(find_all('text', r'(https?://[^\s<>"' + chr(39) + r')\]]+)'), sub('x', r'[.,;:!?]+$'))} AS s FROM answers a)
-          SELECT s.response_id, e.at IS NOT NULL AS brand_mentioned, CASE WHEN e.at IS NOT NULL THEN (SELECT count(*) FROM comp c WHERE c.response_id = s.response_id AND c.at < e.at) + 1 END AS mention_position,
-          CASE WHEN e.at IS NOT NULL THEN substr(s.text, greatest(e.at - 80, 1), 200) END AS mention_context, {any_of('s.s', "regexp_replace(" + host('x') + ", '^www[.]', '') = b.domain")} AS brand_citation_present,
-          coalesce((SELECT string_agg(name, '|' ORDER BY at, o) FROM comp c WHERE c.response_id = s.response_id), '') AS competitors_cited, array_to_string(s.s, '|') AS sources_cited
+          SELECT s.response_id, e.at_ IS NOT NULL AS brand_mentioned, CASE WHEN e.at_ IS NOT NULL THEN (SELECT count(*) FROM comp c WHERE c.response_id = s.response_id AND c.at_ < e.at_) + 1 END AS mention_position,
+          CASE WHEN e.at_ IS NOT NULL THEN substr(s.text, greatest(e.at_ - 80, 1), 200) END AS mention_context, {any_of('s.s', "regexp_replace(" + host('x') + ", '^www[.]', '') = b.domain")} AS brand_citation_present,
+          coalesce((SELECT string_agg(name, '|' ORDER BY at_, o) FROM comp c WHERE c.response_id = s.response_id), '') AS competitors_cited, array_to_string(s.s, '|') AS sources_cited
           FROM srcs s JOIN brands b USING (audit_id) LEFT JOIN exact e ON e.response_id = s.response_id""",
         "loaded_analyses": f"WITH {ANALYSES} SELECT * EXCLUDE (comp), array_to_string(comp, '|') AS competitors_cited FROM analyses",
         "answer_points": f"WITH {RESPONSES} SELECT response_id, points FROM pointed",
