@@ -85,19 +85,27 @@ def body_part(markup: Column) -> Column:
     )
 
 
-def element_texts(markup: Column, name: str) -> Column:
-    """Trimmed texts of all elements of one name, empties dropped."""
-    inner = F.regexp_extract_all(
-        markup, F.lit(rf"(?is)<{name}\b[^>]*>(.*?)(?:</{name}\s*>|\z)"), 1
-    )
-    return F.filter(
-        F.transform(inner, lambda t: js_trim(decode_entities(strip_tags(t)))), lambda t: t != ""
+def headings(markup: Column) -> Column:
+    """array(struct(level, text)) of all headings of level 1 to 4 in page order, found in one
+    pass; blank ones dropped."""
+    found = F.regexp_extract_all(markup, F.lit(r"(?is)(<h[1-4]\b[^>]*>.*?(?:</h[1-4]\s*>|\z))"), 1)
+    texts = F.transform(
+        found,
+        lambda h: F.struct(
+            h.substr(3, 1).cast("int").alias("level"), js_trim(decode_entities(strip_tags(h))).alias("text")
+        ),
     )
+    return F.filter(texts, lambda h: h.text != "")
+
+
+def tags(markup: Column, *names: str) -> Column:
+    """All opening tags of the given names in page order."""
+    return F.regexp_extract_all(markup, F.lit(rf"(?i)(<(?:{'|'.join(names)})\b{_ATTRS}>)"), 1)
 
 
-def tags(markup: Column, name: str) -> Column:
-    """All opening tags of one name."""
-    return F.regexp_extract_all(markup, F.lit(rf"(?i)(<{name}\b{_ATTRS}>)"), 1)
+def named(tag_list: Column, name: str) -> Column:
+    """The tags of one name."""
+    return F.filter(tag_list, lambda t: t.rlike(rf"(?i)^<{name}\b"))
 
 
 def has_attr(tag: Column, name: str) -> Column:

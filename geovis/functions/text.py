@@ -41,8 +41,10 @@ WORD_SEPARATORS = r"""[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000
 
 
 def words_pattern(words, flags: str = "(?i)") -> str:
-    """A pattern that finds any of `words` between ASCII word edges."""
-    return f"{flags}{EDGE_L}(?:{'|'.join(words)}){EDGE_R}"
+    """A pattern that finds any of `words` between ASCII word edges; the first letters are tested
+    first, because most places in a text fail there."""
+    first = "".join(sorted({w[0] for w in words}))
+    return f"{flags}(?=[{first}]){EDGE_L}(?:{'|'.join(words)}){EDGE_R}"
 
 
 def js_trim(text: Column) -> Column:
@@ -61,8 +63,8 @@ def js_round(value: Column) -> Column:
 
 def collapse_space(text: Column) -> Column:
     """White space runs as one space, none at the ends. Plain single spaces, by far the most
-    common, are never rewritten."""
-    plain = F.regexp_replace(text, f"[{_WS_NOT_SPACE}]+", " ")
+    common, are never rewritten, and common letters are told apart in one step."""
+    plain = F.regexp_replace(text, rf"(?![ -~\u00a1-\u167f])[{_WS_NOT_SPACE}]+", " ")
     return F.btrim(F.regexp_replace(plain, " {2,}", " "), F.lit(" "))
 
 

@@ -11,10 +11,11 @@ from geovis.functions import text as T
 from geovis.functions import urls as U
 from geovis.functions.core import built_once, let, unfold
 
-_ANSWER = (
-    r"(?is)<h[23]\b[^>]*>(.*?)(?:</h[23]\s*>|\z)"
-    r"(?:\s*<p\b[^>]*>(.*?)(?:</p\s*>|\z)|\s*<div\b[^>]*>(.*?)(?:</div\s*>|\z))?"
+_SECTION = (
+    r"(?is)(<h[23]\b[^>]*>.*?(?:</h[23]\s*>|\z)"
+    r"(?:\s*<p\b[^>]*>.*?(?:</p\s*>|\z)|\s*<div\b[^>]*>.*?(?:</div\s*>|\z))?)"
 )
+_SECTION_HEADING = r"(?is)^(<h[23]\b[^>]*>.*?(?:</h[23]\s*>|\z))"
 
 
 def prefixed_map(metas: Column, key: str, prefix: str) -> Column:
@@ -28,25 +29,29 @@ def prefixed_map(metas: Column, key: str, prefix: str) -> Column:
 
 def heading_answers(markup: Column) -> Column:
     """array(struct(heading, answer)) of second and third level headings in page order; the
-    answer is the text of a paragraph or block that directly follows, null when none does."""
+    answer is the text of a paragraph or block that directly follows, "" when none does."""
 
     def clean(text):
         return T.js_trim(H.decode_entities(H.strip_tags(text)))
 
-    headings = F.regexp_extract_all(markup, F.lit(_ANSWER), 1)
-    paragraphs = F.regexp_extract_all(markup, F.lit(_ANSWER), 2)
-    blocks = F.regexp_extract_all(markup, F.lit(_ANSWER), 3)
-    answers = F.zip_with(paragraphs, blocks, lambda p, b: clean(F.concat(p, b)))
-    return F.zip_with(
-        headings, answers, lambda h, a: F.struct(clean(h).alias("heading"), a.alias("answer"))
-    )
+    def split(section):
+        heading = F.regexp_extract(section, _SECTION_HEADING, 1)
+        return let(
+            heading,
+            lambda h: F.struct(
+                clean(h).alias("heading"),
+                clean(F.substring(section, F.length(h) + 1, F.length(section))).alias("answer"),
+            ),
+        )
+
+    return F.transform(F.regexp_extract_all(markup, F.lit(_SECTION), 1), split)
 
 
-def image_stats(markup: Column) -> Column:
+def image_stats(images: Column) -> Column:
     """struct(total, with_alt, with_meaningful_alt); an alt of more than 3 characters is
     meaningful."""
     lengths = F.transform(
-        H.tags(markup, "img"),
+        images,
         lambda t: F.when(H.has_attr(t, "alt"), T.js_length(T.js_trim(H.attr(t, "alt")))),
     )
     return let(
@@ -59,12 +64,12 @@ def image_stats(markup: Column) -> Column:
     )
 
 
-def internal_links(markup: Column, base_origin: Column) -> Column:
+def internal_links(anchors: Column, base_origin: Column) -> Column:
     """Distinct links of a page to its own site, in page order."""
 
     def of_site(base):
         hrefs = F.filter(
-            F.transform(H.tags(markup, "a"), lambda t: H.attr(t, "href")), lambda h: h != ""
+            F.transform(anchors, lambda t: H.attr(t, "href")), lambda h: h != ""
         )
         links = F.array_distinct(F.transform(hrefs, lambda h: U.resolve_link(h, base["origin"])))
         return F.filter(links, lambda u: u.isNotNull() & (U.host(u) == base["host"]))
@@ -98,9 +103,13 @@ def _markup_columns() -> list[dict[str, Column]]:
             "_head": H.head_part(markup),
             "_visible": H.body_part(H.drop_elements(markup, "noscript", "svg")),
             "_main": H.body_part(H.drop_elements(quiet, "nav", "header", "footer")),
-            "_metas": F.transform(H.tags(markup, "meta"), _meta_fields),
-            "_links": F.transform(H.tags(markup, "link"), _link_fields),
-            "_html": F.get(H.tags(markup, "html"), F.lit(0)),
+            "_tags": H.tags(markup, "html", "meta", "link", "a", "img"),
+            "_headings": H.headings(markup),
+        },
+        {
+            "_metas": F.transform(H.named(F.col("_tags"), "meta"), _meta_fields),
+            "_links": F.transform(H.named(F.col("_tags"), "link"), _link_fields),
+            "_html": F.get(H.named(F.col("_tags"), "html"), F.lit(0)),
         },
     ]
 
@@ -123,6 +132,9 @@ def _signal_columns(url: str, html: str) -> list[Column]:
     def first(items, test):
         return F.get(F.filter(items, test), F.lit(0))
 
+    def level(number):
+        return F.transform(F.filter(F.col("_headings"), lambda h: h.level == number), lambda h: h.text)
+
     alternates = F.filter(
         links, lambda t: (t.rel == "alternate") & (t.lang != "") & (F.coalesce(t.href, F.lit("")) != "")
     )
@@ -135,13 +147,10 @@ def _signal_columns(url: str, html: str) -> list[Column]:
         "og": prefixed_map(metas, "property", "og:"),
         "twitter": prefixed_map(metas, "name", "twitter:"),
         "hreflang": F.transform(alternates, lambda t: F.struct(t.lang.alias("lang"), t.href.alias("href"))),
-        "h1": H.element_texts(F.col("_markup"), "h1"),
-        "h2": H.element_texts(F.col("_markup"), "h2"),
-        "h3": H.element_texts(F.col("_markup"), "h3"),
-        "h4": H.element_texts(F.col("_markup"), "h4"),
+        **{f"h{n}": level(n) for n in (1, 2, 3, 4)},
         "answers": heading_answers(F.col("_markup")),
-        "images": image_stats(F.col("_markup")),
-        "links": internal_links(F.col("_markup"), U.origin(F.col(url))),
+        "images": image_stats(H.named(F.col("_tags"), "img")),
+        "links": internal_links(H.named(F.col("_tags"), "a"), U.origin(F.col(url))),
         "text": text("_visible"),
         "words": T.count_words(text("_main")),
         "is_shell": H.is_shell(F.col(html)),
@@ -162,5 +171,5 @@ def page_language(lang: Column, og: Column) -> Column:
 def page_links(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Long table (key, ord, link) of distinct internal links."""
     staged = with_markup(pages.select(key, url, html), html)
-    links = internal_links(F.col("_markup"), U.origin(F.col(url)))
+    links = internal_links(H.named(F.col("_tags"), "a"), U.origin(F.col(url)))
     return unfold(staged, key, links, "link")

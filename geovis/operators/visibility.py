@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from geovis.functions.core import unfold
 from geovis.functions.money import PROVIDERS, VISIBILITY_MODELS
 from geovis.functions.text import geo_suffix, js_round, js_trim
 from geovis.operators.scoring import global_score
@@ -98,10 +99,8 @@ def visibility_scores(responses: DataFrame, key: str = "audit_id") -> DataFrame:
 def competitor_counts(responses: DataFrame, key: str = "audit_id") -> DataFrame:
     """(key, name, count, first_seen): every occurrence counts, names are trimmed and compared
     with case. first_seen orders by question, provider, place in the list."""
-    long = responses.filter("analysed").select(
-        key, "position", provider_rank(F.col("provider")).alias("rank"),
-        F.posexplode("competitors_cited").alias("ord", "raw"),
-    )
+    ranked = responses.filter("analysed").withColumn("rank", provider_rank(F.col("provider")))
+    long = unfold(ranked, [key, "position", "rank"], F.col("competitors_cited"), "raw")
     named = long.withColumn("name", js_trim(F.col("raw"))).filter(F.col("name") != "")
     return named.groupBy(key, "name").agg(
         F.count("*").alias("count"),

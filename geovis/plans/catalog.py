@@ -71,7 +71,7 @@ def question_headings(spark, sf) -> DataFrame:
 def heading_answers(spark, sf) -> DataFrame:
     long = unfold(_signals(spark, sf), "site_id", F.col("answers"), "a")
     return long.select(
-        "site_id", "ord", "a.heading", F.coalesce("a.answer", F.lit("")).alias("answer"),
+        "site_id", "ord", "a.heading", "a.answer",
         T.opens_like_answer(F.col("a.answer")).alias("direct"),
     )
 

@@ -273,7 +273,7 @@ SCHEMA = f"""schema_facts AS (SELECT site_id,
   count(*) FILTER (WHERE {typed('Product', 'Service', 'Offer')}) AS offering_count, count(*) FILTER (WHERE {typed('FAQPage', 'QAPage')}) AS faq_schema_count,
   count(*) FILTER (WHERE {typed('Review', 'AggregateRating')}) AS review_count, count(*) FILTER (WHERE has_rating) AS embedded_ratings,
   count(*) FILTER (WHERE {typed('BreadcrumbList')}) AS breadcrumb_count, count(*) FILTER (WHERE {typed('Article', 'BlogPosting', 'NewsArticle')}) AS article_count,
-  max(rating) AS best_rating, coalesce(sum(reviews), 0) AS rating_total,
+  max(rating) AS best_rating, CAST(coalesce(sum(reviews), 0) AS BIGINT) AS rating_total,
   arg_min(name, ord) FILTER (WHERE name IS NOT NULL AND {typed(*_OWNERS)}) AS brand_in_schema FROM obj GROUP BY site_id),
 block_facts AS (SELECT site_id, count(*) AS block_count, count(*) FILTER (WHERE j IS NULL) AS block_errors FROM parsed GROUP BY site_id)"""
 
@@ -333,7 +333,7 @@ SAMPLED = f"""sampled_facts AS (SELECT s.site_id, count(*) AS sampled, count(*)
   FROM sample s LEFT JOIN measures m ON m.url = s.link GROUP BY s.site_id)"""
 SEARCH = f"""results AS ({I.SEARCH_SQL}),
 counted AS (SELECT brand, kind, CAST((length(lower(text)) - length(replace(lower(text), lower(brand), ''))) / length(brand) AS BIGINT) AS n FROM results),
-mention_counts AS (SELECT brand, {', '.join(f"coalesce(sum(n) FILTER (WHERE kind = '{k}'), 0) AS mentions_{k}" for k in ('press', 'reddit', 'reviews', 'sectoral'))} FROM counted GROUP BY brand)"""
+mention_counts AS (SELECT brand, {', '.join(f"CAST(coalesce(sum(n) FILTER (WHERE kind = '{k}'), 0) AS BIGINT) AS mentions_{k}" for k in ('press', 'reddit', 'reviews', 'sectoral'))} FROM counted GROUP BY brand)"""
 ARTICLES = f"""articles AS ({I.ARTICLE_SQL}),
 wiki AS (SELECT brand, bool_or(lang = 'fr' AND type <> 'disambiguation' AND coalesce(extract, '') <> '') AS wiki_fr, bool_or(lang = 'en' AND type <> 'disambiguation' AND coalesce(extract, '') <> '') AS wiki_en FROM articles GROUP BY brand)"""
 
@@ -502,7 +502,7 @@ CATEGORY = """cats AS (SELECT site_id, category,
   coalesce(CAST(floor(sum(points_earned) FILTER (WHERE status <> 'skipped')::DOUBLE / sum(points_max) FILTER (WHERE status <> 'skipped') * 20 + 0.5) AS INT), 0) AS score,
   count(*) FILTER (WHERE status = 'pass') AS pass, count(*) FILTER (WHERE status = 'warn') AS warn, count(*) FILTER (WHERE status = 'fail') AS fail, count(*) FILTER (WHERE status = 'skipped') AS skipped
   FROM checks GROUP BY site_id, category),
-tech AS (SELECT site_id, """ + ", ".join(f"max(score) FILTER (WHERE category = '{c}') AS {c}" for c in CHECKS) + """, sum(pass + warn + fail + skipped) AS total_checks, sum(pass) AS passed_checks, sum(score) AS technical_score FROM cats GROUP BY site_id)"""
+tech AS (SELECT site_id, """ + ", ".join(f"max(score) FILTER (WHERE category = '{c}') AS {c}" for c in CHECKS) + """, CAST(sum(pass + warn + fail + skipped) AS BIGINT) AS total_checks, CAST(sum(pass) AS BIGINT) AS passed_checks, CAST(sum(score) AS BIGINT) AS technical_score FROM cats GROUP BY site_id)"""
 
 # -- answers -------------------------------------------------------------------------------
 
@@ -723,7 +723,7 @@ def statements() -> dict[str, str]:
         "chat_replies": _reply_select("chat"),
         "parts_replies": _reply_select("parts"),
         "answers_by_model": f"""WITH a AS (WITH {_reply_sql('chat')} SELECT * FROM reply_chat), b AS (WITH {_reply_sql('parts')} SELECT * FROM reply_parts), every AS (SELECT * FROM a UNION ALL SELECT * FROM b)
-          SELECT CASE WHEN model LIKE 'google/%' THEN 'gemini' ELSE 'perplexity' END AS provider, count(*) AS answers, count(error) AS errors, sum(tokens_in) AS tokens_in, count(*) AS known FROM every GROUP BY 1""",
+          SELECT CASE WHEN model LIKE 'google/%' THEN 'gemini' ELSE 'perplexity' END AS provider, count(*) AS answers, count(error) AS errors, CAST(sum(tokens_in) AS BIGINT) AS tokens_in, count(*) AS known FROM every GROUP BY 1""",
         "category_scores": f"{ALL_CHECKS}, {CATEGORY} SELECT * FROM cats",
         "technical_scores": f"{ALL_CHECKS}, {CATEGORY} SELECT * FROM tech",
         "failed_checks": f"{ALL_CHECKS} SELECT site_id, least(count(*) FILTER (WHERE status IN ('fail', 'warn')), 10) AS shown, count(*) AS listed FROM checks GROUP BY site_id",
@@ -783,7 +783,7 @@ def statements() -> dict[str, str]:
         "audit_costs": f"""WITH {USAGE} SELECT audit_id, {', '.join(f"{dbl(f"coalesce(sum(cost_eur) FILTER (WHERE request_type = {q(t)}), 0)")} AS {t}_eur" for t in ('brand_extraction', 'queries_generation', 'visibility_query', 'mention_analysis', 'synthesis'))},
           {dbl('sum(cost_eur)')} AS total_eur, count(*) AS calls FROM usage_ GROUP BY audit_id""",
         "cost_anomalies": f"WITH {USAGE} SELECT audit_id, {dbl('sum(cost_eur)')} AS total_eur FROM usage_ GROUP BY audit_id HAVING sum(cost_eur) > 3.9",
-        "monthly_rollup": f"""WITH {LEDGER} SELECT user_id, strftime(date_trunc('month', created_at), '%Y-%m') AS month, count(*) AS call_count, sum(tokens_in) AS total_tokens_in, sum(tokens_out) AS total_tokens_out,
+        "monthly_rollup": f"""WITH {LEDGER} SELECT user_id, strftime(date_trunc('month', created_at), '%Y-%m') AS month, count(*) AS call_count, CAST(sum(tokens_in) AS BIGINT) AS total_tokens_in, CAST(sum(tokens_out) AS BIGINT) AS total_tokens_out,
           {dbl('sum(cost_usd)')} AS total_cost_usd, {dbl('sum(cost_eur)')} AS total_cost_eur FROM ledger WHERE user_id IS NOT NULL GROUP BY 1, 2""",
         "ledger_display": f"WITH {LEDGER} SELECT event_id, {_euro()} AS amount, day(created_at) || ' ' || ({_MONTHS})[month(created_at)] || ' ' || year(created_at) AS day FROM ledger",
         "rate_limit_now": f"""SELECT user_id AS ip, event_type AS action, count(*) AS hits, count(*) >= 2 AS limited FROM events
