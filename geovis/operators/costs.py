@@ -71,8 +71,11 @@ def unpriced_models(usage: DataFrame, prices: DataFrame) -> DataFrame:
 
 def month_to_date(ledger: DataFrame, now: str) -> DataFrame:
     """One row (month, total_eur): spend since the first instant of the month of `now`, in UTC.
-    The lower bound reaches the Parquet scan as a filter."""
+    The lower bound reaches the Parquet scan as a filter, and a ledger stored by month is read
+    from that month's folder on."""
     start = F.date_trunc("month", F.lit(now).cast("timestamp"))
+    if "usage_month" in ledger.columns:
+        ledger = ledger.filter(F.col("usage_month") >= F.date_format(start, "yyyy-MM"))
     rows = ledger.select("created_at", "cost_eur").filter(F.col("created_at") >= start)
     total = F.coalesce(F.sum("cost_eur"), F.lit("0").cast("decimal(20,6)"))
     return rows.agg(total.alias("total_eur")).select(start.alias("month"), "total_eur")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from geovis import schemas
+
 MICROS = 1_000_000
 BUCKET_SECONDS = 60
 
@@ -119,3 +121,25 @@ def orphans(children: DataFrame, parents: DataFrame, column: str, parent_key: st
     return children.join(
         parents.select(F.col(parent_key).alias(column)), column, "left_anti"
     )
+
+
+def table_violations(rows: DataFrame, table: str) -> DataFrame:
+    """(rule, violations) of one stored table against its allowed values, ranges and unique keys,
+    counted in one pass plus one aggregation for the keys."""
+    counts = {}
+    for (name, column), allowed in schemas.ALLOWED.items():
+        if name == table:
+            counts[f"{column} not allowed"] = F.count_if(~F.col(column).isin(*allowed))
+    for (name, column), (low, high) in schemas.RANGES.items():
+        if name == table:
+            counts[f"{column} out of range"] = F.count_if(~F.coalesce(F.col(column).between(low, high), F.lit(False)))
+    listed = F.array(*[F.struct(F.lit(r).alias("rule"), c.alias("violations")) for r, c in counts.items()])
+    out = rows.agg(listed.alias("r")).select(F.inline("r")) if counts else None
+    if table in schemas.UNIQUE:
+        keys = schemas.UNIQUE[table]
+        doubled = duplicate_keys(rows, *keys).agg(F.count("*").alias("violations"))
+        doubled = doubled.select(F.lit(f"{', '.join(keys)} not unique").alias("rule"), "violations")
+        out = doubled if out is None else out.unionByName(doubled)
+    if out is None:
+        raise ValueError(f"no rules for {table}")
+    return out

@@ -16,18 +16,17 @@ AUDIT_STATES = ["queued", "scraping", "extracting", "querying", "analyzing", "sc
 
 
 def write_tables(frames: dict[str, DataFrame], path: str, mode: str = "append") -> None:
-    """Append each table below `path`. The usage ledger is partitioned by month, so that
+    """Append each table below `path`. The usage ledger is partitioned by `usage_month`, so that
     month-to-date reads touch one folder."""
     unknown = set(frames) - set(TABLES)
     if unknown:
         raise ValueError(f"unknown tables: {sorted(unknown)}")
     for name, df in frames.items():
-        writer = df
         if name == "api_usage":
-            writer = df.withColumn("month", F.date_format("created_at", "yyyy-MM"))
-            writer.write.mode(mode).partitionBy("month").parquet(f"{path}/{name}")
+            dated = df.withColumn("usage_month", F.date_format("created_at", "yyyy-MM"))
+            dated.write.mode(mode).partitionBy("usage_month").parquet(f"{path}/{name}")
         else:
-            writer.write.mode(mode).parquet(f"{path}/{name}")
+            df.write.mode(mode).parquet(f"{path}/{name}")
 
 
 def technical_rows(checks: DataFrame, scores: DataFrame, key: str = "audit_id") -> DataFrame:
