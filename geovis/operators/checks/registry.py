@@ -48,25 +48,27 @@ def describe(**values) -> Column:
     return F.concat_ws(", ", *parts)
 
 
-def run_checks(facts: DataFrame, checks: Iterable[Check], key: str = "site_id") -> DataFrame:
-    """Long table (key, check_no, category, check_id, label, status, points_earned, points_max,
-    evidence, recommendation). Narrow: no shuffle, the facts are read once for all checks.
+def run_checks(
+    facts: DataFrame, checks: Iterable[Check], key: str = "site_id", detail: bool = True
+) -> DataFrame:
+    """Long table (key, check_no, category, check_id, status, points_earned, points_max), with
+    `detail` also label, evidence and recommendation. Narrow: no shuffle, the facts are read once
+    for all checks.
 
     Only what depends on the site is computed per check before the rows are unfolded; names and
-    texts are looked up by number afterwards.
+    texts are looked up by number afterwards. Scores need no detail.
     """
     listed = list(checks)
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("check_no"),
-                c.status.alias("status"),
-                c.points.cast("int").alias("points_earned"),
-                c.evidence.alias("evidence"),
-            )
-            for i, c in enumerate(listed, 1)
+
+    def one(number, check):
+        fields = [
+            F.lit(number).alias("check_no"),
+            check.status.alias("status"),
+            check.points.cast("int").alias("points_earned"),
         ]
-    )
+        return F.struct(*fields, check.evidence.alias("evidence")) if detail else F.struct(*fields)
+
+    rows = F.array(*[one(i, c) for i, c in enumerate(listed, 1)])
 
     def constant(values):
         return F.element_at(F.array(*[F.lit(v) for v in values]), F.col("check_no"))
@@ -74,13 +76,18 @@ def run_checks(facts: DataFrame, checks: Iterable[Check], key: str = "site_id")
     # 51 checks exceed the size of one generated Java method; a lambda keeps them out of it.
     rows = F.filter(rows, lambda r: r.status.isNotNull())
     long = facts.select(key, rows.alias("_rows")).select(key, F.inline_outer("_rows"))
-    return long.select(
+    scored = [
         key, "check_no",
         constant([c.category for c in listed]).alias("category"),
         constant([c.id for c in listed]).alias("check_id"),
-        constant([c.label for c in listed]).alias("label"),
         "status", "points_earned",
         constant([c.points_max for c in listed]).alias("points_max"),
+    ]
+    if not detail:
+        return long.select(*scored)
+    return long.select(
+        *scored,
+        constant([c.label for c in listed]).alias("label"),
         "evidence",
         F.when(F.col("status").isin("fail", "warn"), constant([c.advice for c in listed])).alias("recommendation"),
     )

@@ -15,6 +15,7 @@ from geovis.operators import contracts, costs, facts, guards, jsonld, mentions,
 from geovis.operators import scoring, signals, sitemaps, visibility
 from geovis.operators.links import sample_links
 from geovis.plans import inputs as I
+from geovis.session import saved
 from geovis.sources import captures, replies, requests, sinks
 from geovis.streaming import jobs
 
@@ -267,8 +268,7 @@ def site_facts(spark, sf) -> DataFrame:
 
 def _checks(category):
     def run(spark, sf) -> DataFrame:
-        rows = C.run_checks(site_facts(spark, sf), C.BY_CATEGORY[category]())
-        return rows.select("site_id", "category", "check_id", "status", "points_earned", "points_max")
+        return C.run_checks(site_facts(spark, sf), C.BY_CATEGORY[category](), detail=False).drop("check_no")
 
     return run
 
@@ -277,12 +277,16 @@ def all_checks(spark, sf) -> DataFrame:
     return C.run_checks(site_facts(spark, sf), C.all_checks())
 
 
+def _scored_checks(spark, sf) -> DataFrame:
+    return C.run_checks(site_facts(spark, sf), C.all_checks(), detail=False)
+
+
 def category_scores(spark, sf) -> DataFrame:
-    return scoring.category_scores(all_checks(spark, sf))
+    return scoring.category_scores(_scored_checks(spark, sf))
 
 
 def technical_scores(spark, sf) -> DataFrame:
-    return scoring.technical_scores(all_checks(spark, sf))
+    return scoring.technical_scores(_scored_checks(spark, sf))
 
 
 def failed_checks(spark, sf) -> DataFrame:
@@ -433,7 +437,7 @@ def recommendation_rows(spark, sf) -> DataFrame:
 
 def synthesis_input(spark, sf) -> DataFrame:
     business = contracts.load_business(I.derive(spark, sf, I.BUSINESS_JSON_SQL, "conversations"))
-    checks = all_checks(spark, sf).withColumnRenamed("site_id", "audit_id")
+    checks = saved(all_checks(spark, sf).withColumnRenamed("site_id", "audit_id"), "checks")
     responses = _responses(spark, sf)
     rows = report.synthesis_input(
         business, scoring.technical_scores(checks, "audit_id"), checks, visibility.visibility_scores(responses), responses
@@ -446,7 +450,7 @@ def synthesis_input(spark, sf) -> DataFrame:
 
 
 def audit_records(spark, sf) -> DataFrame:
-    checks = all_checks(spark, sf).withColumnRenamed("site_id", "audit_id")
+    checks = saved(all_checks(spark, sf).withColumnRenamed("site_id", "audit_id"), "checks")
     audits = I.read(spark, sf, "pages").select(F.col("page_id").alias("audit_id"), "url")
     record = report.audit_record(
         audits, scoring.technical_scores(checks, "audit_id"), checks,
