@@ -15,9 +15,9 @@ from geovis.operators import contracts, costs, facts, guards, jsonld, mentions,
 from geovis.operators import scoring, signals, sitemaps, visibility
 from geovis.operators.links import sample_links
 from geovis.plans import inputs as I
+from geovis.plans import streams
 from geovis.session import saved
 from geovis.sources import captures, replies, requests, sinks
-from geovis.streaming import jobs
 
 NOW_EVENTS = "2024-01-20T12:00:00"
 CAPS_EVENTS = costs.Caps(cap=60.0, warning=20.0, critical=40.0)
@@ -685,8 +685,8 @@ QUERIES = {
     "owned_analyses": owned_analyses,
     "integrity_report": integrity_report,
     "audit_states": audit_states,
-    "stream_spend_alerts": jobs.spend_alerts_query,
-    "stream_rate_windows": jobs.rate_windows_query,
-    "stream_visibility": jobs.visibility_query,
-    "stream_admission": jobs.admission_query,
+    "stream_spend_alerts": streams.spend_alerts_query,
+    "stream_rate_windows": streams.rate_windows_query,
+    "stream_visibility": streams.visibility_query,
+    "stream_admission": streams.admission_query,
 }

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from geovis.operators import costs, sitemaps, visibility
 from geovis.plans import catalog
-from geovis.plans import inputs as I
+from geovis.plans import streams
 from geovis.sources import captures, sinks
 from geovis.streaming import jobs
 
@@ -88,7 +88,7 @@ def test_spend_alerts_over_many_batches_equal_one_batch_job(spark, sf, tmp_path)
 
 
 def test_running_visibility_equals_batch(spark, sf):
-    got = jobs.visibility_query(spark, sf).orderBy("audit_id")
+    got = streams.visibility_query(spark, sf).orderBy("audit_id")
     assert got.collect() == catalog.visibility_scores(spark, sf).select(*got.columns).orderBy("audit_id").collect()
 
 
