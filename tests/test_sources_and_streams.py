@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from geovis.operators import costs, sitemaps, visibility
+from geovis.operators import costs, sitemaps
 from geovis.plans import catalog
 from geovis.plans import streams
 from geovis.sources import captures, sinks
