@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geovis.llm import byte_bpe, chat_format, language, packing, quality, simhash, token_files
+from geovis.llm import byte_bpe, chat_format, embeddings, language, packing, pii, quality, simhash, suffix_dedup, token_files
 from geovis.llm.common import shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,12 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.removals(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 @query
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
@@ -59,6 +65,28 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, language.fit(docs))
 
 
+@query
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+# Recursive reachability from every vector over its links, smallest id first.
+SQL["op7_embedding_near_dedup"] = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+), fine AS (
+  SELECT vec_id, e FROM v WHERE e IS NOT NULL AND len(e) > 0
+    AND len([x FOR x IN e IF x IS NULL OR NOT isfinite(x)]) = 0 AND len([x FOR x IN e IF x <> 0]) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM fine a JOIN fine b
+    ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9
+), reach AS (
+  SELECT vec_id, vec_id AS there FROM v UNION SELECT r.vec_id, l.b FROM reach r JOIN links l ON r.there = l.a
+), smallest AS (SELECT vec_id, min(there) AS component_id FROM reach GROUP BY vec_id)
+SELECT v.vec_id, (SELECT count(*) FROM links WHERE a = v.vec_id)::BIGINT AS n_links, component_id, v.vec_id = component_id AS kept
+FROM v JOIN smallest USING (vec_id)
+"""
+
 EXTRA = "</s>[INST] ok [/INST]"
 
 
@@ -92,3 +120,12 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_folder(spark, "token-files")
     token_files.write(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), folder)
     return token_files.read(spark, folder)
+
+
+@query
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = pii.find(docs, pii.fit(docs))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+    counts = [count(kind).alias(f"n_{kind}") for kind in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2("base_text", 256).alias("base_sha256"), F.col("spans_text").alias("spans"))
