@@ -23,16 +23,18 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents that the base rule or the learned list rejects go. Rows stay whole: statistics
     and verdict are further columns of the row."""
     rules = quality.fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
-    judged = quality.judge(docs.withColumn("_row", F.struct(*docs.columns)).select("_row", "text"), rules)
+    judged = quality.judge(docs.select(F.struct(*docs.columns).alias("_row"), "text"), rules)
     return judged.filter("kept").select("_row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: the one with the smallest id. Of
-    repeated rows with that id one stays too. Documents without an id have no group and stay."""
+    """One document of each group of near-duplicates stays: the one with the smallest id. Of rows
+    that repeat both that id and its text one stays. Documents without an id have no group and
+    stay."""
     groups = simhash.near_duplicates(docs)
     first = groups.filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
+    kept = docs.join(first, "doc_id", "left_semi").withColumn("_text_hash", F.xxhash64("text"))
+    kept = kept.dropDuplicates(["doc_id", "_text_hash"]).select(*docs.columns)
     return kept.unionByName(docs.filter("doc_id is null"))
 
 

@@ -13,7 +13,8 @@ from geovis.llm.common import cut
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, component (the smallest node it reaches) for every node of `links` (a, b: long).
+    """node, component (the smallest node it reaches) for the nodes of `links` (a, b: long) other
+    than the smallest of each component.
 
     Large and small stars in turn: each node's larger neighbours, then its smaller ones, are
     linked to the smallest one. The number of rounds grows with the logarithm of the size of a

@@ -169,7 +169,7 @@ def flips(part: list[int], threshold: int) -> np.ndarray:
 def mixed(values: np.ndarray, part: int) -> np.ndarray:
     """A bucket's key: part value and part, mixed to 64 bits. Buckets that share a key are
     compared with each other, which finds no wrong link, since links are verified."""
-    h = values + np.uint64(part) * np.uint64(0x9E3779B97F4A7C15)
+    h = values + np.uint64(part * 0x9E3779B97F4A7C15 % (1 << 64))
     h ^= h >> np.uint64(30)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(27)

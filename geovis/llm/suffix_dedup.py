@@ -63,7 +63,10 @@ class Powers:
     @classmethod
     def load(cls) -> None:
         if len(cls.up) < BUFFER + 1:
-            cls.up, cls.down = (np.cumprod(np.concatenate([[1], np.full(BUFFER, b, np.uint64)]).astype(np.uint64)) for b in (BASE, pow(BASE, -1, 1 << 64)))
+            for name, base in (("up", BASE), ("down", pow(BASE, -1, 1 << 64))):
+                powers = np.full(BUFFER + 1, base, np.uint64)
+                powers[0] = 1
+                setattr(cls, name, np.cumprod(powers))
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -493,16 +496,16 @@ def trimmed(docs: DataFrame) -> DataFrame:
         opener = zstandard.ZstdDecompressor()
         for batch in slices(batches, 1000):
             texts = []
-            for data, ranges in zip(batch.column(len(kept)).to_pylist(), batch.column(len(kept) + 1).to_pylist(), strict=True):
+            for data, ranges in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 raw = None if data is None else opener.decompress(data)
                 texts.append(raw if raw is None else remaining(raw, whole_characters(raw, joined_spans(ranges or []))).decode())
-            columns = list(batch.columns[: len(kept)])
+            columns = batch.column(0).flatten()
             columns.insert(at, pa.array(texts, pa.string()))
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    found = spans(docs).select("a", "b", "spans")
-    rows = packed_texts(identified(docs), [*kept, "_a", "_b"])
-    rows = rows.join(found, (F.col("_a") == F.col("a")) & (F.col("_b") == F.col("b")), "left").select(*kept, "packed", "spans")
+    found = spans(docs)
+    rows = packed_texts(identified(docs.select(F.struct(*kept).alias("_rest"), "text")), ["_rest", "_a", "_b"])
+    rows = rows.join(found, (F.col("_a") == F.col("a")) & (F.col("_b") == F.col("b")), "left").select("_rest", "packed", "spans")
     return map_arrow(rows, run, docs.schema)
 
 
