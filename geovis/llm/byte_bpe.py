@@ -60,25 +60,24 @@ class Merges:
         at = np.minimum(np.searchsorted(self.keys, pair), len(self.keys) - 1)
         return np.where(self.keys[at] == pair, self.values[at], NO_RANK)
 
-    def fold(self, words: list[bytes]) -> list[list[int]]:
-        out: list = [None] * len(words)
+    def fold(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word as little-endian unsigned 32-bit integers."""
+        out: list = [b""] * len(words)
         side = []
         for k, word in enumerate(words):
             whole = self.ranks.get(word)
             if whole is not None:
-                out[k] = [whole]
+                out[k] = whole.to_bytes(4, "little")
             elif len(word) > LONG_WORD:
-                out[k] = self.fold_long(word)
+                out[k] = np.array(self.fold_long(word), "<u4").tobytes()
             elif word:
                 side.append(k)
-            else:
-                out[k] = []
         if side:
             for k, ids in zip(side, self.fold_side_by_side([words[k] for k in side]), strict=True):
                 out[k] = ids
         return out
 
-    def fold_side_by_side(self, words: list[bytes]) -> list[list[int]]:
+    def fold_side_by_side(self, words: list[bytes]) -> list[bytes]:
         ids = self.single[np.frombuffer(b"".join(words), np.uint8)]
         owner = np.repeat(np.arange(len(words)), [len(w) for w in words])
         done: list[tuple[np.ndarray, np.ndarray]] = []
@@ -111,8 +110,9 @@ class Merges:
             rank[inner] = self.rank(ids[inner], ids[inner + 1])
         owners, parts = (np.concatenate(x) for x in zip(*done, strict=True))
         order = np.argsort(owners, kind="stable")
-        bounds = np.searchsorted(owners[order], np.arange(1, len(words)))
-        return [x.tolist() for x in np.split(parts[order], bounds)]
+        flat = parts[order].astype("<u4").tobytes()
+        bounds = (4 * np.searchsorted(owners[order], np.arange(len(words) + 1))).tolist()
+        return [flat[a:b] for a, b in zip(bounds, bounds[1:])]
 
     def fold_long(self, word: bytes) -> list[int]:
         """The same fold for one word, with a heap of pairs: n log n steps for n bytes."""
@@ -141,29 +141,60 @@ class Merges:
         return b"".join(map(self.pieces.__getitem__, ids))
 
 
+# White space other than space and line feed, and pairs of white space. Without
+# these, the pattern's matches never cross from a word to the space or line feed behind it.
+RARE_SPACE = [chr(c) for c in (0x9, 0xB, 0xC, 0xD, *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+SPACE_PAIRS = ["  ", " \n", "\n ", "\n\n"]
+
+
 class Encoder:
-    """Texts to ids, keeping the ids of words in two generations of bounded size."""
+    """Texts to ids, keeping the ids of words in two generations of bounded size.
+
+    In a text whose white space is single spaces and line feeds, every word with the space before
+    it is split by the pattern on its own, so whole words are looked up; other texts are split by
+    the pattern first."""
 
     def __init__(self, path: str, pattern: str, room: int = 200_000) -> None:
         import regex
 
         self.merges, self.split, self.room = Merges(read_ranks(path)), regex.compile(pattern).findall, room
-        self.young: dict[str, tuple[int, ...]] = {}
-        self.old: dict[str, tuple[int, ...]] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def units(self, text: str) -> list[str]:
+        """Parts of the text that the pattern splits as it splits the text."""
+        rare = RARE_SPACE[:8] if text.isascii() else RARE_SPACE
+        if any(pair in text for pair in SPACE_PAIRS) or any(c in text for c in rare):
+            return self.split(text)
+        out = []
+        for k, line in enumerate(text.split("\n")):
+            if k:
+                out.append("\n")
+            head, *rest = line.split(" ")
+            if head:
+                out.append(head)
+            out += [" " + word for word in rest]
+        return out
+
+    def learn(self, units: list[str]) -> None:
+        split = [self.split(u) for u in units]
+        matches = list(set().union(*split))
+        ids = dict(zip(matches, self.merges.fold([m.encode() for m in matches]), strict=True))
+        for unit, parts in zip(units, split, strict=True):
+            self.young[unit] = b"".join([ids[p] for p in parts])
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        split = [self.split(t) for t in texts]
-        met = set().union(*split) if split else set()
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Each text's ids as little-endian unsigned 32-bit integers."""
+        split = [self.units(t) for t in texts]
         new = []
-        for word in met - self.young.keys():
-            if word in self.old:
-                self.young[word] = self.old[word]
+        for unit in set().union(*split) - self.young.keys():
+            if unit in self.old:
+                self.young[unit] = self.old[unit]
             else:
-                new.append(word)
-        for word, ids in zip(new, self.merges.fold([w.encode() for w in new]), strict=True):
-            self.young[word] = tuple(ids)
+                new.append(unit)
+        self.learn(new)
         get = self.young.__getitem__
-        out = [[i for ids in map(get, words) for i in ids] for words in split]
+        out = [b"".join(map(get, units)) for units in split]
         if len(self.young) > self.room:
             self.old, self.young = self.young, {}
         return out
@@ -185,7 +216,9 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 300):
             found = encoder(path, pattern).encode(batch.column(1).to_pylist())
-            yield record(schema, batch.column(0), [np.array(x, np.int32) for x in found])
+            offsets = np.cumsum([0, *(len(x) // 4 for x in found)]).astype(np.int32)
+            ids = pa.ListArray.from_arrays(offsets, np.frombuffer(b"".join(found), "<i4"))
+            yield record(schema, batch.column(0), ids)
 
     return map_arrow(id_and_text(docs), run, "doc_id long, ids array<int>")
 
