@@ -5,26 +5,36 @@ Pages may be cut off, so every closing tag may also be the end of the text.
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from geovis.functions.core import let
 from geovis.functions.text import collapse_space, js_trim
 
-TAG = r"""</?[A-Za-z!][^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*>"""
-_ATTRS = r"""[^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*"""
-
-# Named character references found in running text.
-ENTITIES = {
-    "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": "\u00a0",
-    "&copy;": "©", "&reg;": "®", "&middot;": "·", "&bull;": "•",
-    "&ndash;": "–", "&mdash;": "—", "&laquo;": "«", "&raquo;": "»",
-    "&lsquo;": "‘", "&rsquo;": "’", "&ldquo;": "“", "&rdquo;": "”",
-    "&hellip;": "…", "&euro;": "€", "&deg;": "°", "&times;": "×",
-    "&eacute;": "é", "&egrave;": "è", "&ecirc;": "ê", "&agrave;": "à",
-    "&acirc;": "â", "&ccedil;": "ç", "&ocirc;": "ô", "&ugrave;": "ù",
-    "&icirc;": "î",
+# What stands between a tag's name and its end. A quote opens a value only right after `=`.
+# Possessive repetition: Java runs it as a loop, where a plain repeated group would recurse once
+# for every attribute.
+_ATTRS = r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+"""
+TAG = rf"""</?[A-Za-z!]{_ATTRS}>"""
+
+# Named character references, as the standard library lists them. References of
+# running text come first, because a map is searched from its start.
+_COMMON = (
+    "lt gt quot apos nbsp copy reg middot bull ndash mdash laquo raquo lsquo rsquo ldquo rdquo hellip euro deg times "
+    "eacute egrave ecirc agrave acirc ccedil ocirc ugrave icirc amp uuml ouml auml szlig ntilde"
+).split(" ")
+ENTITIES = {f"&{name};": html5[f"{name};"] for name in _COMMON} | {
+    f"&{name}": char for name, char in sorted(html5.items()) if name.endswith(";") and name[:-1] not in _COMMON
 }
+# Numbers that stand for a Windows-1252 character, from 128 on (0: itself).
+_WINDOWS = [
+    0x20AC, 0, 0x201A, 0x0192, 0x201E, 0x2026, 0x2020, 0x2021, 0x02C6, 0x2030, 0x0160, 0x2039, 0x0152, 0, 0x017D, 0,
+    0, 0x2018, 0x2019, 0x201C, 0x201D, 0x2022, 0x2013, 0x2014, 0x02DC, 0x2122, 0x0161, 0x203A, 0x0153, 0, 0x017E, 0x0178,
+]
+REFERENCE = r"&(?:[A-Za-z][A-Za-z0-9]*+;|#[0-9]++;?|#[xX][0-9A-Fa-f]++;?)"
+UNKNOWN_CHARACTER = "\ufffd"
 
 # Marks of pages that hide behind a bot wall, most specific first.
 BOT_WALLS = [
@@ -38,22 +48,38 @@ BOT_WALLS = [
 SHELL_MIN_TEXT = 500
 
 
+def _numbered(ref: Column) -> Column:
+    """Character of a numeric reference. Numbers that are no character (zero, surrogates, beyond
+    Unicode) give the replacement character."""
+    digits = F.regexp_extract(ref, r"^&#[xX]?0*+([0-9A-Fa-f]*+);?$", 1)
+    is_hex = ref.rlike(r"^&#[xX]")
+    short = F.when(F.length(digits).between(1, 7), digits).otherwise("0")
+    number = F.when(is_hex, F.conv(short, 16, 10).cast("int")).otherwise(short.try_cast("int"))
+    windows = F.array(*[F.lit(c) for c in _WINDOWS])
+
+    def char(n):
+        listed = F.when(n.between(128, 159), F.nullif(F.get(windows, n - 128), F.lit(0)))
+        code = F.coalesce(listed, n)
+        fine = ((n > 0) & (n < 0xD800)) | ((n > 0xDFFF) & (n <= 0x10FFFF))
+        return F.when(fine, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(UNKNOWN_CHARACTER)
+
+    return let(number, char)
+
+
 def decode_entities(text: Column) -> Column:
-    """Resolve named and numeric character references. Only references that occur are replaced;
-    the ampersand comes last, so that an escaped reference stays text."""
-    listed = "\t".join(f"{name}={char}" for name, char in ENTITIES.items())
-    known = F.str_to_map(F.lit(listed), F.lit("\t"), F.lit("="))
+    """Resolve named and numeric character references, in one pass over the text between them, so
+    that what a reference yields is never read as one again."""
+    listed = "\x01".join(f"{name}\x02{char}" for name, char in ENTITIES.items())
+    known = F.str_to_map(F.lit(listed), F.lit("\x01"), F.lit("\x02"))
 
     def char(ref):
-        number = F.regexp_extract(ref, r"^&#(\d+);$", 1)
-        by_number = F.decode(F.unhex(F.lpad(F.hex(number.try_cast("bigint")), 8, "0")), "UTF-32")
-        return F.coalesce(F.try_element_at(known, ref), F.when(number != "", by_number), ref)
+        return F.when(ref.startswith("&#"), _numbered(ref)).otherwise(F.coalesce(F.try_element_at(known, ref), ref))
 
     def resolve(t):
-        found = F.array_distinct(F.regexp_extract_all(t, F.lit(r"(&(?:[A-Za-z]{2,8}|#\d{2,7});)"), 1))
-        others = F.filter(found, lambda ref: ref != "&amp;")
-        replaced = F.aggregate(others, t, lambda acc, ref: F.replace(acc, ref, char(ref)))
-        return F.when(F.contains(t, F.lit("&")), F.replace(replaced, F.lit("&amp;"), F.lit("&"))).otherwise(t)
+        between = F.split(t, REFERENCE, -1)
+        chars = F.transform(F.regexp_extract_all(t, F.lit(REFERENCE), F.lit(0)), char)
+        whole = F.zip_with(between, chars, lambda part, c: F.concat(part, F.coalesce(c, F.lit(""))))
+        return F.when(F.contains(t, F.lit("&")), F.array_join(whole, "")).otherwise(t)
 
     return let(text, resolve)
 
@@ -69,8 +95,17 @@ def drop_elements(html: Column, *names: str) -> Column:
     )
 
 
+def _open_end(html: Column) -> Column:
+    """What stands behind the last `>`. No tag ends there, so no pattern has to look."""
+    return F.substring_index(html, ">", -1)
+
+
 def strip_tags(html: Column) -> Column:
-    return F.regexp_replace(html, TAG, "")
+    def strip(h):
+        closed = h.substr(F.lit(1), F.length(h) - F.length(_open_end(h)))
+        return F.concat(F.regexp_replace(closed, TAG, ""), _open_end(h))
+
+    return let(html, strip)
 
 
 def head_part(markup: Column) -> Column:
@@ -100,7 +135,9 @@ def headings(markup: Column) -> Column:
 
 def tags(markup: Column, *names: str) -> Column:
     """All opening tags of the given names in page order."""
-    return F.regexp_extract_all(markup, F.lit(rf"(?i)(<(?:{'|'.join(names)})\b{_ATTRS}>)"), 1)
+    pattern = rf"(?i)(<(?:{'|'.join(names)})\b{_ATTRS}>)"
+    closed = let(markup, lambda m: m.substr(F.lit(1), F.length(m) - F.length(_open_end(m))))
+    return F.regexp_extract_all(closed, F.lit(pattern), 1)
 
 
 def named(tag_list: Column, name: str) -> Column:
@@ -144,7 +181,8 @@ def main_text(html: Column) -> Column:
 
 
 def is_shell(html: Column) -> Column:
-    """True for pages whose content is built in the browser: little or no text in the document."""
+    """True for pages whose content is built in the browser: little or no text in the document.
+    Its patterns are fixed values."""
     markup = F.regexp_replace(html, r"(?is)<script.*?</script>", "")
     markup = F.regexp_replace(markup, r"(?is)<style.*?</style>", "")
     text = js_trim(F.regexp_replace(markup, r"<[^>]+>", " "))
@@ -167,7 +205,8 @@ def bot_wall(html: Column, title: Column) -> Column:
 
 
 def merge_head_body(direct: Column, rendered: Column) -> Column:
-    """Head of the directly fetched page with the body of the rendered one."""
+    """Head of the directly fetched page with the body of the rendered one. Its patterns are
+    fixed values."""
 
     def part(html, pattern, fallback):
         found = F.regexp_extract(html, pattern, 0)

@@ -7,6 +7,7 @@ tokens_out, actual_cost_usd, request_type, created_at TIMESTAMP.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -70,13 +71,14 @@ def unpriced_models(usage: DataFrame, prices: DataFrame) -> DataFrame:
 
 
 def month_to_date(ledger: DataFrame, now: str) -> DataFrame:
-    """One row (month, total_eur): spend since the first instant of the month of `now`, in UTC.
-    The lower bound reaches the Parquet scan as a filter, and a ledger stored by month is read
-    from that month's folder on."""
-    start = F.date_trunc("month", F.lit(now).cast("timestamp"))
+    """One row (month, total_eur): spend from the first instant of the month of `now` up to `now`,
+    in UTC. Both bounds reach the Parquet scan as filters, and a ledger stored by month is read
+    from that month's folder alone."""
+    end = F.lit(now).cast("timestamp")
+    start = F.date_trunc("month", end)
     if "usage_month" in ledger.columns:
-        ledger = ledger.filter(F.col("usage_month") >= F.date_format(start, "yyyy-MM"))
-    rows = ledger.select("created_at", "cost_eur").filter(F.col("created_at") >= start)
+        ledger = ledger.filter(F.col("usage_month") == F.date_format(start, "yyyy-MM"))
+    rows = ledger.select("created_at", "cost_eur").filter(F.col("created_at").between(start, end))
     total = F.coalesce(F.sum("cost_eur"), F.lit("0").cast("decimal(20,6)"))
     return rows.agg(total.alias("total_eur")).select(start.alias("month"), "total_eur")
 
@@ -218,29 +220,42 @@ def threshold_crossings(
 
 
 def admit_requests(
-    requests: DataFrame, opening: DataFrame, caps: Caps = Caps()
+    requests: DataFrame, opening: DataFrame, caps: Caps = Caps(), ledger: DataFrame | None = None
 ) -> DataFrame:
     """Requests (request_id, requested_at, month) with `admitted`: in time order, each admitted
-    request reserves the expected cost, and a request whose projection exceeds the cap is
-    refused. `opening` (month, total_eur) is the spend so far.
-
-    Every request reserves the same amount, so a month admits its first n requests, with n known
-    from its spend. Ranks are needed only up to the largest n, which Spark applies as a limit per
-    month before the shuffle; the refused rows never reach a window.
+    request reserves the expected cost, and a request whose projection exceeds the cap is refused.
+    The projection is the spend so far: `opening` (month, total_eur), and of `ledger` (created_at,
+    cost_eur) what was spent in the month before the request.
+
+    Neither spend nor reserves shrink, so after the first refusal a month refuses all. A month
+    without spend admits the first n requests, with n known from the caps in exact decimals, so
+    ranks are needed only up to n, which Spark applies as a limit per month before the shuffle;
+    the other rows never reach a window. The ledger is summed between the instants of those
+    requests, in one pass with partial sums.
     """
-    room = opening.select(
-        "month",
-        F.greatest(
-            F.lit(0), F.floor((_money(caps.cap) - F.col("total_eur")) / _money(caps.audit_cost))
-        ).alias("room"),
-    )
-    most = int(caps.cap // caps.audit_cost)
+    most = int(Decimal(str(caps.cap)) // Decimal(str(caps.audit_cost)))
     order = Window.partitionBy("month").orderBy("requested_at", "request_id")
     ranked = requests.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
-    empty_month = F.lit(most)
+    zero = F.lit("0").cast("decimal(28,6)")
+    base = opening.select("month", F.col("total_eur").cast("decimal(28,6)").alias("base"))
+    spent = ranked.select("month", "requested_at", "request_id", "rank").join(base, "month", "left")
+    if ledger is None:
+        spent = spent.withColumn("spent", F.coalesce("base", zero))
+    else:
+        # at most n instants for each calendar month
+        instants = ranked.groupBy("month").agg(F.array_sort(F.collect_list("requested_at")).alias("instants"))
+        dated = ledger.select(M.month_start(F.col("created_at")).alias("month"), "created_at", "cost_eur")
+        slotted = dated.join(F.broadcast(instants), "month").select(
+            "month", "cost_eur", F.size(F.filter("instants", lambda t: t <= F.col("created_at"))).alias("slot")
+        )
+        parts = slotted.groupBy("month", "slot").agg(F.sum("cost_eur").alias("part")).withColumnRenamed("month", "part_month")
+        before = (F.col("month") == F.col("part_month")) & (F.col("slot") < F.col("rank"))
+        spent = (
+            spent.join(parts, before, "left").groupBy("month", "requested_at", "request_id", "rank")
+            .agg((F.coalesce(F.first("base"), zero) + F.coalesce(F.sum("part"), zero)).alias("spent"))
+        )
     last = (
-        ranked.join(room, "month", "left")
-        .filter(F.col("rank") <= F.coalesce("room", empty_month))
+        spent.filter(F.col("spent") + F.col("rank") * _money(caps.audit_cost) <= _money(caps.cap))
         .groupBy("month")
         .agg(F.max(F.struct("requested_at", "request_id")).alias("last"))
     )

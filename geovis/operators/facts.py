@@ -104,7 +104,7 @@ def schema_facts(objs: Column) -> dict[str, Column]:
         "article_count": F.size(of(J.ARTICLES)),
         "best_rating": F.array_max(F.transform(objs, lambda o: o.rating)),
         "rating_total": F.aggregate(
-            objs, F.lit(0).cast("bigint"), lambda a, o: a + F.coalesce(o.reviews, F.lit(0).cast("bigint"))
+            objs, F.lit(0).cast("bigint"), lambda a, o: F.coalesce(F.try_add(a, o.reviews), a)
         ),
         "brand_in_schema": F.get(
             F.filter(

@@ -26,6 +26,10 @@ BREADCRUMBS = ["BreadcrumbList"]
 ARTICLES = ["Article", "BlogPosting", "NewsArticle"]
 
 
+# A stated count above this is taken as this, so that no cast and no sum of a page overflows.
+MOST_REVIEWS = 1e15
+
+
 def raw_blocks(plain: Column) -> Column:
     """Texts of the JSON-LD scripts of a page without comments, blank ones dropped."""
     scripts = F.filter(
@@ -140,7 +144,7 @@ def summary(objs: Column) -> Column:
             (truthy(o, "$.openingHours") | truthy(o, "$.openingHoursSpecification")).alias("has_hours"),
             (truthy(o, "$.aggregateRating") | truthy(o, "$.review")).alias("has_rating"),
             F.when(has_value, _leading_number(_at(rating, "$.ratingValue", "string"))).alias("rating"),
-            F.when(has_value & (count > 0), count.cast("bigint")).alias("reviews"),
+            F.when(has_value & (count > 0), F.least(count, F.lit(MOST_REVIEWS)).cast("bigint")).alias("reviews"),
         )
 
     return F.transform(objs, one)

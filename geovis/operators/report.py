@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from geovis.functions.money import PROVIDERS
 from geovis.functions.text import excerpt
-from geovis.operators.visibility import top_competitors
+from geovis.operators.visibility import for_every_audit, top_competitors
 
 FAILED_SHOWN = 10
 COMPETITORS_SHOWN = 5
@@ -39,7 +39,8 @@ def synthesis_input(
     business: DataFrame, technical: DataFrame, checks: DataFrame, visibility: DataFrame,
     responses: DataFrame, key: str = "audit_id",
 ) -> DataFrame:
-    """One row per audit with what the closing report is written from."""
+    """One row per audit with what the closing report is written from. Scores of an audit without
+    answers are zero."""
     rivals = (
         top_competitors(responses, COMPETITORS_SHOWN, key)
         .groupBy(key)
@@ -47,16 +48,16 @@ def synthesis_input(
         .select(key, F.transform("_rivals", lambda r: r["name"]).alias("top_competitors"))
     )
     scores = F.create_map(*[x for p in PROVIDERS for x in (F.lit(p), F.col(p))])
-    return (
+    audits = (
         business.select(key, "brand_name", "industry")
         .join(technical.select(key, "technical_score", "passed_checks", "total_checks"), key)
         .join(check_lists(checks, key).select(key, "failed_checks"), key)
-        .join(
-            visibility.select(
-                key, "visibility_score", "mention_rate", "citation_rate", scores.alias("visibility_per_provider")
-            ),
-            key,
-        )
+    )
+    wanted = visibility.select(key, "visibility_score", "mention_rate", "citation_rate", *PROVIDERS)
+    return (
+        for_every_audit(audits, wanted, key)
+        .withColumn("visibility_per_provider", scores)
+        .drop(*PROVIDERS)
         .join(rivals, key, "left")
         .withColumn("top_competitors", F.coalesce("top_competitors", F.array().cast("array<string>")))
     )

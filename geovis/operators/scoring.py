@@ -48,10 +48,11 @@ def global_score(technical: Column, visibility: Column) -> Column:
 
 
 def global_scores(technical: DataFrame, visibility: DataFrame, key: str = "audit_id") -> DataFrame:
-    """(key, technical_score, visibility_score, global_score)."""
+    """(key, technical_score, visibility_score, global_score) of every technical audit; one
+    without answers has visibility zero."""
     joined = technical.select(key, "technical_score").join(
-        visibility.select(key, "visibility_score"), key
-    )
+        visibility.select(key, "visibility_score"), key, "left"
+    ).fillna(0, subset=["visibility_score"])
     return joined.withColumn(
         "global_score", global_score(F.col("technical_score"), F.col("visibility_score"))
     )

@@ -13,7 +13,7 @@ from geovis.functions.core import built_once, let, unfold
 
 _SECTION = (
     r"(?is)(<h[23]\b[^>]*>.*?(?:</h[23]\s*>|\z)"
-    r"(?:\s*<p\b[^>]*>.*?(?:</p\s*>|\z)|\s*<div\b[^>]*>.*?(?:</div\s*>|\z))?)"
+    r"(?:[^<]*+<p\b[^>]*>.*?(?:</p\s*>|\z)|[^<]*+<div\b[^>]*>.*?(?:</div\s*>|\z))?)"
 )
 _SECTION_HEADING = r"(?is)^(<h[23]\b[^>]*>.*?(?:</h[23]\s*>|\z))"
 
@@ -22,14 +22,15 @@ def prefixed_map(metas: Column, key: str, prefix: str) -> Column:
     """Map of prefixed meta tags without the prefix; the last value wins, empties are dropped."""
     named = F.filter(metas, lambda m: m[key].startswith(prefix) & (m[key] != prefix) & (m.content != ""))
     pairs = F.transform(
-        named, lambda m: F.struct(m[key].substr(len(prefix) + 1, 1000).alias("key"), m.content.alias("value"))
+        named, lambda m: F.struct(m[key].substr(F.lit(len(prefix) + 1), F.length(m[key])).alias("key"), m.content.alias("value"))
     )
     return F.map_from_entries(pairs)
 
 
 def heading_answers(markup: Column) -> Column:
     """array(struct(heading, answer)) of second and third level headings in page order; the
-    answer is the text of a paragraph or block that directly follows, "" when none does."""
+    answer is the text of the paragraph or block that is the next element, "" when it is another
+    one. Loose text before that element is no part of it."""
 
     def clean(text):
         return T.js_trim(H.decode_entities(H.strip_tags(text)))
@@ -40,7 +41,7 @@ def heading_answers(markup: Column) -> Column:
             heading,
             lambda h: F.struct(
                 clean(h).alias("heading"),
-                clean(F.substring(section, F.length(h) + 1, F.length(section))).alias("answer"),
+                clean(F.regexp_replace(F.substring(section, F.length(h) + 1, F.length(section)), "^[^<]*+", "")).alias("answer"),
             ),
         )
 

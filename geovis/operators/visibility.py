@@ -131,11 +131,17 @@ def _reversed(column: str) -> Column:
     return F.struct(*[(-F.col(f"{column}.{f}")).alias(f) for f in ("position", "rank", "ord")])
 
 
+def for_every_audit(audits: DataFrame, visibility: DataFrame, key: str = "audit_id") -> DataFrame:
+    """`audits` with the columns of `visibility`; an audit without answers scores zero."""
+    scores = [c for c in visibility.columns if c != key]
+    return audits.join(visibility, key, "left").fillna(0, subset=scores)
+
+
 def audit_scores(technical: DataFrame, responses: DataFrame, key: str = "audit_id") -> DataFrame:
-    """The score row per audit: technical, visibility, global, rates, providers, top competitor."""
+    """The score row per audit: technical, visibility, global, rates, providers, top competitor.
+    An audit without answers has visibility zero."""
     return (
-        technical.select(key, "technical_score")
-        .join(visibility_scores(responses, key), key)
+        for_every_audit(technical.select(key, "technical_score"), visibility_scores(responses, key), key)
         .join(top_competitor(responses, key), key, "left")
         .withColumn("global_score", global_score(F.col("technical_score"), F.col("visibility_score")))
     )

@@ -500,11 +500,12 @@ def budget_status(spark, sf) -> DataFrame:
 
 
 def request_admission(spark, sf) -> DataFrame:
-    opening = costs.monthly_totals(_ledger(spark, sf))
+    ledger = _ledger(spark, sf)
+    opening = costs.monthly_totals(ledger.filter(F.lit(False)))
     asked = I.read(spark, sf, "orders").select(
         F.col("o_orderkey").alias("request_id"), F.col("o_orderdate").cast("timestamp").alias("requested_at")
     ).withColumn("month", M.month_start(F.col("requested_at")))
-    return costs.admit_requests(asked, opening, CAPS_ORDERS).select("request_id", "admitted")
+    return costs.admit_requests(asked, opening, CAPS_ORDERS, ledger).select("request_id", "admitted")
 
 
 def threshold_crossings(spark, sf) -> DataFrame:

@@ -20,8 +20,8 @@ from geovis.plans import inputs as I
 
 WS = r"[\s\x0B\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 SEP = WS[:-1] + r""".,;:!?'"()\[\]/\\-]+"""
-TAG = r"""</?[A-Za-z!][^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*>"""
-ATTRS = r"""[^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*"""
+ATTRS = r"""(?:=\s*"[^"]*"|=\s*'[^']*'|[^>])*?"""
+TAG = rf"""</?[A-Za-z!]{ATTRS}>"""
 
 
 def q(text: str) -> str:
@@ -577,6 +577,9 @@ RIVALS = f"""named AS (SELECT audit_id, position, {_PRANK} AS rank, unnest(comp)
 rival_counts AS (SELECT audit_id, {trim('raw')} AS name, count(*) AS count, min(position * 100000 + rank * 1000 + n) AS seen FROM named WHERE {trim('raw')} <> '' GROUP BY audit_id, {trim('raw')}),
 rivals AS (SELECT audit_id, row_number() OVER (PARTITION BY audit_id ORDER BY count DESC, seen) AS place, name, count FROM rival_counts QUALIFY place <= 10)"""
 
+EVERY = """every_audit AS (SELECT t.site_id AS audit_id, technical_score, passed_checks, total_checks, coalesce(visibility_score, 0) AS visibility_score,
+  coalesce(mention_rate, 0) AS mention_rate, coalesce(citation_rate, 0) AS citation_rate, coalesce(gemini, 0) AS gemini FROM tech t LEFT JOIN vis v ON v.audit_id = t.site_id)"""
+
 QUESTIONS = f"""{loaded(I.QUESTION_JSON_SQL)}, judged AS (SELECT *, {reason([(f"{text_list(c)} AND len(CAST({js(c)} AS JSON[])) = 10", c) for c in ('branded', 'service', 'comparative')])} AS rejected FROM js_),
 qlists AS (SELECT audit_id, unnest(list_concat({', '.join(f"list_transform({as_list(c)}, lambda x: {{'category': '{c}', 'text': x}})" for c in ('branded', 'service', 'comparative'))})) AS q,
   unnest(range(1, 31)) AS position FROM judged WHERE rejected IS NULL),
@@ -748,9 +751,9 @@ def statements() -> dict[str, str]:
         "answer_points": f"WITH {RESPONSES} SELECT response_id, points FROM pointed",
         "visibility_scores": f"WITH {RESPONSES}, {VISIBILITY} SELECT * REPLACE (round(mention_rate, 6) AS mention_rate, round(citation_rate, 6) AS citation_rate) FROM vis",
         "top_competitors": f"WITH {RESPONSES}, {RIVALS} SELECT * FROM rivals",
-        "audit_scores": f"""{ALL_CHECKS}, {CATEGORY}, {RESPONSES}, {VISIBILITY}, {RIVALS} SELECT v.audit_id, technical_score, visibility_score, {rnd('(0.4::DOUBLE * technical_score + 0.6::DOUBLE * visibility_score)')} AS global_score,
-          (SELECT name FROM rivals r WHERE r.audit_id = v.audit_id AND place = 1) AS top_competitor, round(mention_rate, 2) AS mention_rate, round(citation_rate, 2) AS citation_rate FROM vis v JOIN tech t ON t.site_id = v.audit_id""",
-        "global_scores": f"""{ALL_CHECKS}, {CATEGORY}, {RESPONSES}, {VISIBILITY} SELECT v.audit_id, technical_score, visibility_score, {rnd('(0.4::DOUBLE * technical_score + 0.6::DOUBLE * visibility_score)')} AS global_score FROM vis v JOIN tech t ON t.site_id = v.audit_id""",
+        "audit_scores": f"""{ALL_CHECKS}, {CATEGORY}, {RESPONSES}, {VISIBILITY}, {RIVALS}, {EVERY} SELECT v.audit_id, technical_score, visibility_score, {rnd('(0.4::DOUBLE * technical_score + 0.6::DOUBLE * visibility_score)')} AS global_score,
+          (SELECT name FROM rivals r WHERE r.audit_id = v.audit_id AND place = 1) AS top_competitor, round(mention_rate, 2) AS mention_rate, round(citation_rate, 2) AS citation_rate FROM every_audit v""",
+        "global_scores": f"""{ALL_CHECKS}, {CATEGORY}, {RESPONSES}, {VISIBILITY}, {EVERY} SELECT v.audit_id, technical_score, visibility_score, {rnd('(0.4::DOUBLE * technical_score + 0.6::DOUBLE * visibility_score)')} AS global_score FROM every_audit v""",
         "question_list": f"WITH {QUESTIONS} SELECT * FROM questions",
         "rejected_question_lists": f"WITH {QUESTIONS} SELECT audit_id, rejected FROM judged WHERE rejected IS NOT NULL",
         "question_tasks": f"""WITH {QUESTIONS}, p(provider, model) AS (VALUES {', '.join(f"('{k}', '{v}')" for k, v in M.VISIBILITY_MODELS.items())})
@@ -761,23 +764,23 @@ def statements() -> dict[str, str]:
         "loaded_synthesis": f"WITH {SYNTHESIS} SELECT audit_id, verdict, top_competitor, len(recs) AS recommendations, rejected FROM synthesis",
         "recommendation_rows": f"""WITH {SYNTHESIS}, u AS (SELECT audit_id, unnest(recs) AS r, generate_subscripts(recs, 1) AS position FROM synthesis)
           SELECT audit_id, position, {', '.join(f"json_extract_string(r, '$.{c}') AS {c}" for c in ('priority', 'category', 'title', 'description'))}, CAST(json_extract_string(r, '$.impact_score') AS INT) AS impact_score FROM u""",
-        "synthesis_input": f"""{ALL_CHECKS}, {CATEGORY}, {RESPONSES}, {VISIBILITY}, {RIVALS}, biz AS (WITH {BUSINESS} SELECT * FROM business),
+        "synthesis_input": f"""{ALL_CHECKS}, {CATEGORY}, {RESPONSES}, {VISIBILITY}, {RIVALS}, {EVERY}, biz AS (WITH {BUSINESS} SELECT * FROM business),
           shown AS (SELECT site_id, least(count(*) FILTER (WHERE status IN ('fail', 'warn')), 10) AS failed_shown FROM checks GROUP BY site_id)
           SELECT v.audit_id, brand_name, industry, technical_score, passed_checks, total_checks, visibility_score, gemini, round(mention_rate, 6) AS mention_rate,
           coalesce((SELECT string_agg(name, '|' ORDER BY place) FROM rivals r WHERE r.audit_id = v.audit_id AND place <= 5), '') AS top_competitors, failed_shown
-          FROM vis v JOIN tech t ON t.site_id = v.audit_id JOIN biz b ON b.audit_id = v.audit_id JOIN shown s ON s.site_id = v.audit_id""",
+          FROM every_audit v JOIN biz b ON b.audit_id = v.audit_id JOIN shown s ON s.site_id = v.audit_id""",
         "audit_records": f"""{ALL_CHECKS}, {CATEGORY}, {RESPONSES}, {VISIBILITY}, qn AS (WITH {QUESTIONS} SELECT audit_id, count(*) AS n FROM questions GROUP BY 1), sy AS (WITH {SYNTHESIS} SELECT * FROM synthesis)
           SELECT p.page_id AS audit_id, p.url, technical_score, visibility_score, total_checks AS checks, coalesce(qn.n, 0) AS queries, coalesce(len(sy.recs), 0) AS recommendations, sy.verdict
           FROM pages p JOIN tech t ON t.site_id = p.page_id LEFT JOIN vis v ON v.audit_id = p.page_id LEFT JOIN qn ON qn.audit_id = p.page_id LEFT JOIN sy ON sy.audit_id = p.page_id""",
         "call_costs": f"WITH {USAGE} SELECT event_id, {dbl('cost_usd')} AS cost_usd, {dbl('cost_eur')} AS cost_eur, priced FROM usage_",
         "unpriced_models": f"WITH {USAGE} SELECT provider, model, count(*) AS calls FROM exact_usd WHERE actual_cost_usd <= 0 AND NOT listed GROUP BY 1, 2",
-        "month_to_date": f"WITH {USAGE} SELECT '2024-01' AS month, {dbl('sum(cost_eur)')} AS total_eur FROM usage_ WHERE created_at >= TIMESTAMP '2024-01-01 00:00:00'",
+        "month_to_date": f"WITH {USAGE} SELECT '2024-01' AS month, {dbl('sum(cost_eur)')} AS total_eur FROM usage_ WHERE created_at >= TIMESTAMP '2024-01-01 00:00:00' AND created_at <= TIMESTAMP '2024-01-20 12:00:00'",
         "budget_status": f"""WITH {LEDGER}, t AS (SELECT date_trunc('month', created_at) AS m, sum(cost_eur) AS s FROM ledger GROUP BY 1) SELECT strftime(m, '%Y-%m') AS month, {dbl('s')} AS total_eur,
           {dbl(f'greatest(0, {K.CAPS_ORDERS.cap} - s)')} AS remaining_eur, CASE WHEN s >= {K.CAPS_ORDERS.cap} THEN 'blocked' WHEN s >= {K.CAPS_ORDERS.critical} THEN 'critical' WHEN s >= {K.CAPS_ORDERS.warning} THEN 'warning' ELSE 'ok' END AS alert_level,
           s + 1.30 <= {K.CAPS_ORDERS.cap} AS can_run_audit FROM t""",
-        "request_admission": f"""WITH {LEDGER}, t AS (SELECT date_trunc('month', created_at) AS m, sum(cost_eur) AS s FROM ledger GROUP BY 1),
-          r AS (SELECT o_orderkey AS request_id, date_trunc('month', o_orderdate) AS m, row_number() OVER (PARTITION BY date_trunc('month', o_orderdate) ORDER BY o_orderdate, o_orderkey) AS n FROM orders)
-          SELECT request_id, coalesce(s, 0) + n * 1.30 <= {K.CAPS_ORDERS.cap} AS admitted FROM r LEFT JOIN t USING (m)""",
+        "request_admission": f"""WITH {LEDGER}, t AS (SELECT date_trunc('month', created_at) AS m, created_at, sum(sum(cost_eur)) OVER (PARTITION BY date_trunc('month', created_at) ORDER BY created_at) AS s FROM ledger GROUP BY 1, 2),
+          r AS (SELECT o_orderkey AS request_id, o_orderdate AS at_, date_trunc('month', o_orderdate) AS m, row_number() OVER (PARTITION BY date_trunc('month', o_orderdate) ORDER BY o_orderdate, o_orderkey) AS n FROM orders)
+          SELECT request_id, coalesce(s, 0) + n * 1.30 <= {K.CAPS_ORDERS.cap} AS admitted FROM r ASOF LEFT JOIN t ON r.m = t.m AND r.at_ > t.created_at""",
         "threshold_crossings": f"WITH {LEDGER}, {crossings('ledger', K.CAPS_ORDERS, True)}",
         "usage_crossings": f"WITH {USAGE}, {crossings('usage_', K.CAPS_EVENTS, False)}",
         "audit_costs": f"""WITH {USAGE} SELECT audit_id, {', '.join(f"{dbl(f"coalesce(sum(cost_eur) FILTER (WHERE request_type = {q(t)}), 0)")} AS {t}_eur" for t in ('brand_extraction', 'queries_generation', 'visibility_query', 'mention_analysis', 'synthesis'))},

@@ -134,3 +134,36 @@ def test_display(value):
 )
 def test_model_provider(value, model, provider):
     assert value(M.model_provider(F.lit(model))) == provider
+
+
+def asked_at(spark, minutes):
+    start = datetime(2024, 3, 5)
+    rows = [(i, start + timedelta(minutes=m), datetime(2024, 3, 1)) for i, m in enumerate(minutes)]
+    return spark.createDataFrame(rows, "request_id bigint, requested_at timestamp, month timestamp")
+
+
+def spent_at(spark, rows):
+    start = datetime(2024, 3, 5)
+    df = spark.createDataFrame([(start + timedelta(minutes=m), c) for m, c in rows], "created_at timestamp, cost_eur string")
+    return df.withColumn("cost_eur", F.col("cost_eur").cast("decimal(10,6)"))
+
+
+@pytest.mark.parametrize("cap", [3.9, 6.5, 7.8, 9.1, 11.7, 13.0, 15.6])
+def test_admission_counts_in_exact_decimals(spark, cap):
+    none = spark.createDataFrame([], "month timestamp, total_eur decimal(20,6)")
+    rows = costs.admit_requests(asked_at(spark, range(20)), none, costs.Caps(cap=cap)).filter("admitted").count()
+    assert rows == round(cap / 1.3)
+
+
+def test_admission_sees_the_spend_before_a_request(spark):
+    none = spark.createDataFrame([], "month timestamp, total_eur decimal(20,6)")
+    spent = spent_at(spark, [(-100, "1.0"), (2, "5.0"), (500, "80.0")])
+    rows = costs.admit_requests(asked_at(spark, [0, 1, 2, 3, 4, 600]), none, costs.Caps(cap=10.0), spent).orderBy("request_id").collect()
+    # 1 + 1.3 k up to the third request, whose instant is not before the spend of 5; then 6 + 1.3 k.
+    assert [r["admitted"] for r in rows] == [True, True, True, False, False, False]
+
+
+def test_month_to_date_stops_at_now(spark):
+    january = spark.createDataFrame([(datetime(2024, 1, 10), "1.0"), (datetime(2024, 2, 10), "5.0"), (datetime(2024, 1, 21), "2.0")], "created_at timestamp, cost_eur string")
+    rows = january.withColumn("cost_eur", F.col("cost_eur").cast("decimal(10,6)"))
+    assert float(costs.month_to_date(rows, "2024-01-20T00:00:00").first()["total_eur"]) == 1.0

@@ -1,7 +1,12 @@
 """Page signals against the standard library's HTML parser, and on awkward markup."""
 
+import html
 from html.parser import HTMLParser
 
+import pytest
+from pyspark.sql import functions as F
+
+from geovis.functions import html as H
 from geovis.operators import jsonld, robots, signals
 
 VOID = {"br", "img", "meta", "link", "input", "hr"}
@@ -144,3 +149,52 @@ def test_robots_rules_match_line_by_line_reading(spark):
         for bot in ("GPTBot", "Other"):
             assert access[i, bot] == brute_allowed(text, bot), (text, bot)
         assert strict[i, "GPTBot"] == brute_allowed(text, "GPTBot", ("/",)), text
+
+
+REFERENCES = [
+    "&#x27;", "&uuml;", "&ntilde;", "&frac12;", "&#9;", "&#55357;&#56832;", "&#9999999;", "&#99999999999999999999;", "&#x110000;",
+    "&#0;", "&#128;", "&#x9f;", "&amp;lt;", "&#38;lt;", "&AMP;copy;", "a & b &nope; &amp;#38;", "&#39", "x&#x1F600;y",
+    "&Tab;&NewLine;&equals;", "&NotEqualTilde;", "", "&", "&;", "&#;", "&#x;",
+]
+
+
+def test_references_match_the_standard_library(spark):
+    rows = spark.createDataFrame([(t,) for t in REFERENCES], "t string").select("t", H.decode_entities(F.col("t")).alias("got")).collect()
+    assert {r["t"]: r["got"] for r in rows} == {t: html.unescape(t) for t in REFERENCES}
+
+
+def signals_of(spark, page, *columns):
+    df = spark.createDataFrame([(1, "http://e.com/", page)], "page_id long, url string, html string")
+    return signals.page_signals(df).select(*columns).first()
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<p " + " ".join(f'a{k}="v>{k}"' for k in range(10_000)) + ">Hello</p>", "Hello"),
+        ("<p title=it's>Hello</p><p> it's me</p>", "Hello it's me"),
+        ("<img alt='a > b' src=x>after", "after"),
+        ('<a "' * 20_000 + ">x", "x"),
+        ('<a "' * 20_000, ('<a "' * 20_000).strip()),
+        ("&#9999999;&uuml;", "\ufffdü"),
+    ],
+    ids=["many attributes", "stray apostrophe", "bracket in a value", "open quotes", "open quotes without end", "references"],
+)
+def test_hostile_markup(spark, page, text):
+    assert signals_of(spark, page, "text")["text"] == text
+
+
+@pytest.mark.parametrize("between, answer", [("", "Oui."), (" some text ", "Oui."), ("<ul></ul>", ""), (" text <br>", "")])
+def test_answer_is_the_next_element(spark, between, answer):
+    rows = signals_of(spark, f"<h2>Pourquoi ?</h2>{between}<p>Oui.</p>", "answers")["answers"]
+    assert [(r["heading"], r["answer"]) for r in rows] == [("Pourquoi ?", answer)]
+
+
+def test_long_meta_key(spark):
+    assert list(signals_of(spark, f'<meta property="og:{"k" * 1200}" content="x">', "og")["og"]) == ["k" * 1200]
+
+
+def test_huge_review_count(spark):
+    page = '<script type="application/ld+json">{"@type":"Product","aggregateRating":{"ratingValue":4,"reviewCount":"%s"}}</script>' % ("9" * 23)
+    df = spark.createDataFrame([(1, page)], "page_id long, html string")
+    assert jsonld.jsonld_objects(df).first()["reviews"] == int(jsonld.MOST_REVIEWS)
