@@ -22,6 +22,7 @@ from geovis.operators import robots as R
 from geovis.operators import sitemaps as S
 from geovis.operators.links import sample_links
 from geovis.operators.signals import page_language, page_signals, with_markup
+from geovis.session import saved
 
 # Link patterns of social profiles.
 SOCIAL_PATTERNS = [
@@ -296,8 +297,9 @@ def site_facts(
     sites: DataFrame, now: str, url_status: DataFrame, measures: DataFrame,
     search_results: DataFrame, articles: DataFrame,
 ) -> DataFrame:
-    """The full fact row per site."""
-    own = page_facts(sites, now)
+    """The full fact row per site. The narrow facts of the pages are written once to the shared
+    folder: the three lookups and the result read them there, and HTML is read a single time."""
+    own = saved(page_facts(sites, now), "page-facts")
     brands = mention_counts(search_results).join(encyclopedia_presence(articles), "brand", "full")
     counts = {f"mentions_{k}": 0 for k in SEARCH_KINDS}
     return (

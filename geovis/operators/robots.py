@@ -50,8 +50,11 @@ def rules(text: Column) -> Column:
     every agent named above it in its block; rules before any agent are dropped."""
 
     def of_block(fields):
+        numbered = F.transform(fields, lambda f, i: F.struct(f.key.alias("key"), f.value.alias("value"), i.alias("line")))
+        return let(F.filter(numbered, lambda f: f.key == "user-agent"), lambda agents: of_lines(fields, agents))
+
+    def of_lines(fields, agents):
         def of_line(field, i):
-            agents = F.filter(F.slice(fields, 1, i), lambda f: f.key == "user-agent")
             return (
                 F.when(
                     field.key == "user-agent",
@@ -60,7 +63,7 @@ def rules(text: Column) -> Column:
                 .when(
                     field.key.isin("allow", "disallow"),
                     F.transform(
-                        agents,
+                        F.filter(agents, lambda a: a.line < i),
                         lambda a: F.struct(a.value.alias("agent"), field.key.alias("kind"), field.value.alias("value")),
                     ),
                 )

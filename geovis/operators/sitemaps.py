@@ -106,7 +106,8 @@ def probe_results(samples: DataFrame, url_status: DataFrame, key: str = "site_id
 
 
 def llms_structure(text: Column) -> Column:
-    """Counts of the parts of an llms.txt file and its 0-3 points."""
+    """Counts of the parts of an llms.txt file and its 0-3 points. Its patterns, and those of
+    `entries` and `children`, are fixed values."""
 
     def grade(p):
         points = (
@@ -137,11 +138,22 @@ def llms_links(text: Column) -> Column:
 
 
 def covered_links(link_list: Column, entry_list: Column) -> Column:
-    """How many links equal or extend a sitemap address of the same site."""
+    """How many links equal or extend a sitemap address of the same site.
+
+    Addresses and links are walked in one sorted order. All strings that extend an address stand
+    right behind it, so the addresses that the present one extends are kept as a short list; an
+    address drops out of it for good at the first string that does not extend it.
+    """
+    kind = lambda items, is_link: F.transform(items, lambda x: F.struct(x.alias("text"), F.lit(is_link).alias("is_link")))
     locs = F.array_distinct(F.transform(entry_list, lambda e: _cut_slash(e.loc)))
-    return let(
-        locs,
-        lambda known: F.size(
-            F.filter(link_list, lambda link: F.exists(known, lambda s: F.startswith(link, s)))
-        ),
-    )
+    known = F.filter(locs, lambda x: x.isNotNull())
+    start = F.struct(F.array().cast("array<string>").alias("above"), F.lit(0).alias("n"))
+
+    def step(seen, item):
+        above = F.filter(seen["above"], lambda x: F.startswith(item["text"], x))
+        return F.struct(
+            F.when(item["is_link"], above).otherwise(F.concat(above, F.array(item["text"]))).alias("above"),
+            (seen["n"] + F.when(item["is_link"] & (F.size(above) > 0), 1).otherwise(0)).alias("n"),
+        )
+
+    return F.aggregate(F.array_sort(F.concat(kind(known, False), kind(link_list, True))), start, step, lambda seen: seen["n"])

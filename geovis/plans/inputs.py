@@ -189,15 +189,13 @@ SELECT 'Maison ' || CAST(doc_id % {BRANDS} AS STRING) AS brand,
 FROM documents
 """
 
+# Every document is the French or the English article of a brand.
 ARTICLE_SQL = f"""
-SELECT 'Maison ' || CAST(doc_id % {BRANDS} AS STRING) AS brand, 'fr' AS lang,
-  CASE WHEN doc_id % 14 = 0 THEN 'disambiguation' ELSE 'standard' END AS type,
-  CASE WHEN doc_id % 10 = 0 THEN '' ELSE text END AS extract
-FROM documents WHERE doc_id % 2 = 0
-UNION ALL
-SELECT 'Maison ' || CAST(doc_id % {BRANDS} AS STRING) AS brand, 'en' AS lang,
-  'standard' AS type, CASE WHEN doc_id % 9 = 0 THEN NULL ELSE text END AS extract
-FROM documents WHERE doc_id % 3 = 0
+SELECT 'Maison ' || CAST(doc_id % {BRANDS} AS STRING) AS brand,
+  CASE WHEN CAST(floor(doc_id / {BRANDS}) AS BIGINT) % 2 = 0 THEN 'fr' ELSE 'en' END AS lang,
+  CASE WHEN doc_id % 7 = 0 THEN 'disambiguation' ELSE 'standard' END AS type,
+  CASE WHEN doc_id % 10 = 0 THEN '' WHEN doc_id % 9 = 0 THEN NULL ELSE text END AS extract
+FROM documents
 """
 
 CAPTURE_SQL = """
@@ -326,7 +324,7 @@ def _list(prefix: str, count: int) -> str:
 QUESTION_JSON_SQL = f"""
 SELECT conv_id AS audit_id,
   CASE conv_id % 6 WHEN 5 THEN '{{"branded": []}}' WHEN 4 THEN '{{"branded": {_list("b", 10)}, "service": {_list("s", 9)}, "comparative": {_list("c", 10)}}}'
-  ELSE '{{"branded": {_list("avis", 10)}, "service": {_list("Quel service a Lyon", 10)}, "comparative": ["' || substr(replace(replace(text, chr(10), ' '), '"', ' '), 1, 20) || '", ' || '{_list("mieux que", 9)[1:]}}}' END AS completion
+  ELSE '{{"branded": {_list("avis", 10)}, "service": {_list("Quel service a Lyon", 10)}, "comparative": ["' || replace(replace(text, chr(10), ' '), '"', ' ') || '", ' || '{_list("mieux que", 9)[1:]}}}' END AS completion
 FROM conversations WHERE turn = 0
 """
 
@@ -372,10 +370,14 @@ FROM events
 TEXT_TABLES = {"pages", "documents", "conversations"}
 
 
+SPREAD_BELOW = 8
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on a small file of costly rows; a table of many splits is left as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """Use all cores on a small file of costly rows: one that Spark reads in fewer than
+    SPREAD_BELOW splits, so at most that many splits are ever moved."""
+    few = df.rdd.getNumPartitions() < SPREAD_BELOW
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if few else df
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -410,24 +412,24 @@ def url_status(spark, sf_dir) -> DataFrame:
 
 
 def page_captures(spark, sf_dir) -> DataFrame:
-    """Fetched pages under the addresses that links lead to."""
+    """Fetched pages with `urls`, the addresses that links lead to."""
     from geovis.functions import urls as U
 
     own = derive(spark, sf_dir, PAGE_FETCH_SQL, "pages")
-    linked = own.withColumn("url", U.resolve_link(F.col("url"), U.origin(F.col("url"))))
-    service = own.filter("page_id % 4 = 0").withColumn(
-        "url", F.concat(U.origin(F.col("url")), F.lit("/services/conseil"))
-    )
-    return linked.unionByName(service)
+    origin = U.origin(F.col("url"))
+    linked = U.resolve_link(F.col("url"), origin)
+    service = F.when(F.col("page_id") % 4 == 0, F.concat(origin, F.lit("/services/conseil")))
+    return own.withColumn("urls", F.array_compact(F.array(linked, service)))
 
 
 def measures(spark, sf_dir) -> DataFrame:
-    """Measures of fetched pages, one row per address: HTML is reduced to numbers before the
-    shuffle; of several fetches the first counts."""
+    """Measures of fetched pages, one row per address: HTML is read once and reduced to numbers
+    before the shuffle; of several fetches the first counts."""
     from geovis.operators.facts import page_measures
 
-    rows = page_measures(page_captures(spark, sf_dir), keep=["page_id"])
+    rows = page_measures(page_captures(spark, sf_dir), keep=["page_id", "urls"])
     fields = ["status", "ok", "method", "words", "md_tested", "md_ok"]
+    rows = rows.select(F.explode("urls").alias("url"), "page_id", *fields)
     return rows.groupBy("url").agg(F.min_by(F.struct(*fields), "page_id").alias("m")).select("url", "m.*")
 
 

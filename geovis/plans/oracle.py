@@ -655,7 +655,7 @@ def _reply_sql(kind):
         usd = f"CASE WHEN model = 'google/gemini-2.5-flash' THEN (CAST(json_extract_string(j, '{tin}') AS DECIMAL(12,0)) * 0.3 + CAST(json_extract_string(j, '{tout}') AS DECIMAL(12,0)) * 2.5) * 0.000001 ELSE 0 END"
         sources = "array_to_string(list_transform(list_filter(coalesce(CAST(json_extract(j, '$.candidates[0].groundingMetadata.groundingChunks') AS JSON[]), CAST([] AS JSON[])), lambda x: json_extract_string(x, '$.web.uri') IS NOT NULL), lambda x: json_extract_string(x, '$.web.uri') || '=' || coalesce(json_extract_string(x, '$.web.title'), '')), '|')"
     return f"""raw_r AS ({sql}), parsed_r AS (SELECT *, CASE WHEN json_valid(reply) THEN CAST(reply AS JSON) END AS j FROM raw_r),
-errs AS (SELECT *, CASE WHEN status NOT BETWEEN 200 AND 299 THEN 'HTTP ' || status || ': ' || substr(reply, 1, 500) {bad} END AS error FROM parsed_r),
+errs AS (SELECT *, CASE WHEN status NOT BETWEEN 200 AND 299 THEN 'HTTP ' || status || ': ' || reply {bad} END AS error FROM parsed_r),
 reply_{kind} AS (SELECT response_id, model, CASE WHEN error IS NULL THEN {text} END AS text, CASE WHEN error IS NULL THEN coalesce(CAST(json_extract_string(j, '{tin}') AS INT), 0) ELSE 0 END AS tokens_in,
   CASE WHEN error IS NULL THEN coalesce(CAST(json_extract_string(j, '{tout}') AS INT), 0) ELSE 0 END AS tokens_out, CASE WHEN error IS NULL THEN CAST({usd} AS DOUBLE) ELSE 0 END AS usd,
   CASE WHEN error IS NULL THEN {sources} ELSE '' END AS sources, error FROM errs)"""

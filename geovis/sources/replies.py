@@ -6,9 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geovis.functions import money as M
-from geovis.functions.text import excerpt, strip_fences
-
-ERROR_LENGTH = 500
+from geovis.functions.text import strip_fences
 
 CHAT_REPLY = """struct<
   choices: array<struct<message: struct<content: string, annotations: array<struct<
@@ -43,7 +41,7 @@ def _http_error():
     return F.when(
         ~F.coalesce(F.col("status").between(200, 299), F.lit(False)),
         F.concat(F.lit("HTTP "), F.coalesce(F.col("status").cast("string"), F.lit("0")), F.lit(": "),
-                 excerpt(F.coalesce("reply", F.lit("")), ERROR_LENGTH)),
+                 F.coalesce("reply", F.lit(""))),
     )
 
 

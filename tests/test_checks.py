@@ -161,3 +161,26 @@ def test_scores_leave_skipped_checks_out(spark):
     assert scores == {"content": 15, "authority": 0, "foundations": 0}
     total = scoring.technical_scores(df).first()
     assert (total["technical_score"], total["total_checks"], total["passed_checks"]) == (15, 5, 1)
+
+
+def test_covered_links_and_robots_stay_linear(spark):
+    """Tens of thousands of addresses and rules are read in seconds."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    from geovis.operators import robots, sitemaps
+
+    known, n = [f"https://e.com/{k}/" for k in range(50_000)], 50_000
+    links = [f"https://e.com/{k}" for k in range(0, 100_000, 50)] + ["https://e.com/7/deep/er", "https://other.com/1", "https://e.co"]
+    df = spark.createDataFrame([(links, known)], "links array<string>, known array<string>")
+    df = df.select("links", F.transform("known", lambda x: F.struct(x.alias("loc"))).alias("entries"))
+    start = time.time()
+    got = df.select(sitemaps.covered_links(F.col("links"), F.col("entries")).alias("n")).first()["n"]
+    cut = {k.removesuffix("/") for k in known}
+    prefixes = lambda x: any(x[:e] in cut for e in range(len(x) + 1))
+    assert got == sum(prefixes(x) for x in links)
+    text = "User-agent: a\nUser-agent: b\n" + "\n".join(f"Disallow: /{k}" for k in range(n))
+    rows = spark.createDataFrame([(1, text)], "site_id long, robots_txt string")
+    assert robots.robots_rules(rows).count() == 2 + 2 * n
+    assert time.time() - start < 60
