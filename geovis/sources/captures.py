@@ -20,13 +20,16 @@ def choose_capture(captures: DataFrame, allow_rendered: bool = True) -> DataFram
     The direct capture stands when it holds content. Otherwise a rendered one of more than 500
     characters lends its body to the direct head, or stands alone if the direct one failed; then
     a headless one; then whatever worked. One shuffle: the three captures of an address meet in
-    a single aggregation.
+    a single aggregation. Of several captures by one method the last counts, by `fetched_at` if
+    there is one; equal times are told apart by success, status and content.
     """
     fields = ["ok", "status", "html", "method", "headers"]
     row = F.struct(*fields)
+    times = ["fetched_at"] if "fetched_at" in captures.columns else []
+    order = F.struct(*times, "ok", "status", F.xxhash64("html"))
     picked = captures.groupBy("url").agg(
         *[
-            F.first(F.when(F.col("method") == m, row), ignorenulls=True).alias(name)
+            F.max_by(row, F.when(F.col("method") == m, order)).alias(name)
             for m, name in ((DIRECT, "d"), (RENDERED, "r"), (HEADLESS, "h"))
         ]
     )

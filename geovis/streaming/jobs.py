@@ -17,12 +17,14 @@ from geovis.sources import requests as R
 WATERMARK = "1 day"
 
 
-def file_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
-    """A Parquet folder (or file pattern) as a stream, with the schema of what is there."""
+FILES_PER_BATCH = 256
+
+
+def file_stream(spark: SparkSession, path: str, files_per_batch: int = FILES_PER_BATCH) -> DataFrame:
+    """A Parquet folder (or file pattern) as a stream, with the schema of what is there. A
+    micro-batch takes a bounded number of files, so a backlog is worked off in steps."""
     reader = spark.readStream.schema(spark.read.parquet(path).schema)
-    if files_per_batch:
-        reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(path)
+    return reader.option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
 def run_batches(stream: DataFrame, step, folder: str, available_now: bool = True):
@@ -72,8 +74,10 @@ def running_visibility(
     answers: DataFrame, brands: DataFrame, folder: str, available_now: bool = True
 ):
     """Mentions per answer and additive score parts per batch, from a stream of analysed answers
-    (with completion and created_at). A repeated answer of a question and provider counts once."""
-    first = answers.withWatermark("created_at", WATERMARK).dropDuplicatesWithinWatermark(["response_id"])
+    (with completion and created_at). A repeated answer of a question (audit_id, position) and
+    provider counts once."""
+    question = ["audit_id", "position", "provider"]
+    first = answers.withWatermark("created_at", WATERMARK).dropDuplicatesWithinWatermark(question)
 
     def step(batch: DataFrame, batch_id: int) -> None:
         loaded = contracts.load_analyses(batch.select("response_id", "completion"))
