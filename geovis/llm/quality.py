@@ -35,8 +35,7 @@ SAMPLE_ROWS = 8000
 MOST_RULES = 12
 MOST_CONDITIONS = 3
 LEAST_SUPPORT = 5
-LEAST_PRECISION = 0.98
-THRESHOLDS = 64
+LEAST_PRECISION = 0.95
 
 
 def statistics(docs: DataFrame) -> DataFrame:
@@ -103,18 +102,6 @@ class Condition(NamedTuple):
         return value > self.threshold if self.above else value <= self.threshold
 
 
-def candidates(values: dict[str, np.ndarray]) -> list[Condition]:
-    """Conditions between neighbouring values, at THRESHOLDS evenly spread places at most."""
-    out = []
-    for name, column in values.items():
-        distinct = np.unique(column)
-        middle = (distinct[:-1] + distinct[1:]) / 2
-        if len(middle) > THRESHOLDS:
-            middle = middle[np.linspace(0, len(middle) - 1, THRESHOLDS).astype(int)]
-        out += [Condition(name, above, float(t)) for t in middle for above in (False, True)]
-    return out
-
-
 def covered(rule: list[Condition], values: dict[str, np.ndarray], n: int) -> np.ndarray:
     mask = np.ones(n, bool)
     for c in rule:
@@ -122,20 +109,31 @@ def covered(rule: list[Condition], values: dict[str, np.ndarray], n: int) -> np.
     return mask
 
 
+def best_condition(values: dict[str, np.ndarray], bad: np.ndarray) -> tuple[float, Condition | None]:
+    """The condition with the largest gain in information, of all thresholds halfway between
+    neighbouring values of a feature, and its gain."""
+    most, best = 1e-9, None
+    n, p = len(bad), int(bad.sum())
+    before = np.log2(p / n) if p else 0.0
+    for name, column in values.items():
+        order = np.argsort(column, kind="stable")
+        ordered = column[order]
+        ends = np.flatnonzero(ordered[1:] != ordered[:-1])
+        below = np.cumsum(bad[order])[ends]
+        for above, hit, size in ((False, below, ends + 1), (True, p - below, n - ends - 1)):
+            gain = np.where(hit > 0, hit * (np.log2(np.maximum(hit, 1) / size) - before), -np.inf)
+            if len(gain) and gain.max() > most:
+                at = int(gain.argmax())
+                most, best = float(gain[at]), Condition(name, above, float((ordered[ends[at]] + ordered[ends[at] + 1]) / 2))
+    return most, best
+
+
 def grow(values: dict[str, np.ndarray], bad: np.ndarray) -> list[Condition]:
-    """Add the condition with the largest gain in information until the rule covers no good row."""
+    """Add the condition with the largest gain until the rule covers no good row."""
     rule: list[Condition] = []
     mask = np.ones(len(bad), bool)
     while len(rule) < MOST_CONDITIONS and (mask & ~bad).any():
-        inside = {k: v[mask] for k, v in values.items()}
-        now = bad[mask]
-        before = np.log2(now.mean()) if now.any() else 0.0
-        best, most = None, 1e-9
-        for c in candidates(inside):
-            hit = c.holds(inside)
-            p = int((hit & now).sum())
-            if p and (gain := p * (np.log2(p / hit.sum()) - before)) > most:
-                best, most = c, gain
+        _, best = best_condition({k: v[mask] for k, v in values.items()}, bad[mask])
         if best is None:
             break
         rule.append(best)
