@@ -316,7 +316,8 @@ def plausible(text: str, span: Span) -> bool:
         return False
     alone = not (start and text[start - 1].isalnum()) and not (end < len(text) and text[end].isalnum())
     if KINDS[kind] == "email":
-        return "@" in body and "." in body.partition("@")[2] and alone
+        tight = re.sub(r" ?[\[(]?@[\])]? ?", "@", body)
+        return "@" in tight and "." in tight.partition("@")[2] and not re.search(r"\s", tight) and alone
     letters = any(c.isalpha() for c in body)
     least, most = {"ip": (4, 12), "card": (16, 19), "phone": (9, 15)}[KINDS[kind]]
     return not letters and least <= digits <= most and alone
