@@ -153,6 +153,27 @@ def _levels(caps: Caps) -> Column:
     )
 
 
+def _on_driver(few: DataFrame) -> DataFrame:
+    """A few rows without their lineage. Instants travel as numbers, so that no time zone of the
+    driver touches them."""
+    times = [f.name for f in few.schema.fields if f.dataType.typeName() == "timestamp"]
+    plain = few.withColumns({t: F.unix_micros(t) for t in times})
+    back = few.sparkSession.createDataFrame(plain.collect(), plain.schema)
+    return back.withColumns({t: F.timestamp_micros(t) for t in times})
+
+
+def _of_minutes(ledger: DataFrame, found: DataFrame) -> DataFrame:
+    """The ledger rows of a few minutes."""
+    rows = found.select(F.unix_micros("minute").alias("at"), F.date_format("minute", "yyyy-MM").alias("month")).distinct().collect()
+    inside = F.lit(False)
+    for r in rows:
+        first, behind = (F.timestamp_micros(F.lit(at)) for at in (r["at"], r["at"] + 60_000_000))
+        inside = inside | ((F.col("created_at") >= first) & (F.col("created_at") < behind))
+    if "usage_month" in ledger.columns:
+        ledger = ledger.filter(F.col("usage_month").isin(sorted({r["month"] for r in rows})))
+    return ledger.filter(inside)
+
+
 def threshold_crossings(
     ledger: DataFrame, caps: Caps = Caps(), opening: DataFrame | None = None
 ) -> DataFrame:
@@ -165,15 +186,23 @@ def threshold_crossings(
     id chunk inside the crossing instant, then rows. Each step sums map-side and keeps one group
     per (month, limit), so a window sees at most the minutes of a month, the instants of a
     minute, or one chunk of ids. Costs are not negative, so each limit is crossed once.
+
+    The ledger is read in full once, for the sums per minute. What a step has located, at most
+    two rows per calendar month, comes to the driver, and the later steps read the crossing
+    minutes alone: their bounds reach the scan as filters on `created_at` and `usage_month`.
     """
-    rows = ledger.filter(F.col("cost_eur") > 0).select(
-        M.month_start(F.col("created_at")).alias("month"),
-        F.date_trunc("minute", "created_at").alias("minute"),
-        "created_at",
-        F.floor(F.col("event_id") / F.lit(ID_CHUNK)).alias("chunk"),
-        "event_id",
-        "cost_eur",
-    )
+
+    def within(part: DataFrame) -> DataFrame:
+        return part.filter(F.col("cost_eur") > 0).select(
+            M.month_start(F.col("created_at")).alias("month"),
+            F.date_trunc("minute", "created_at").alias("minute"),
+            "created_at",
+            F.floor(F.col("event_id") / F.lit(ID_CHUNK)).alias("chunk"),
+            "event_id",
+            "cost_eur",
+        )
+
+    rows = within(ledger)
     steps = ["minute", "created_at", "chunk", "event_id"]
     start = F.lit("0").cast("decimal(28,6)")
     found = None
@@ -208,7 +237,10 @@ def threshold_crossings(
         if step == steps[-1]:
             found = located.select(*parents, step, "level", "before", "after")
         else:
-            found = located.select(*parents, step, "level", "limit", F.col("before").alias("base"))
+            kept = located.select(*parents, step, "level", "limit", F.col("before").alias("base"))
+            found = _on_driver(kept)
+            if step == "minute":
+                rows = within(_of_minutes(ledger, found))
     return (
         found.groupBy("month", "event_id", "created_at")
         .agg(
