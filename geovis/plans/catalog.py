@@ -16,7 +16,7 @@ from geovis.operators import scoring, signals, sitemaps, visibility
 from geovis.operators.links import sample_links
 from geovis.plans import inputs as I
 from geovis.plans import streams
-from geovis.session import saved
+from geovis.session import saved, work_dir
 from geovis.sources import captures, replies, requests, sinks
 
 NOW_EVENTS = "2024-01-20T12:00:00"
@@ -291,7 +291,10 @@ def technical_scores(spark, sf) -> DataFrame:
 
 def failed_checks(spark, sf) -> DataFrame:
     rows = report.check_lists(all_checks(spark, sf), "site_id")
-    return rows.select("site_id", F.size("failed_checks").alias("shown"), F.size("checks").alias("listed"))
+    said = F.transform(F.array_sort(F.transform("checks", lambda c: F.struct(c.check_id, c.status, c.points_earned))), lambda c: F.concat_ws(":", c.check_id, c.status, c.points_earned.cast("int")))
+    return rows.select(
+        "site_id", F.size("failed_checks").alias("shown"), F.size("checks").alias("listed"), F.array_join(said, ",").alias("outcomes")
+    )
 
 
 def brand_mention_counts(spark, sf) -> DataFrame:
@@ -598,6 +601,46 @@ def integrity_report(spark, sf) -> DataFrame:
     return out
 
 
+def table_rules(spark, sf) -> DataFrame:
+    """Violations of the stored tables' own rules."""
+    audits = I.derive(spark, sf, "SELECT event_type AS status, CAST(floor(value) AS INT) AS progress FROM events", "events")
+    answers = I.derive(spark, sf, "SELECT l_orderkey AS query_id, CASE WHEN l_linenumber < 3 THEN 'openai' ELSE lower(l_returnflag) END AS provider FROM lineitem", "lineitem")
+    out = None
+    for table, rows in (("audits", audits), ("ai_responses", answers)):
+        one = guards.table_violations(rows, table).select(F.lit(table).alias("table_name"), "rule", "violations")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def written_tables(spark, sf) -> DataFrame:
+    """Rows and ids of the stored tables, read back from where the writer put them."""
+    folder = work_dir(spark, "tables")
+    usage = _usage(spark, sf).withColumnRenamed("event_id", "id")
+    frames = {
+        "audits": _audits(spark, sf), "queries": I.derive(spark, sf, I.CHILD_SQL, "lineitem"),
+        "ai_responses": I.derive(spark, sf, I.RESPONSE_SQL, "lineitem"), "api_usage": usage,
+    }
+    sinks.write_tables(frames, folder)
+    out = None
+    for name in frames:
+        rows = spark.read.parquet(f"{folder}/{name}")
+        part = F.col("usage_month").cast("string") if name == "api_usage" else F.lit("")
+        one = rows.groupBy(part.alias("part")).agg(F.count("*").alias("n_rows"), F.sum("id").alias("ids"))
+        one = one.select(F.lit(name).alias("table_name"), "part", "n_rows", "ids")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def exported_records(spark, sf) -> DataFrame:
+    """Exported records per day and domain, read back from the JSON files."""
+    folder = work_dir(spark, "export")
+    records = I.derive(spark, sf, "SELECT page_id, url, html FROM pages", "pages")
+    records = records.withColumn("fetched_at", F.timestamp_seconds(F.lit(1704067200) + F.col("page_id") * 7200))
+    sinks.write_records(records, folder)
+    rows = spark.read.schema("page_id long, url string, html string, domain string, day string").json(folder)
+    return rows.groupBy("day", "domain").agg(F.count("*").alias("n_records"), F.sum(F.length("html")).alias("html_chars"))
+
+
 def audit_states(spark, sf) -> DataFrame:
     events = I.derive(spark, sf, I.STATE_SQL, "events")
     s = sinks.current_state(events)
@@ -685,6 +728,9 @@ QUERIES = {
     "owned_answers": owned_answers,
     "owned_analyses": owned_analyses,
     "integrity_report": integrity_report,
+    "table_rules": table_rules,
+    "written_tables": written_tables,
+    "exported_records": exported_records,
     "audit_states": audit_states,
     "stream_spend_alerts": streams.spend_alerts_query,
     "stream_rate_windows": streams.rate_windows_query,

@@ -729,7 +729,7 @@ def statements() -> dict[str, str]:
           SELECT CASE WHEN model LIKE 'google/%' THEN 'gemini' ELSE 'perplexity' END AS provider, count(*) AS answers, count(error) AS errors, CAST(sum(tokens_in) AS BIGINT) AS tokens_in, count(*) AS known FROM every GROUP BY 1""",
         "category_scores": f"{ALL_CHECKS}, {CATEGORY} SELECT * FROM cats",
         "technical_scores": f"{ALL_CHECKS}, {CATEGORY} SELECT * FROM tech",
-        "failed_checks": f"{ALL_CHECKS} SELECT site_id, least(count(*) FILTER (WHERE status IN ('fail', 'warn')), 10) AS shown, count(*) AS listed FROM checks GROUP BY site_id",
+        "failed_checks": f"{ALL_CHECKS} SELECT site_id, least(count(*) FILTER (WHERE status IN ('fail', 'warn')), 10) AS shown, count(*) AS listed, string_agg(check_id || ':' || status || ':' || CAST(points_earned AS INT), ',' ORDER BY check_id) AS outcomes FROM checks GROUP BY site_id",
         "brand_mention_counts": f"WITH {SEARCH} SELECT * FROM mention_counts",
         "encyclopedia_articles": f"WITH {ARTICLES} SELECT * FROM wiki",
         "site_overview": by_facts + f"""{host('url')} AS domain, coalesce(lang, {last_of('og', "x.property = 'og:locale'")}) AS language, sampled,
@@ -801,6 +801,16 @@ def statements() -> dict[str, str]:
           UNION ALL SELECT 'score out of range', count(*) FROM lineitem WHERE l_quantity IS NULL OR l_quantity NOT BETWEEN 1 AND 45
           UNION ALL SELECT 'unknown status', count(*) FROM orders WHERE o_orderstatus NOT IN ('O', 'F')
           UNION ALL SELECT 'audit without owner', count(*) FROM orders WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_custkey % 50 <> 0)""",
+        "table_rules": """SELECT 'audits' AS table_name, 'status not allowed' AS rule, count(*) FILTER (WHERE event_type NOT IN ('queued', 'scraping', 'extracting', 'querying', 'analyzing', 'scoring', 'done', 'failed')) AS violations FROM events
+          UNION ALL SELECT 'audits', 'progress out of range', count(*) FILTER (WHERE floor(value) IS NULL OR floor(value) NOT BETWEEN 0 AND 100) FROM events
+          UNION ALL SELECT 'ai_responses', 'provider not allowed', count(*) FILTER (WHERE l_linenumber >= 3) FROM lineitem
+          UNION ALL SELECT 'ai_responses', 'query_id, provider not unique', count(*) FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey, CASE WHEN l_linenumber < 3 THEN 'openai' ELSE lower(l_returnflag) END HAVING count(*) > 1)""",
+        "written_tables": f"""WITH {USAGE} SELECT 'audits' AS table_name, '' AS part, count(*) AS n_rows, sum(o_orderkey)::BIGINT AS ids FROM orders
+          UNION ALL SELECT 'queries', '', count(*), sum(l_orderkey * 10 + l_linenumber)::BIGINT FROM lineitem
+          UNION ALL SELECT 'ai_responses', '', count(*), sum(l_orderkey * 10 + l_linenumber)::BIGINT FROM lineitem
+          UNION ALL SELECT 'api_usage', strftime(created_at, '%Y-%m'), count(*), sum(event_id)::BIGINT FROM usage_ GROUP BY strftime(created_at, '%Y-%m')""",
+        "exported_records": f"""SELECT strftime(TIMESTAMP '2024-01-01 00:00:00' + INTERVAL 2 HOUR * page_id, '%Y-%m-%d') AS day, replace({host('url')}, '.', '_') AS domain,
+          count(*) AS n_records, sum(length(html))::BIGINT AS html_chars FROM pages GROUP BY 1, 2""",
         "audit_states": f"""WITH s AS ({I.STATE_SQL}), l AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY audit_id ORDER BY event_ts DESC, seq DESC) = 1)
           SELECT audit_id, status, CASE WHEN status = 'done' THEN 100 ELSE progress END AS progress, current_step, CASE WHEN status = 'failed' THEN error_message END AS error_message, language,
           CASE WHEN status IN ('done', 'failed') THEN epoch_us(event_ts) END AS completed_at, epoch_us(event_ts) AS updated_at FROM l""",
