@@ -14,9 +14,12 @@ merge-scanned against every existing level: runs with the same anchor string are
 and are extended to both sides to their longest match. Matches of LENGTH bytes or more mark both
 runs. The batch then becomes a level, and while the last two levels are of like size they
 merge, so there are logarithmically many. A run equal to an indexed one is marked and left out.
+Anchors with more than MANY different runs in a level are not matched pair by pair: once all
+batches are in, their windows are sorted, all that stand at the same distance from the anchor at
+a time, so the work stays close to linear.
 
-Anchors that more than 1/HOT_SHARE of all runs have (common lines, large groups of copies) would
-all meet in one task. Their runs are first cut into blocks of BLOCK windows that count again by
+An anchor that more than LEAST_HOT runs and more than 1/HOT_SHARE of all runs have (a common line,
+a large group of near copies) would be too much for one task. Its runs are first cut into blocks of BLOCK windows that count again by
 the bytes that all windows of the block share, which clears short common strings; what is left is
 compared window by window by 128-bit hashes, as counts that Spark combines before it shuffles.
 
@@ -45,12 +48,13 @@ LENGTH = 200
 GRAM = 32
 GRAMS = LENGTH - GRAM + 1  # anchors' places in a window
 LEFT = GRAMS - 1  # most bytes of a window before its anchor
-HOT_SHARE = 20_000
-LEAST_HOT = 256
+HOT_SHARE = 2_000_000  # bounds the keys to tell all tasks: 16 MB
+LEAST_HOT = 100_000  # runs that one task takes in any case: 30 MB of text, 72 MB indexed
+MANY = 512
 BLOCK = 24
 CORE = LENGTH - BLOCK + 1  # bytes that all windows of a block share
-TASK_RUNS = 100_000
-PLACE_BITS = 20
+TASK_RUNS = 50_000
+PLACE_BITS = 18
 BUFFER = 1 << PLACE_BITS
 BASE = 0x9E3779B97F4A7C15  # odd
 
@@ -158,12 +162,15 @@ class Levels:
     """The logarithmic family of suffix arrays of one task. An entry is a run's text from its
     anchor on, then its text before the anchor backwards, then both lengths; sorted as bytes."""
 
-    ENTRY = LENGTH + LEFT + 2
+    LEFT_WORD = LENGTH // 8  # an entry in 64-bit words: after the anchor, before it, lengths
+    SIZE_WORD = (LENGTH + LEFT) // 8
+    ENTRY = LENGTH + LEFT + 8
 
     def __init__(self) -> None:
         self.levels: list[tuple[np.ndarray, np.ndarray]] = []  # entries in order, their runs
         self.whole = np.zeros(0, bool)  # of each run
-        self.marks = np.zeros((0, GRAMS + 1), np.int32)  # of each run: changes along the distances
+        self.marks = np.zeros((0, GRAMS + 1), np.int16)  # of each run: changes along the distances
+        self.many: set[bytes] = set()  # anchors whose windows are to be sorted
 
     @classmethod
     def entries(cls, texts: list[bytes], left: np.ndarray) -> np.ndarray:
@@ -177,9 +184,14 @@ class Levels:
         back = np.arange(LEFT)[None, :]
         on = back < left[:, None]
         out[:, LENGTH : LENGTH + LEFT][on] = flat[((at + left - 1)[:, None] - back)[on]]
-        out[:, -2], out[:, -1] = size - left, left
+        out[:, LENGTH + LEFT], out[:, LENGTH + LEFT + 1] = size - left, left
         return out
 
+    @classmethod
+    def sizes(cls, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes from the anchor on, and before it."""
+        return entries[:, LENGTH + LEFT].astype(np.int64), entries[:, LENGTH + LEFT + 1].astype(np.int64)
+
     @classmethod
     def as_keys(cls, entries: np.ndarray) -> np.ndarray:
         return np.ascontiguousarray(entries).view(f"S{cls.ENTRY}").ravel()
@@ -192,7 +204,7 @@ class Levels:
         """Index a batch of runs; they are numbered in the order of adding."""
         base = len(self.whole)
         self.whole = np.concatenate([self.whole, np.zeros(len(texts), bool)])
-        self.marks = np.concatenate([self.marks, np.zeros((len(texts), GRAMS + 1), np.int32)])
+        self.marks = np.concatenate([self.marks, np.zeros((len(texts), GRAMS + 1), np.int16)])
         entries = self.entries(texts, left)
         order = np.argsort(self.as_keys(entries), kind="stable")
         entries, runs = entries[order], order + base
@@ -228,6 +240,9 @@ class Levels:
         if new is old:
             low = np.arange(len(new)) + 1  # each pair once
         count = np.maximum(high - low, 0)
+        many = count > MANY
+        self.many.update(anchors[many].tolist())
+        count[many] = 0
         total = np.concatenate([[0], np.cumsum(count)])
         at = 0
         while at < len(new):
@@ -235,38 +250,77 @@ class Levels:
             n = count[at:stop]
             i = np.repeat(np.arange(at, stop), n)
             k = np.arange(len(i)) - np.repeat(total[at:stop] - total[at], n) + np.repeat(low[at:stop], n)
-            for part in range(0, len(i), 100_000):
-                self.extend(new, new_runs, i[part : part + 100_000], old, old_runs, k[part : part + 100_000])
+            self.extend(new, new_runs, i, old, old_runs, k)
             at = stop
 
     def extend(self, a: np.ndarray, a_runs: np.ndarray, i: np.ndarray, b: np.ndarray, b_runs: np.ndarray, k: np.ndarray) -> None:
-        ahead = common(a[:, :LENGTH], i, b[:, :LENGTH], k, np.minimum(a[i, -2], b[k, -2]))
-        long = ahead >= GRAM
-        i, k, ahead = i[long], k[long], ahead[long]
-        back = common(a[:, LENGTH : LENGTH + LEFT], i, b[:, LENGTH : LENGTH + LEFT], k, np.minimum(a[i, -1], b[k, -1]))
+        (a_ahead, a_back), (b_ahead, b_back) = self.sizes(a), self.sizes(b)
+        a, b = a.view(np.uint64), b.view(np.uint64)
+        ahead = np.minimum(common(a[:, : self.LEFT_WORD], i, b[:, : self.LEFT_WORD], k), np.minimum(a_ahead[i], b_ahead[k]))
+        back = slice(self.LEFT_WORD, self.SIZE_WORD)
+        back = np.minimum(common(a[:, back], i, b[:, back], k), np.minimum(a_back[i], b_back[k]))
         long = ahead + back >= LENGTH
         for runs in (a_runs[i[long]], b_runs[k[long]]):
             np.add.at(self.marks, (runs, LENGTH - ahead[long]), 1)  # from this distance to the anchor
             np.add.at(self.marks, (runs, back[long] + 1), -1)  # up to this one
 
+    def sort_windows(self) -> None:
+        """Mark the repeated windows of anchors with many runs."""
+        if not self.many:
+            return
+        entries, runs = (np.concatenate(c) for c in zip(*self.levels, strict=True))
+        anchors = self.anchors(entries)
+        mine = np.isin(anchors, np.array(sorted(self.many), anchors.dtype))
+        entries, runs, anchors = entries[mine], runs[mine], anchors[mine]
+        ahead, back = self.sizes(entries)
+        _, group = np.unique(anchors, return_inverse=True)
+        weights = np.random.default_rng(1).integers(0, 1 << 63, LENGTH // 8 + 1).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+        for distance in range(GRAMS):
+            rows = np.flatnonzero((back >= distance) & (ahead >= LENGTH - distance))
+            if not len(rows):
+                continue
+            window = np.empty((len(rows), LENGTH + 8), np.uint8)
+            window[:, :8] = group[rows].astype(">u8")[:, None].view(np.uint8)
+            window[:, 8 : 8 + LENGTH - distance] = entries[rows, : LENGTH - distance]
+            window[:, 8 + LENGTH - distance :] = entries[rows, LENGTH : LENGTH + distance]
+            words = window.view(np.uint64)
+            hashes = mixed((words * weights).sum(axis=1, dtype=np.uint64))
+            order = np.argsort(hashes, kind="stable")
+            alike = hashes[order[1:]] == hashes[order[:-1]]
+            same = alike.copy()
+            at = np.flatnonzero(alike)
+            same[at] = (words[order[at + 1]] == words[order[at]]).all(axis=1)
+            if (same != alike).any():  # different windows of one hash: sort the windows themselves
+                order = np.argsort(window.view(f"S{LENGTH + 8}").ravel(), kind="stable")
+                same = (words[order[1:]] == words[order[:-1]]).all(axis=1)
+            hit = runs[rows[order[np.concatenate([same, [False]]) | np.concatenate([[False], same])]]]
+            self.marks[hit, distance] += 1
+            self.marks[hit, distance + 1] -= 1
+        self.many = set()
+
     def spans(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Run, and the range of window distances [least, most] from its anchor that repeat; a
         range of -1 stands for the whole run."""
-        on = np.cumsum(self.marks, axis=1)[:, :GRAMS] > 0
-        on[self.whole] = False
-        edge = np.diff(np.pad(on, ((0, 0), (1, 1))).astype(np.int8), axis=1)
-        run, least = np.nonzero(edge == 1)
-        _, most = np.nonzero(edge == -1)
+        self.sort_windows()
         whole = np.flatnonzero(self.whole)
         none = np.full(len(whole), -1)
-        return np.concatenate([run, whole]), np.concatenate([least, none]), np.concatenate([most - 1, none])
+        found = [(whole, none, none)]
+        for at in range(0, len(self.marks), 8192):
+            on = np.cumsum(self.marks[at : at + 8192], axis=1, dtype=np.int16)[:, :GRAMS] > 0
+            on[self.whole[at : at + 8192]] = False
+            edge = np.diff(np.pad(on, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+            run, least = np.nonzero(edge == 1)
+            found.append((run + at, least, np.nonzero(edge == -1)[1] - 1))
+        return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
 
-def common(a: np.ndarray, i: np.ndarray, b: np.ndarray, k: np.ndarray, most: np.ndarray) -> np.ndarray:
-    """Length of the common prefix of rows i of a and k of b, at most `most`."""
-    differ = a[i] != b[k]
-    first = differ.argmax(axis=1)
-    return np.minimum(np.where(differ[np.arange(len(i)), first], first, a.shape[1]), most.astype(np.int64))
+def common(a: np.ndarray, i: np.ndarray, b: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Number of equal leading bytes of rows i of a and k of b, both in 64-bit words."""
+    differ = a[i] ^ b[k]
+    word = (differ != 0).argmax(axis=1)
+    first = differ[np.arange(len(i)), word]
+    low = np.bitwise_count((first & (~first + np.uint64(1))) - np.uint64(1)).astype(np.int64) >> 3
+    return np.where(first == 0, 8 * a.shape[1], 8 * word + low)
 
 
 def identified(docs: DataFrame) -> DataFrame:
@@ -305,9 +359,36 @@ def run_rows(docs: DataFrame, hot: np.ndarray) -> DataFrame:
     return map_arrow(long_texts(docs), run, ROWS)
 
 
+def packed_place(start: np.ndarray, left: np.ndarray, windows: np.ndarray, fine: bool) -> np.ndarray:
+    """A run's place in its text as one number: start, bytes before the anchor, windows, fine."""
+    return (start.astype(np.int64) << 17) | (left.astype(np.int64) << 9) | (windows.astype(np.int64) << 1) | int(fine)
+
+
 def place() -> Column:
-    """A number for a place; copies of a text share their places."""
-    return F.xxhash64("a", "b", "start")
+    """A number for a place in the corpus; copies of a text share their places."""
+    return F.xxhash64("a", "b", "place")
+
+
+def run_rows(docs: DataFrame, hot: np.ndarray) -> DataFrame:
+    """key, a, b, place of the runs of all texts; runs with a hot key are replaced by their fine
+    blocks."""
+    schema = arrow_schema(key=pa.int64(), a=pa.int64(), b=pa.int64(), place=pa.int64())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 400):
+            a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            texts = [t.encode() for t in batch.column(2).to_pylist()]
+            runs = Runs(texts)
+            is_hot = np.isin(runs.key, hot) if len(hot) else np.zeros(len(runs.key), bool)
+            cold = ~is_hot
+            t = runs.text[cold]
+            yield record(schema, runs.key[cold].view(np.int64), a[t], b[t], packed_place(runs.start[cold], runs.left[cold], runs.windows[cold], False))
+            if is_hot.any():
+                index, start, windows, key = blocks(texts, runs, np.flatnonzero(is_hot))
+                t = runs.text[index]
+                yield record(schema, key.view(np.int64), a[t], b[t], packed_place(start, np.zeros(len(t)), windows, True))
+
+    return map_arrow(long_texts(docs), run, "key long, a long, b long, place long")
 
 
 def repeated(rows: DataFrame) -> DataFrame:
@@ -317,18 +398,18 @@ def repeated(rows: DataFrame) -> DataFrame:
 
 
 def selected(docs: DataFrame) -> DataFrame:
-    """a, b, runs: for every text with runs that may repeat, these runs."""
+    """a, b, runs: for every text with runs that may repeat, these runs as (key, place)."""
     counted = stored(repeated(run_rows(docs, np.zeros(0, np.uint64))), "repeated-anchors")
     total = counted.agg(F.sum("n")).first()[0] or 0
     most = max(LEAST_HOT, total // HOT_SHARE)  # so there are at most HOT_SHARE hot keys
     hot = np.array(sorted(r["key"] % (1 << 64) for r in counted.filter(F.col("n") > most).select("key").collect()), np.uint64)
-    keys = counted.filter(F.col("n") <= most).select("key", F.lit(False).alias("fine"))
+    keys = counted.filter(F.col("n") <= most).select("key")
     rows = run_rows(docs, hot)
     if len(hot):
-        fine = repeated(rows.filter("fine")).select("key", F.lit(True).alias("fine"))
-        keys = stored(keys.unionByName(fine), "keys")
-    kept = rows.join(keys, ["key", "fine"])
-    return kept.groupBy("a", "b").agg(F.collect_set(F.struct("key", "start", "windows", "left_bytes", "fine")).alias("runs"))
+        fine = repeated(rows.filter(F.col("place").bitwiseAND(F.lit(1)) == 1)).select("key")
+        keys = stored(keys.unionByName(fine).distinct(), "keys")
+    kept = rows.join(keys, "key")
+    return kept.groupBy("a", "b").agg(F.collect_set(F.struct("key", "place")).alias("runs"))
 
 
 def packed_texts(docs: DataFrame, columns: list[str]) -> DataFrame:
@@ -356,17 +437,15 @@ def with_texts(docs: DataFrame, runs: DataFrame) -> DataFrame:
     return chosen.join(texts, ["a", "b", "_one"]).select("a", "b", "packed", "runs")
 
 
-RUN_COLUMNS = ("key", "start", "windows", "left_bytes", "fine")
-
-
 def unpacked_runs(batch: pa.RecordBatch) -> tuple[list[bytes], np.ndarray, dict[str, np.ndarray]]:
-    """The texts, and for all runs of a batch the row they belong to and their columns."""
+    """The texts, and for all runs of a batch the row they belong to and their parts."""
     opener = zstandard.ZstdDecompressor()
     texts = [opener.decompress(x) for x in batch.column(2).to_pylist()]
     lists = batch.column(3)
     owner = np.repeat(np.arange(len(texts)), lists.value_lengths().to_numpy())
-    flat = lists.flatten()
-    return texts, owner, {c: flat.field(c).to_numpy(zero_copy_only=False) for c in RUN_COLUMNS}
+    key, place = (lists.flatten().field(c).to_numpy() for c in ("key", "place"))
+    parts = {"key": key, "start": place >> 17, "left": (place >> 9) & 255, "windows": (place >> 1) & 255, "fine": (place & 1).astype(bool)}
+    return texts, owner, parts
 
 
 def indexed_spans(texts: DataFrame, partitions: int) -> DataFrame:
@@ -376,11 +455,11 @@ def indexed_spans(texts: DataFrame, partitions: int) -> DataFrame:
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 400):
             whole, owner, runs = unpacked_runs(batch)
-            use = np.flatnonzero(~runs["fine"].astype(bool))
+            use = np.flatnonzero(~runs["fine"])
             t = owner[use]
             start, stop = runs["start"][use], runs["start"][use] + runs["windows"][use] + LENGTH - 1
             data = [whole[k][s:e] for k, s, e in zip(t.tolist(), start.tolist(), stop.tolist(), strict=True)]
-            yield record(moved, runs["key"][use], batch.column(0).to_numpy()[t], batch.column(1).to_numpy()[t], start, runs["left_bytes"][use], data)
+            yield record(moved, runs["key"][use], batch.column(0).to_numpy()[t], batch.column(1).to_numpy()[t], start, runs["left"][use].astype(np.int32), data)
 
     out = arrow_schema(a=pa.int64(), b=pa.int64(), from_byte=pa.int64(), to_byte=pa.int64())
 
@@ -415,8 +494,8 @@ def window_spans(texts: DataFrame) -> DataFrame:
 
         for batch in slices(batches, 100):
             whole, owner, runs = unpacked_runs(batch)
-            use = np.flatnonzero(runs["fine"].astype(bool))
-            n = runs["windows"][use].astype(np.int64)
+            use = np.flatnonzero(runs["fine"])
+            n = runs["windows"][use]
             t = np.repeat(owner[use], n)
             start = np.repeat(runs["start"][use], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             hashes = b"".join([xxh3_128_digest(whole[k][s : s + LENGTH]) for k, s in zip(t.tolist(), start.tolist(), strict=True)])
@@ -424,7 +503,8 @@ def window_spans(texts: DataFrame) -> DataFrame:
             yield record(schema, pairs[:, 0], pairs[:, 1], batch.column(0).to_numpy()[t], batch.column(1).to_numpy()[t], start)
 
     rows = stored(map_arrow(texts, run, "w long, v long, a long, b long, start long"), "windows")
-    seen = rows.groupBy("w", "v").agg(F.min(place()).alias("least"), F.max(place()).alias("most")).filter("least <> most")
+    where = F.xxhash64("a", "b", "start")
+    seen = rows.groupBy("w", "v").agg(F.min(where).alias("least"), F.max(where).alias("most")).filter("least <> most")
     seen = stored(seen.select("w", "v"), "repeated-windows")
     return rows.join(seen, ["w", "v"]).select("a", "b", F.col("start").alias("from_byte"), (F.col("start") + LENGTH).alias("to_byte"))
 
@@ -433,13 +513,14 @@ def spans(docs: DataFrame) -> DataFrame:
     """a, b, spans: per distinct text of LENGTH bytes or more, the byte ranges that go (they may
     overlap); texts that lose nothing are not listed."""
     runs = stored(selected(docs), "runs")
-    shape = runs.agg(F.sum(F.size("runs")), F.max(F.exists("runs", lambda r: r["fine"]))).first()
+    is_fine = lambda r: r["place"].bitwiseAND(F.lit(1)) == 1
+    shape = runs.agg(F.sum(F.size("runs")), F.max(F.exists("runs", is_fine))).first()
     total, any_fine = shape[0] or 0, bool(shape[1])
     partitions = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_RUNS))
     texts = with_texts(docs, runs)
     found = indexed_spans(texts, partitions)
     if any_fine:
-        found = found.unionByName(window_spans(texts.filter(F.exists("runs", lambda r: r["fine"]))))
+        found = found.unionByName(window_spans(texts.filter(F.exists("runs", is_fine))))
     copies = identified(docs.select("text")).filter(F.col("_bytes") >= LENGTH).groupBy("_a", "_b", "_bytes").count().filter("count > 1")
     found = found.unionByName(copies.select(F.col("_a").alias("a"), F.col("_b").alias("b"), F.lit(0).cast("long").alias("from_byte"), F.col("_bytes").alias("to_byte")))
     return stored(found.groupBy("a", "b").agg(F.collect_set(F.struct("from_byte", "to_byte")).alias("spans")), "spans")

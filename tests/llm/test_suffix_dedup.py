@@ -64,6 +64,31 @@ def test_hot_anchors(documents, monkeypatch):
     assert found(documents(rows)) == brute(rows)
 
 
+def test_sorted_windows(documents, monkeypatch):
+    """With every shared anchor taken as one of many runs, the result is the same."""
+    monkeypatch.setattr(suffix_dedup, "MANY", 0)
+    levels = suffix_dedup.Levels
+    rows = corpus(7)
+    texts = [(t or "").encode() for _, t in dict.fromkeys(rows)]
+    runs = suffix_dedup.Runs(texts)
+    data = [texts[t][s : s + n + suffix_dedup.LENGTH - 1] for t, s, n in zip(runs.text, runs.start, runs.windows, strict=True)]
+
+    def found(many, step):
+        monkeypatch.setattr(suffix_dedup, "MANY", many)
+        index = levels()
+        for at in range(0, len(data), step):
+            index.add(data[at : at + step], runs.left[at : at + step])
+        run, least, most = index.spans()
+        last = runs.left - runs.windows + 1
+        out = set()
+        for r, a, b in zip(run.tolist(), least.tolist(), most.tolist(), strict=True):
+            out |= {(r, d) for d in (range(int(last[r]), int(runs.left[r]) + 1) if a < 0 else range(a, b + 1))}
+        return out
+
+    pairs = found(1 << 30, 50)
+    assert pairs and found(0, 50) == pairs == found(0, len(data)) == found(3, 17)
+
+
 def test_some_hot_anchors(documents, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "LEAST_HOT", 5)
     rows = corpus(3)
