@@ -52,6 +52,7 @@ def page_meta(spark, sf) -> DataFrame:
         signals.page_language(F.col("lang"), F.col("og")).alias("language"),
         F.col("og")["site_name"].alias("og_site_name"), F.col("og")["title"].alias("og_title"),
         F.size("og").alias("og_count"), F.col("twitter")["card"].alias("twitter_card"),
+        F.array_join(F.array_sort(F.transform(F.map_entries("og"), lambda e: F.concat(e.key, F.lit("="), e.value))), "|").alias("og_pairs"),
     )
 
 

@@ -691,7 +691,8 @@ def statements() -> dict[str, str]:
           len({keep("string_split(" + path('url') + ", '/')", "x <> ''")}) AS depth, CASE WHEN starts_with(url, 'https') THEN 'https' ELSE 'http' END AS protocol,
           NOT {has('url', '(?i)[.](?:' + '|'.join(ASSET_SUFFIXES) + ')$')} AS is_page FROM pages""",
         "page_meta": sig + f"""title, description, canonical, viewport, coalesce(lang, {last_of('og', "x.property = 'og:locale'")}) AS language, {last_of('og', "x.property = 'og:site_name'")} AS og_site_name,
-          {last_of('og', "x.property = 'og:title'")} AS og_title, len(list_distinct({each('og', 'x.property')})) AS og_count, {last_of('twitter', "x.name = 'twitter:card'")} AS twitter_card FROM sig""",
+          {last_of('og', "x.property = 'og:title'")} AS og_title, len(list_distinct({each('og', 'x.property')})) AS og_count, {last_of('twitter', "x.name = 'twitter:card'")} AS twitter_card,
+          array_to_string(list_sort([substr(p, 4) || '=' || list_last([x.content FOR x IN og IF x.property = p]) FOR p IN list_distinct([x.property FOR x IN og])]), '|') AS og_pairs FROM sig""",
         "page_headings": sig + "array_to_string(h1, '|') AS h1, len(h2) AS h2_count, len(h4) AS h4_count, array_to_string(list_concat(h2, h3), '|') AS h2_h3 FROM sig",
         "question_headings": f"WITH {SIGNALS}, hs AS (SELECT site_id, list_concat(list_concat(h1, h2), h3) AS l FROM sig), u AS (SELECT site_id, unnest(l) AS heading, generate_subscripts(l, 1) - 1 AS ord FROM hs) SELECT *, {is_question('heading')} AS is_question FROM u",
         "heading_answers": f"WITH {SIGNALS}, u AS (SELECT site_id, unnest(ah) AS heading, unnest(ap) || unnest(ad) AS answer, generate_subscripts(ah, 1) - 1 AS ord FROM sig) SELECT *, {opens('answer')} AS direct FROM u",
