@@ -3,6 +3,10 @@
 The vocabulary drops white space and never merges across it, so a text's ids are the ids of its
 words one after the other. Every worker keeps the ids of the words it met, which saves most of
 the work: a corpus repeats its words. The store has two generations of bounded size.
+
+A word of letters with punctuation behind it, the usual case, is two pieces for the vocabulary's
+own splitting rule, so its letters go straight to the merges, in lower case and once for all their
+spellings. Every other word goes through the whole tokenizer.
 """
 
 from __future__ import annotations
@@ -18,43 +22,83 @@ WHITE = re.compile("[" + "".join(map(chr, SPACES)) + "]+")
 ONLY_PYTHON = re.compile("[\x1c-\x1f]")
 
 
-class WordIds:
-    """Encodes texts to ids held as little-endian unsigned integers of `width` bytes."""
+# Punctuation that the splitting rule always parts from the letters before it, and
+# the end of the range of characters that lower-case one by one and are in normal form.
+TAIL = ".,;:!?%$&*#)"
+PLAIN = chr(0x250)
+NOT_PLAIN = chr(0x130)
+
+
+def byte_letters() -> dict[int, str]:
+    """The characters that stand for bytes inside the vocabulary: visible Latin-1 ones stand for
+    themselves, the others for those from 256 on, in order."""
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in set(visible)]
+    return {b: chr(b) for b in visible} | {b: chr(256 + k) for k, b in enumerate(others)}
 
-    def __init__(self, path: str, width: int = 4, room: int = 250_000) -> None:
+
+class WordIds(dict):
+    """The ids of words, held as little-endian unsigned integers of `width` bytes; a word that is
+    not there yet is encoded when it is first asked for."""
+
+    def __init__(self, path: str, width: int = 4, room: int = 300_000) -> None:
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.merge = self.tokenizer.model.tokenize
         self.code = {2: "H", 4: "I"}[width]
-        self.room = room
-        self.young: dict[str, bytes] = {}
+        self.room, self.letters = room, byte_letters()
+        self.tails: dict[str, bytes] = {"": b""}
+        self.stems: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def words(self, text: str) -> list[str]:
-        if ONLY_PYTHON.search(text):
-            return [w for w in WHITE.split(text) if w]
-        return text.split()
+    def packed(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{self.code}", *ids)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [self.words(t) for t in texts]
-        met = set().union(*split) if split else set()
-        new = []
-        for word in met - self.young.keys():
-            if word in self.old:
-                self.young[word] = self.old[word]
+    def whole(self, text: str) -> bytes:
+        return self.packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            stem = word.rstrip(TAIL)
+            if stem.isalpha() and (stem.isascii() or max(stem) < PLAIN and NOT_PLAIN not in stem):
+                ids = self.of_stem(stem.lower())
+                tail = word[len(stem) :]
+                if tail:
+                    if tail not in self.tails:
+                        self.tails[tail] = self.whole(tail)
+                    ids += self.tails[tail]
             else:
-                new.append(word)
-        for start in range(0, len(new), 20_000):
-            some = new[start : start + 20_000]
-            for word, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                ids = e.ids
-                self.young[word] = struct.pack(f"<{len(ids)}{self.code}", *ids)
-        get = self.young.__getitem__
-        out = [b"".join(map(get, words)) for words in split]
-        if len(self.young) > self.room:
-            self.old, self.young = self.young, {}
-        return out
+                ids = self.whole(word)
+        self[word] = ids
+        return ids
+
+    def of_stem(self, low: str) -> bytes:
+        ids = self.stems.get(low)
+        if ids is None:
+            coded = low if low.isascii() else low.encode().decode("latin-1").translate(self.letters)
+            self.stems[low] = ids = self.packed([t.id for t in self.merge(coded)])
+        return ids
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Each text's ids."""
+        if len(self) > self.room:  # the words of now become the older generation
+            self.old = dict(self)
+            self.clear()
+        for store in (self.stems, self.tails):
+            if len(store) > self.room // 2:
+                store.clear()
+        get = self.__getitem__
+        return [b"".join(map(get, words(text))) for text in texts]
+
+
+def words(text: str) -> list[str]:
+    if ONLY_PYTHON.search(text):
+        return [w for w in WHITE.split(text) if w]
+    return text.split()
 
 
 KEPT: dict[tuple, WordIds] = {}
