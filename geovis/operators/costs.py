@@ -163,15 +163,18 @@ def _on_driver(few: DataFrame) -> DataFrame:
 
 
 def _of_minutes(ledger: DataFrame, found: DataFrame) -> DataFrame:
-    """The ledger rows of a few minutes."""
-    rows = found.select(F.unix_micros("minute").alias("at"), F.date_format("minute", "yyyy-MM").alias("month")).distinct().collect()
-    inside = F.lit(False)
-    for r in rows:
-        first, behind = (F.timestamp_micros(F.lit(at)) for at in (r["at"], r["at"] + 60_000_000))
-        inside = inside | ((F.col("created_at") >= first) & (F.col("created_at") < behind))
+    """The ledger rows of a few minutes: outer bounds and months for the scan to prune by, and a
+    set of minutes."""
+    minute = F.floor(F.unix_micros("minute") / 60_000_000)
+    rows = found.select(minute.alias("at"), F.date_format("minute", "yyyy-MM").alias("month")).distinct().collect()
+    if not rows:
+        return ledger.filter(F.lit(False))
+    at = sorted({r["at"] for r in rows})
+    first, behind = (F.timestamp_seconds(F.lit(60 * m)) for m in (at[0], at[-1] + 1))
     if "usage_month" in ledger.columns:
         ledger = ledger.filter(F.col("usage_month").isin(sorted({r["month"] for r in rows})))
-    return ledger.filter(inside)
+    own = F.floor(F.unix_micros(F.col("created_at").cast("timestamp")) / 60_000_000)
+    return ledger.filter((F.col("created_at") >= first) & (F.col("created_at") < behind) & own.isin(at))
 
 
 def threshold_crossings(
@@ -189,7 +192,7 @@ def threshold_crossings(
 
     The ledger is read in full once, for the sums per minute. What a step has located, at most
     two rows per calendar month, comes to the driver, and the later steps read the crossing
-    minutes alone: their bounds reach the scan as filters on `created_at` and `usage_month`.
+    minutes alone: their outer bounds and months reach the scan as filters.
     """
 
     def within(part: DataFrame) -> DataFrame:
@@ -274,11 +277,21 @@ def admit_requests(
     if ledger is None:
         spent = spent.withColumn("spent", F.coalesce("base", zero))
     else:
-        # at most n instants for each calendar month
-        instants = ranked.groupBy("month").agg(F.array_sort(F.collect_list("requested_at")).alias("instants"))
-        dated = ledger.select(M.month_start(F.col("created_at")).alias("month"), "created_at", "cost_eur")
-        slotted = dated.join(F.broadcast(instants), "month").select(
-            "month", "cost_eur", F.size(F.filter("instants", lambda t: t <= F.col("created_at"))).alias("slot")
+        # one row per calendar day, which hold at most n instants of a month between them
+        of_day = F.date_trunc("day", "requested_at").alias("day")
+        days = ranked.groupBy("month", of_day).agg(F.array_sort(F.collect_list("requested_at")).alias("instants"))
+        whole = ranked.select("month").distinct().select(
+            "month", F.explode(F.sequence("month", F.date_trunc("day", F.last_day("month").cast("timestamp")), F.expr("INTERVAL 1 DAY"))).alias("day")
+        )
+        none = F.array().cast("array<timestamp>")
+        earlier = Window.partitionBy("month").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+        calendar = whole.join(days, ["month", "day"], "left").withColumn("instants", F.coalesce("instants", none))
+        calendar = calendar.withColumn("earlier", F.coalesce(F.sum(F.size("instants")).over(earlier), F.lit(0)))
+        dated = ledger.select(
+            M.month_start(F.col("created_at")).alias("month"), F.date_trunc("day", "created_at").alias("day"), "created_at", "cost_eur"
+        )
+        slotted = dated.join(F.broadcast(calendar), ["month", "day"]).select(
+            "month", "cost_eur", (F.col("earlier") + F.size(F.filter("instants", lambda t: t <= F.col("created_at")))).alias("slot")
         )
         parts = slotted.groupBy("month", "slot").agg(F.sum("cost_eur").alias("part")).withColumnRenamed("month", "part_month")
         before = (F.col("month") == F.col("part_month")) & (F.col("slot") < F.col("rank"))
