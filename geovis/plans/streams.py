@@ -9,7 +9,8 @@ from geovis.operators import costs
 from geovis.plans import inputs as I
 from geovis.session import configure, work_dir
 from geovis.streaming.jobs import (
-    file_stream, rate_windows, request_admission, running_visibility, spend_alerts, visibility_so_far,
+    file_stream, rate_windows, rate_windows_so_far, request_admission, running_visibility, spend_alerts,
+    visibility_so_far,
 )
 
 
@@ -35,20 +36,8 @@ def spend_alerts_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rate_windows_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = work_dir(spark, "rate")
     sql = "SELECT user_id AS ip, event_type AS action, CAST(ts AS TIMESTAMP) AS created_at FROM events"
-    windows = rate_windows(_view_stream(spark, sf_dir, "events", sql), 60, 30)
-
-    def step(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/windows/batch={batch_id}")
-
-    query = (
-        windows.writeStream.outputMode("update").foreachBatch(step)
-        .option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
-    rows = spark.read.parquet(f"{folder}/windows")
-    # an updated window appears once per batch; the last batch holds its final count
-    last = rows.groupBy("ip", "action", "window_end").agg(F.max_by("hits", "batch").alias("hits"))
-    return last.withColumn("window_end", F.unix_seconds("window_end"))
+    rate_windows(_view_stream(spark, sf_dir, "events", sql), folder, 60, 30).awaitTermination()
+    return rate_windows_so_far(spark, folder).withColumn("window_end", F.unix_seconds("window_end"))
 
 
 def visibility_query(spark: SparkSession, sf_dir: str) -> DataFrame:

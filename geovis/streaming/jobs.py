@@ -2,7 +2,8 @@
 
 Each job keeps its state in tables under one folder, one sub-folder per micro-batch, written with
 overwrite: a batch that is run again after a failure replaces its own output and changes nothing
-else. Rows later than the watermark of one day are left to a batch run of the same operators.
+else. Only `running_visibility` has a watermark: its answers more than a day behind the latest one
+seen in earlier batches are dropped. The other jobs take rows in any order of time.
 """
 
 from __future__ import annotations
@@ -58,16 +59,31 @@ def spend_alerts(usage: DataFrame, folder: str, caps: costs.Caps = costs.Caps(),
     return run_batches(usage, step, folder, available_now)
 
 
-def rate_windows(events: DataFrame, minutes: int = 10, slide_minutes: int = 1) -> DataFrame:
+def window_hits(events: DataFrame, minutes: int = 10, slide_minutes: int = 1) -> DataFrame:
     """Hits per key in sliding windows: (ip, action, window_end, hits). The exact trailing form is
     the batch operator `rate_history`."""
     window = F.window("created_at", f"{minutes} minutes", f"{slide_minutes} minutes")
-    return (
-        events.withWatermark("created_at", WATERMARK)
-        .groupBy("ip", "action", window.alias("w"))
-        .agg(F.count("*").alias("hits"))
-        .select("ip", "action", F.col("w.end").alias("window_end"), "hits")
-    )
+    counted = events.groupBy("ip", "action", window.alias("w")).agg(F.count("*").alias("hits"))
+    return counted.select("ip", "action", F.col("w.end").alias("window_end"), "hits")
+
+
+def rate_windows(
+    events: DataFrame, folder: str, minutes: int = 10, slide_minutes: int = 1, available_now: bool = True
+):
+    """Window hits of every batch, from a stream of events. They add up over the batches, so an
+    event counts however late it comes, and no state is kept."""
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        hits = window_hits(batch, minutes, slide_minutes)
+        hits.write.mode("overwrite").parquet(f"{folder}/windows/batch={batch_id}")
+
+    return run_batches(events, step, folder, available_now)
+
+
+def rate_windows_so_far(spark: SparkSession, folder: str) -> DataFrame:
+    """Hits per key and window over all batches so far."""
+    rows = spark.read.parquet(f"{folder}/windows")
+    return rows.groupBy("ip", "action", "window_end").agg(F.sum("hits").alias("hits"))
 
 
 def running_visibility(

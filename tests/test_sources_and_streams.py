@@ -87,6 +87,22 @@ def test_spend_alerts_over_many_batches_equal_one_batch_job(spark, sf, tmp_path)
     assert got == want and len(got) == 2
 
 
+def test_rate_windows_count_events_of_late_files(spark, tmp_path, monkeypatch):
+    """Files out of time order, one per batch, give the windows of the whole table."""
+    start = 1_704_067_200
+    rows = [(k, f"u{k % 3}", "click", start + 86_400 * day + 1_700 * k) for day in (9, 0, 5, 1) for k in range(20)]
+    for at in range(0, len(rows), 20):
+        part = spark.createDataFrame(rows[at : at + 20], "event_id long, user_id string, event_type string, s long")
+        part.select("event_id", "user_id", "event_type", F.timestamp_seconds("s").alias("ts")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    monkeypatch.setattr(streams, "file_stream", lambda spark, path: jobs.file_stream(spark, path, 1))
+    want = {}
+    for _, user, _, s in rows:
+        for end in (s // 1800 * 1800 + 1800, s // 1800 * 1800 + 3600):
+            want[user, "click", end] = want.get((user, "click", end), 0) + 1
+    got = [tuple(r) for r in streams.rate_windows_query(spark, str(tmp_path)).collect()]
+    assert len(got) == len(want) and {r[:3]: r[3] for r in got} == want
+
+
 def test_running_visibility_equals_batch(spark, sf):
     got = streams.visibility_query(spark, sf).orderBy("audit_id")
     assert got.collect() == catalog.visibility_scores(spark, sf).select(*got.columns).orderBy("audit_id").collect()
