@@ -3,11 +3,13 @@
 The rules find e-mail addresses, IP addresses, card and phone numbers. The tagger is a
 bidirectional LSTM over characters with a CRF over its tags, trained in numpy (`Tagger`). It learns from
 labelled spans: those of the rules in a bounded sample of windows, and the same windows with a
-span rewritten in a form people also use (`variants`). Spans of the tagger are added where they
-touch no span of the rules and have the digits or the `@` of their kind.
+span rewritten in a form people also use (`variants`, and `lengthened` for long addresses). Spans of the tagger are added where they
+touch no span of the rules and have the digits or the `@` of their kind. An added address reaches to
+the ends that the rule would give it around its sign, however long its parts are.
 
 Every kind has a digit or an `@`, so the tagger reads windows around those characters, wherever in
-the text they are; no part of a text is left out otherwise. Windows overlap by half. Each is
+the text they are; around an `@` they reach to the ends of the neighbouring words. An address spelled
+out without a sign (`jane at example dot com`) is not looked for. Windows overlap by half. Each is
 decoded on its own, each character takes its tag from the window in which it stands farthest from
 an edge, and the spans are then read from the whole text's tags, so a span that crosses windows is one.
 
@@ -46,6 +48,7 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DIGITS = re.compile("[0-9]")
 TRIGGER = re.compile("[0-9@]+")
+SPACE = re.compile(r"\s")
 
 
 def emails(text: str) -> Iterator[tuple[int, int]]:
@@ -83,14 +86,23 @@ def rule_spans(text: str) -> list[Span]:
 
 
 def windows_of(text: str) -> list[tuple[int, int]]:
-    """[start, end) of the windows around digits and `@`, in order. Places closer than their
-    context share a stretch; a longer stretch is cut into windows that overlap by half."""
+    """[start, end) of the windows around digits and `@`, in order. Around an `@` no word at the
+    edge of the context is cut. Places closer than their context share a stretch; a longer stretch
+    is cut into windows that overlap by half."""
     out: list[tuple[int, int]] = []
     stretch: list[int] = []
     for m in TRIGGER.finditer(text):
         start, end = max(0, m.start() - CONTEXT), min(len(text), m.end() + CONTEXT)
+        if "@" in m.group():
+            least = stretch[1] if stretch else 0
+            if not text[start].isspace():
+                while start > least and not text[start - 1].isspace():
+                    start -= 1
+            if end > least and not text[end - 1].isspace():
+                space = SPACE.search(text, end)
+                end = space.start() if space else len(text)
         if stretch and start <= stretch[1]:
-            stretch[1] = end
+            stretch[1] = max(stretch[1], end)
         else:
             if stretch:
                 out += cut_up(*stretch)
@@ -307,6 +319,41 @@ def variants(text: str, span: Span, rng: np.random.Generator) -> tuple[str, list
     return text[:start] + body + text[end:], [(kind, start, start + len(body))]
 
 
+def lengthened(text: str, span: Span, rng: np.random.Generator) -> tuple[str, list[Span]]:
+    """A window around the sign of an address in an added form with long parts, which the window's
+    ends may cut."""
+    kind, start, end = span
+    local, _, host = text[start:end].partition("@")
+    words = re.findall("[A-Za-z]{2,}", text) or ["x"]
+    more = lambda marks: "".join(words[int(rng.integers(len(words)))] + marks[int(rng.integers(len(marks)))] for _ in range(int(rng.integers(1, 8))))
+    local, host = more("._-") + local, more(".-") + host
+    sign = [" @ ", "[@]", "(@)"][int(rng.integers(3))]
+    at, stop = start + len(local), start + len(local) + len(sign) + len(host)
+    text = text[:start] + local + sign + host + text[end:]
+    first = max(0, min(len(text) - WINDOW, at - int(rng.integers(16, 48))))
+    return text[first : first + WINDOW], [(kind, max(0, start - first), min(stop - first, WINDOW))]
+
+
+def whole_address(text: str, span: Span, least: int) -> Span:
+    """An e-mail span that has its sign and some of both parts, out to the ends of these parts, but
+    not to before `least`; any other span as it is."""
+    kind, start, end = span
+    at = text.find("@", start, end) if KINDS[kind] == "email" else -1
+    if at < 0:
+        return span
+    left, right = at, at + 1
+    left -= text[left - 1 : left] in ("(", "[")
+    left -= text[left - 1 : left] == " "
+    right += text[right : right + 1] in (")", "]")
+    right += text[right : right + 1] == " "
+    if not start < left < right < end:
+        return span
+    while left > least and text[left - 1] in LOCAL:
+        left -= 1
+    host = DOMAIN.match(text, right)
+    return kind, min(start, left), max(end, host.end()) if host else end
+
+
 def plausible(text: str, span: Span) -> bool:
     """A span of the tagger has what its kind can't do without, and white space at no end."""
     kind, start, end = span
@@ -346,7 +393,7 @@ def fit(docs: DataFrame) -> Tagger | None:
     labelled = map_arrow(rows.join(F.broadcast(few.distinct()), "doc_id", "left_semi"), label, "window string, spans array<long>")
     sample = labelled.orderBy(F.xxhash64("window"), "window").limit(SAMPLE_WINDOWS).collect()
     texts, spans = [], []
-    rng = np.random.default_rng(3)
+    rng, long_rng = np.random.default_rng(3), np.random.default_rng(4)
     for row in sample:
         own = [tuple(row["spans"][k : k + 3]) for k in range(0, len(row["spans"]), 3)]
         texts.append(row["window"])
@@ -355,6 +402,10 @@ def fit(docs: DataFrame) -> Tagger | None:
         if other:
             texts.append(other[0])
             spans.append(other[1])
+        if len(own) == 1 and KINDS[own[0][0]] == "email":
+            window, cut = lengthened(row["window"], own[0], long_rng)
+            texts.append(window)
+            spans.append(cut)
     if not any(spans):
         return None
     tagger = Tagger()
@@ -393,8 +444,15 @@ def added_spans(texts: list[str], rules: list[list[Span]], tagger: Tagger) -> li
         out[k] += spans_of(tags, start)
         at = stop
     for k, spans in enumerate(out):
-        if spans:
-            out[k] = [x for x in spans if plausible(texts[k], x) and not any(x[1] < e and s < x[2] for _, s, e in rules[k])]
+        kept: list[Span] = []
+        for span in spans:
+            least = kept[-1][2] if kept else 0
+            for x in dict.fromkeys((whole_address(texts[k], span, least), span)):
+                if plausible(texts[k], x) and not any(x[1] < e and s < x[2] for _, s, e in rules[k]):
+                    if x[2] > least:  # else it is a part of the address before
+                        kept.append(x)
+                    break
+        out[k] = kept
     return out
 
 

@@ -107,6 +107,36 @@ def test_tagger_finds_the_rules_spans_again(tagger, spark):
     assert hits >= 0.9 * sum(map(len, found)), (hits, sum(map(len, wanted)), sum(map(len, found)))
 
 
+def test_long_added_addresses_are_whole(tagger):
+    """Addresses in added forms, with 30 and more characters on each side of the sign."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefghiklmnoprstuvw", k=rng.randint(4, 9)))
+
+    def long(sep):
+        out = word()
+        while len(out) < 30:
+            out += rng.choice(sep) + word()
+        return out
+
+    texts, wanted = [], []
+    for k in range(300):
+        address = long("._-") + ["(@)", "[@]", " @ "][k % 3] + long(".-") + ".example.org"
+        before = " ".join(word() for _ in range(rng.randint(1, 12))) + " "
+        texts.append(f"{before}{address} " + " ".join(word() for _ in range(rng.randint(1, 12))))
+        wanted.append((0, len(before), len(before) + len(address)))
+    found = pii.added_spans(texts, [[] for _ in texts], tagger)
+    hits = [w in f for w, f in zip(wanted, found, strict=True)]
+    print([sum(hits[k::3]) for k in range(3)])
+    assert sum(hits) >= 0.9 * len(texts)
+    assert all(len(f) <= 1 for f in found)
+
+
+def test_windows_do_not_cut_words_around_a_sign():
+    text = "see " + "a" * 90 + "(@)" + "b" * 90 + ".org or 7 " + "c" * 500
+    covered = {k for a, b in pii.windows_of(text) for k in range(a, b)}
+    assert set(range(4, 4 + 187)) <= covered and max(covered) < 250
+
+
 def test_odd_rows(tagger, documents):
     rows = [(1, None), (2, ""), (3, "no data"), (4, "mail bob.7@mail.example.com now"), (4, "mail bob.7@mail.example.com now"), (None, "+1 (755) 555-9729"), (5, "ß" * 40_000 + " 88.112.68.201 " + "x" * 40_000)]
     docs = documents(rows, "'k' as spans_text")
