@@ -32,6 +32,30 @@ def test_nothing_learned(spark):
     assert language.predict(docs.limit(0), learned).collect() == []
 
 
+def test_rare_languages_are_learned(spark):
+    """More languages than a word has bits, the last with few documents beside large ones."""
+    rng = np.random.default_rng(2)
+    spaced = [[chr(0x4E00 + 130 * k + j) for j in range(130)] for k in range(70)]  # own letters for each
+    rows = []
+    for k, own in enumerate(spaced):
+        rows += [(f"l{k:02}", " ".join("".join(rng.choice(own[:8], 5)) for _ in range(40))) for _ in range(4 if k == 69 else 12)]
+    docs = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(rows)], "doc_id long, text string, lang string")
+    learned = language.fit(docs)
+    assert len(learned.languages) == 70
+    got = language.predict(docs, learned).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    assert all(r["lang_pred"] == r["lang"] for r in got)
+
+
+def test_ngrams_of_a_small_language_stay(spark):
+    """A language whose n-grams are rarer than 300 000 of the others' keeps them."""
+    rng = np.random.default_rng(3)
+    wide = ["".join(map(chr, rng.integers(0x4E00, 0x9F00, 120_000))) for _ in range(3)]
+    rows = [("zh", t) for t in wide for _ in range(10)] + [("zz", "bala kimo tuvo resa nopi")] * 5
+    docs = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(rows)], "doc_id long, text string, lang string")
+    got = language.predict(docs, language.fit(docs)).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    assert all(r["lang_pred"] == r["lang"] for r in got)
+
+
 def test_probe_returns_all_languages_of_a_gram():
     rng = np.random.default_rng(1)
     learned = language.LanguageFilter(["a", "b", "c"])
