@@ -49,7 +49,7 @@ GRAM = 32
 GRAMS = LENGTH - GRAM + 1  # anchors' places in a window
 LEFT = GRAMS - 1  # most bytes of a window before its anchor
 HOT_SHARE = 2_000_000  # bounds the keys to tell all tasks: 16 MB
-LEAST_HOT = 100_000  # runs that one task takes in any case: 30 MB of text, 72 MB indexed
+LEAST_HOT = 100_000  # runs that one task takes in any case: 30 MB of text, 106 MB indexed
 MANY = 512
 BLOCK = 24
 CORE = LENGTH - BLOCK + 1  # bytes that all windows of a block share
@@ -169,7 +169,7 @@ class Levels:
     def __init__(self) -> None:
         self.levels: list[tuple[np.ndarray, np.ndarray]] = []  # entries in order, their runs
         self.whole = np.zeros(0, bool)  # of each run
-        self.marks = np.zeros((0, GRAMS + 1), np.int16)  # of each run: changes along the distances
+        self.marks = np.zeros((0, GRAMS + 1), np.int32)  # of each run: changes along the distances
         self.many: set[bytes] = set()  # anchors whose windows are to be sorted
 
     @classmethod
@@ -204,7 +204,7 @@ class Levels:
         """Index a batch of runs; they are numbered in the order of adding."""
         base = len(self.whole)
         self.whole = np.concatenate([self.whole, np.zeros(len(texts), bool)])
-        self.marks = np.concatenate([self.marks, np.zeros((len(texts), GRAMS + 1), np.int16)])
+        self.marks = np.concatenate([self.marks, np.zeros((len(texts), GRAMS + 1), np.int32)])
         entries = self.entries(texts, left)
         order = np.argsort(self.as_keys(entries), kind="stable")
         entries, runs = entries[order], order + base
@@ -306,7 +306,7 @@ class Levels:
         none = np.full(len(whole), -1)
         found = [(whole, none, none)]
         for at in range(0, len(self.marks), 8192):
-            on = np.cumsum(self.marks[at : at + 8192], axis=1, dtype=np.int16)[:, :GRAMS] > 0
+            on = np.cumsum(self.marks[at : at + 8192], axis=1, dtype=np.int32)[:, :GRAMS] > 0
             on[self.whole[at : at + 8192]] = False
             edge = np.diff(np.pad(on, ((0, 0), (1, 1))).astype(np.int8), axis=1)
             run, least = np.nonzero(edge == 1)

@@ -132,6 +132,17 @@ def test_levels_are_logarithmic():
         assert (keys[1:] >= keys[:-1]).all()
 
 
+def test_very_many_matches_of_one_run():
+    """A run that 40 000 later runs match keeps its range."""
+    window = prose(random.Random(8), 60).encode()[: suffix_dedup.LENGTH]
+    levels = suffix_dedup.Levels()
+    levels.add([b"\xff" * 8 + window], np.array([8]))
+    levels.add([k.to_bytes(8, "little") + window for k in range(40_000)], np.full(40_000, 8))
+    run, least, most = levels.spans()
+    assert (least[run == 0].tolist(), most[run == 0].tolist()) == ([0], [0])
+    assert set(run.tolist()) == set(range(40_001))
+
+
 def test_trimmed_keeps_characters_and_columns(documents):
     rng = random.Random(6)
     passage = "é" * 150
