@@ -8,7 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geovis.llm import byte_bpe, chat_format, embeddings, language, packing, pii, quality, simhash, suffix_dedup, token_files
+from geovis.llm import (
+    audit_sql, byte_bpe, chat_format, conversation_repair, embeddings, filter_audit, language, packing, pii, quality, simhash, suffix_dedup,
+    token_files, warc,
+)
 from geovis.llm.common import shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -129,3 +132,31 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
     counts = [count(kind).alias(f"n_{kind}") for kind in pii.KINDS]
     return found.select("doc_id", *counts, F.sha2("base_text", 256).alias("base_sha256"), F.col("spans_text").alias("spans"))
+
+
+@query
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_folder(spark, "archives")
+    warc.write(table(spark, sf_dir, "pages"), folder)
+    found = warc.histories(spark, folder)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "place", "url_key")
+
+
+SQL["op11_warc"] = audit_sql.WARC
+
+
+@query
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+SQL["op12_filter_audit"] = audit_sql.FILTER_AUDIT
+
+
+@query
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return conversation_repair.repaired_digests(conversation_repair.damaged(conversations), conversations)
+
+
+SQL["op13_conversation_repair"] = audit_sql.CONVERSATION_REPAIR
