@@ -43,7 +43,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geovis.llm.common import arrow_schema, cut, map_arrow, record
+from geovis.llm.common import arrow_schema, cut, map_arrow, record, stored
 
 SPACE = " \t\n\x0b\f\r"
 KEEP, REROLE, DELETE, INSERT, TRUNCATED = 0, 3, 4, 3, 3
@@ -88,16 +88,20 @@ def in_order(rows: DataFrame) -> DataFrame:
     if "copies" not in rows.columns:
         rows = rows.withColumn("copies", F.lit(1))
     of = lambda name: F.coalesce(F.col(name), F.lit(" ")).alias(name)
-    alike = rows.select("conv_id", "turn", of("role"), of("text"), "copies")
-    alike = alike.groupBy("conv_id", "turn", "role", "text").agg(F.sum("copies").alias("copies"))
-    said = F.concat(F.coalesce(F.col("conv_id").cast("string"), F.lit("-")), F.lit(":"), F.length("role").cast("string"), F.lit(":"), F.col("role"), F.col("text"))
-    alike = alike.withColumn("_said", F.unhex(F.sha2(said, 256)))
-    firsts = alike.groupBy("_said").agg(F.min(F.struct("turn")).alias("_first"), F.count("*").alias("_n"))
-    alike = alike.join(firsts.filter("_n > 1").drop("_n"), "_said", "left")
+    rows = rows.select("conv_id", "turn", of("role"), of("text"), "copies")
+    who = F.concat_ws(":", F.coalesce(F.col("conv_id").cast("string"), F.lit("-")), F.length("role"), "role")
+    said = F.unhex(F.sha2(F.concat(who, F.lit(":"), F.col("text")), 256)).alias("_said")
+    turn = F.struct("turn")
+    # What a conversation says in several turns, from digests alone: mostly a small table, which
+    # Spark then joins without moving the texts.
+    spread = rows.groupBy(said).agg(F.min(turn).alias("_first"), F.max(turn).alias("_last"))
+    again = stored(spread.filter("_first <> _last").drop("_last"), "repeated-turns")
+    alike = rows.groupBy("conv_id", "turn", "role", "text").agg(F.sum("copies").alias("copies"))
+    alike = alike.withColumn("_said", said).join(again, "_said", "left")
     trimmed = F.rtrim("text", F.lit(SPACE))
-    again = F.col("_first").isNotNull() & ~F.col("_first.turn").eqNullSafe(F.col("turn"))
+    later = F.col("_first").isNotNull() & ~F.col("_first.turn").eqNullSafe(F.col("turn"))
     fault = (
-        F.when(trimmed == "", BLANK).when(again, REPEAT).when(~F.right(trimmed, F.lit(1)).isin(".", "!", "?"), CUT_OFF).otherwise(NONE)
+        F.when(trimmed == "", BLANK).when(later, REPEAT).when(~F.right(trimmed, F.lit(1)).isin(".", "!", "?"), CUT_OFF).otherwise(NONE)
     )
     judged = alike.select("conv_id", "turn", "role", "text", "copies", fault.cast("int").alias("fault"))
     # Range bounds are kept on the driver, so they are of short keys in the same order.
