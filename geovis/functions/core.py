@@ -16,6 +16,38 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
 
 
+def part(items: Column, start: Column, end: Column) -> Column:
+    """The items at `start` to `end` - 1. Taken one by one, because `slice` copies the whole array."""
+    places = F.when(start < end, F.sequence(start, end - 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(places, lambda at: F.get(items, at))
+
+
+def running(items: Column, start: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """The state after every item of an array, for a fold `step(state, item)` from `start`.
+
+    Appending to an array copies all of it, so the array is cut into short pieces. A first fold finds
+    the state before each piece, a second one, piece by piece, all states in it; the length of the
+    pieces makes the copies of both the fewest.
+    """
+    last = lambda array: F.get(array, F.size(array) - 1)
+
+    def over(found):
+        size = F.size(found)
+        width = F.greatest(F.ceil(F.cbrt(2 * size)).cast("int"), F.lit(1))
+        starts = F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0)), width)
+        return let(F.transform(starts, lambda at: part(found, at, F.least(at + width, size))), states)
+
+    def states(pieces):
+        before = F.aggregate(pieces, F.array(start), lambda seen, piece: F.array_append(seen, F.aggregate(piece, last(seen), step)))
+        return let(before, lambda b: F.flatten(F.transform(pieces, lambda piece, i: within(F.get(b, i), piece))))
+
+    def within(state, piece):
+        seen = F.aggregate(piece, F.array(state), lambda seen, item: F.array_append(seen, step(last(seen), item)))
+        return let(seen, lambda s: part(s, F.lit(1), F.size(s)))
+
+    return let(items, over)
+
+
 def unfold(df: DataFrame, keys: str | list[str], items: Column, name: str) -> DataFrame:
     """Long table (keys, ord, name) of a computed array; `ord` counts from 0.
 

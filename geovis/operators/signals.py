@@ -11,13 +11,6 @@ from geovis.functions import text as T
 from geovis.functions import urls as U
 from geovis.functions.core import built_once, let, unfold
 
-_SECTION = (
-    r"(?is)(<h[23]\b[^>]*>.*?(?:</h[23]\s*>|\z)"
-    r"(?:[^<]*+<p\b[^>]*>.*?(?:</p\s*>|\z)|[^<]*+<div\b[^>]*>.*?(?:</div\s*>|\z))?)"
-)
-_SECTION_HEADING = r"(?is)^(<h[23]\b[^>]*>.*?(?:</h[23]\s*>|\z))"
-
-
 def prefixed_map(metas: Column, key: str, prefix: str) -> Column:
     """Map of prefixed meta tags without the prefix; the last value wins, empties are dropped."""
     named = F.filter(metas, lambda m: m[key].startswith(prefix) & (m[key] != prefix) & (m.content != ""))
@@ -27,27 +20,6 @@ def prefixed_map(metas: Column, key: str, prefix: str) -> Column:
     return F.map_from_entries(pairs)
 
 
-def heading_answers(markup: Column) -> Column:
-    """array(struct(heading, answer)) of second and third level headings in page order; the
-    answer is the text of the paragraph or block that is the next element, "" when it is another
-    one. Loose text before that element is no part of it."""
-
-    def clean(text):
-        return T.js_trim(H.decode_entities(H.strip_tags(text)))
-
-    def split(section):
-        heading = F.regexp_extract(section, _SECTION_HEADING, 1)
-        return let(
-            heading,
-            lambda h: F.struct(
-                clean(h).alias("heading"),
-                clean(F.regexp_replace(F.substring(section, F.length(h) + 1, F.length(section)), "^[^<]*+", "")).alias("answer"),
-            ),
-        )
-
-    return F.transform(F.regexp_extract_all(markup, F.lit(_SECTION), 1), split)
-
-
 def image_stats(images: Column) -> Column:
     """struct(total, with_alt, with_meaningful_alt); an alt of more than 3 characters is
     meaningful."""
@@ -149,7 +121,7 @@ def _signal_columns(url: str, html: str) -> list[Column]:
         "twitter": prefixed_map(metas, "name", "twitter:"),
         "hreflang": F.transform(alternates, lambda t: F.struct(t.lang.alias("lang"), t.href.alias("href"))),
         **{f"h{n}": level(n) for n in (1, 2, 3, 4)},
-        "answers": heading_answers(F.col("_markup")),
+        "answers": H.heading_blocks(F.col("_markup")),
         "images": image_stats(H.named(F.col("_tags"), "img")),
         "links": internal_links(H.named(F.col("_tags"), "a"), U.origin(F.col(url))),
         "text": text("_visible"),

@@ -198,3 +198,86 @@ def test_huge_review_count(spark):
     page = '<script type="application/ld+json">{"@type":"Product","aggregateRating":{"ratingValue":4,"reviewCount":"%s"}}</script>' % ("9" * 23)
     df = spark.createDataFrame([(1, page)], "page_id long, html string")
     assert jsonld.jsonld_objects(df).first()["reviews"] == int(jsonld.MOST_REVIEWS)
+
+
+class Answers(HTMLParser):
+    """Second and third level headings with the text of the element behind each, from open elements."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.found, self.heading, self.open, self.waiting = [], None, [], None
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("h2", "h3"):
+            self.found.append(["", ""])
+            self.heading = self.found[-1]
+        self.open = [(t, a) for t, a in self.open if t != "p" or tag == "b"]
+        waiting, self.waiting = self.waiting, None
+        if tag in ("div", "p"):
+            self.open.append((tag, waiting))
+
+    def handle_endtag(self, tag):
+        self.waiting = None
+        if tag in ("h2", "h3"):
+            self.waiting, self.heading = self.heading, None
+        if tag != "b":
+            self.open = [(t, a) for t, a in self.open if t != "p"]
+        if tag == "div" and any(t == "div" for t, _ in self.open):
+            while self.open.pop()[0] != "div":
+                pass
+
+    def handle_data(self, data):
+        if self.heading:
+            self.heading[0] += data
+        for _, answer in self.open:
+            if answer:
+                answer[1] += data
+
+
+def test_nested_answers_match_an_html_parser(spark):
+    import random
+
+    rng = random.Random(8)
+
+    def block(depth):
+        kind = rng.choice(["text", "text", "p", "div", "div", "question", "ul"]) if depth < 6 else "text"
+        word = f"w{rng.randint(0, 99)} "
+        if kind in ("text", "p", "ul"):
+            return {"text": word, "p": f"<p>{word}<b>x</b></p>", "ul": f"<ul><li>{word}</li></ul>"}[kind]
+        inside = "".join(block(depth + 1) for _ in range(rng.randint(0, 3)))
+        if kind == "div":
+            return f"<div class='<div>'>{inside}</div>"
+        level = rng.choice("23")
+        return f"<h{level}>Q {word}</h{level}>{rng.choice(['', ' loose '])}{rng.choice(['<div>', '<DIV id=a>'])}{inside}</div>"
+
+    pages = ["".join(block(0) for _ in range(6)) for _ in range(120)]
+    pages += ["<h2>a</h2><div>" * 30 + "x" + "</div>" * 30, "<div>" * 5 + "<h2>q</h2><div>a<div>b</div></div>c"]
+    df = spark.createDataFrame(list(enumerate(pages)), "i int, html string").select("i", H.heading_blocks(F.col("html")).alias("a"))
+    for row in df.collect():
+        walk = Answers()
+        walk.feed(pages[row["i"]])
+        walk.close()
+        assert [(a["heading"], a["answer"]) for a in row["a"]] == [(h.strip(), a.strip()) for h, a in walk.found], pages[row["i"]]
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<script " * 100_000, "<h1 " * 100_000, "<h1>" * 100_000, "<title " * 100_000, "<body " * 100_000 + ">", "<div>" * 50_000, "<script>" * 100_000,
+     "<head <html " * 50_000, "<a " * 100_000 + 'x=">"', "<style" * 100_000 + ">", "<h2>q</h2><div>a</div>" * 20_000],
+    ids=["script", "h1", "h1 closed", "title", "body", "div", "script closed", "head", "quoted bracket", "style", "questions"],
+)
+def test_unclosed_tags_take_linear_time(spark, page):
+    """Half a megabyte and more; with quadratic patterns each of these took minutes."""
+    import time
+
+    df = spark.createDataFrame([(1, "http://e.com/", page)], "page_id long, url string, html string")
+    merged = F.length(H.merge_head_body(F.col("html"), F.col("html")))
+    start = time.time()
+    signals.page_signals(df).first()
+    df.select(merged, F.length(H.main_text(F.col("html")))).first()
+    assert time.time() - start < 40
+
+
+def test_headings_end_where_another_begins(spark):
+    row = signals_of(spark, "<h1>a<h2>b</h2><h3>c</h5><h4 x", "h1", "h2", "h3", "h4")
+    assert tuple(row) == (["a"], ["b"], ["c"], [])
