@@ -819,8 +819,8 @@ def statements() -> dict[str, str]:
         "stream_rate_windows": """WITH e AS (SELECT user_id AS ip, event_type AS action, epoch_us(ts) // 1000000 AS s FROM events), w AS (SELECT ip, action, (s // 1800) * 1800 + unnest([1800, 3600]) AS window_end FROM e)
           SELECT ip, action, window_end, count(*) AS hits FROM w GROUP BY 1, 2, 3""",
         "stream_visibility": f"WITH {RESPONSES}, {VISIBILITY} SELECT * REPLACE (round(mention_rate, 6) AS mention_rate, round(citation_rate, 6) AS citation_rate) FROM vis",
-        "stream_admission": f"""WITH {REQUESTS}, a AS (SELECT request_id, geo_target, {origin('url')} || {path('url')} AS url_normalized, date_trunc('month', TIMESTAMP '2024-01-01 00:00:00' + INTERVAL 1 HOUR * request_id) AS m FROM intake WHERE rejected IS NULL)
-          SELECT request_id, geo_target, url_normalized, row_number() OVER (PARTITION BY m ORDER BY request_id) * 1.30 <= 60 AS admitted FROM a""",
+        "stream_admission": f"""WITH {USAGE}, t AS (SELECT date_trunc('month', created_at) AS m, sum(cost_eur) AS spent FROM usage_ GROUP BY 1), {REQUESTS}, a AS (SELECT request_id, geo_target, {origin('url')} || {path('url')} AS url_normalized, date_trunc('month', TIMESTAMP '2024-01-01 00:00:00' + INTERVAL 1 HOUR * request_id) AS m FROM intake WHERE rejected IS NULL)
+          SELECT request_id, geo_target, url_normalized, coalesce(spent, 0) + row_number() OVER (PARTITION BY m ORDER BY request_id) * 1.30 <= 60 AS admitted FROM a LEFT JOIN t USING (m)""",
     }
     for name, cat in (("foundations_checks", "foundations"), ("geo_checks", "geo_triptych"), ("structured_checks", "structured_data"), ("content_checks", "content"), ("authority_checks", "authority")):
         out[name] = f"{FACTS}, {check_rows(cat)} SELECT * FROM checks"

@@ -1,9 +1,8 @@
 """Structured Streaming jobs over the growing feeds: usage, requests, answers.
 
-Each job keeps its state in tables under one folder, one sub-folder per micro-batch, written with
-overwrite: a batch that is run again after a failure replaces its own output and changes nothing
-else. Only `running_visibility` has a watermark: its answers more than a day behind the latest one
-seen in earlier batches are dropped. The other jobs take rows in any order of time.
+Each job keeps its results in stores of merged batch parts (`state.Store`), so a batch that is run
+again after a failure replaces its own output, and the number of folders stays small however long
+the job runs. No job has a watermark: rows count however late they come.
 """
 
 from __future__ import annotations
@@ -14,9 +13,7 @@ from pyspark.sql import functions as F
 from geovis.functions import money as M
 from geovis.operators import contracts, costs, mentions, visibility
 from geovis.sources import requests as R
-
-WATERMARK = "1 day"
-
+from geovis.streaming.state import Store
 
 FILES_PER_BATCH = 256
 
@@ -34,31 +31,51 @@ def run_batches(stream: DataFrame, step, folder: str, available_now: bool = True
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-_TOTALS = "month timestamp, total_eur decimal(28,6)"
+def summed(*keys: str, **columns: str):
+    """Merge of parts whose `columns` (with their types) add up per key."""
+
+    def merge(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*keys).agg(*[F.sum(c).cast(kind).alias(c) for c, kind in columns.items()])
+
+    return merge
+
+
+def as_they_are(rows: DataFrame) -> DataFrame:
+    """Merge of parts whose rows are final: a few files in place of many."""
+    return rows.coalesce(4)
+
+
+def spend_totals(spark: SparkSession, folder: str) -> Store:
+    """Spend per month: what each batch adds."""
+    return Store(spark, f"{folder}/totals", "month timestamp, total_eur decimal(28,6)", summed("month", total_eur="decimal(28,6)"))
+
+
+def alerts_store(spark: SparkSession, folder: str) -> Store:
+    schema = "month timestamp, event_id long, created_at timestamp, before_eur decimal(28,6), after_eur decimal(28,6), level string"
+    return Store(spark, f"{folder}/alerts", schema, as_they_are)
 
 
 def spend_alerts(usage: DataFrame, folder: str, caps: costs.Caps = costs.Caps(), available_now: bool = True):
     """Month totals and one alert per month and limit, from a stream of priced usage rows.
 
-    A batch reads the totals the batch before left, finds its own crossings on top of them, and
-    writes new totals and alerts. State is one row per month.
+    A batch reads the totals of the batches before, finds its own crossings on top of them, and adds
+    its spend and its alerts. The totals come last: whoever sees them sees their alerts.
     """
-    spark = usage.sparkSession
-    spark.createDataFrame([], _TOTALS).write.mode("ignore").parquet(f"{folder}/totals/batch=-1")
+    totals, alerts = spend_totals(usage.sparkSession, folder), alerts_store(usage.sparkSession, folder)
+    money = lambda name: F.col(name).cast("decimal(28,6)").alias(name)
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        before = spark.read.schema(_TOTALS).parquet(f"{folder}/totals/batch={batch_id - 1}")
-        crossed = costs.threshold_crossings(batch, caps, before)
-        crossed.write.mode("overwrite").parquet(f"{folder}/alerts/batch={batch_id}")
-        both = before.unionByName(
-            costs.monthly_totals(batch).withColumn("total_eur", F.col("total_eur").cast("decimal(28,6)"))
-        )
-        totals = both.groupBy("month").agg(F.sum("total_eur").cast("decimal(28,6)").alias("total_eur"))
-        totals.coalesce(1).write.mode("overwrite").parquet(f"{folder}/totals/batch={batch_id}")
+        crossed = costs.threshold_crossings(batch, caps, totals.before(batch_id))
+        alerts.add(batch_id, crossed.select("month", "event_id", "created_at", money("before_eur"), money("after_eur"), "level"))
+        totals.add(batch_id, costs.monthly_totals(batch).select("month", money("total_eur")))
 
     return run_batches(usage, step, folder, available_now)
 
 
+def alerts_so_far(spark: SparkSession, folder: str) -> DataFrame:
+    return alerts_store(spark, folder).read()
+
+
 def window_hits(events: DataFrame, minutes: int = 10, slide_minutes: int = 1) -> DataFrame:
     """Hits per key in sliding windows: (ip, action, window_end, hits). The exact trailing form is
     the batch operator `rate_history`."""
@@ -67,81 +84,128 @@ def window_hits(events: DataFrame, minutes: int = 10, slide_minutes: int = 1) ->
     return counted.select("ip", "action", F.col("w.end").alias("window_end"), "hits")
 
 
+def windows_store(spark: SparkSession, folder: str) -> Store:
+    return Store(spark, f"{folder}/windows", None, summed("ip", "action", "window_end", hits="long"))
+
+
 def rate_windows(
     events: DataFrame, folder: str, minutes: int = 10, slide_minutes: int = 1, available_now: bool = True
 ):
     """Window hits of every batch, from a stream of events. They add up over the batches, so an
-    event counts however late it comes, and no state is kept."""
+    event counts however late it comes."""
+    store = windows_store(events.sparkSession, folder)
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        hits = window_hits(batch, minutes, slide_minutes)
-        hits.write.mode("overwrite").parquet(f"{folder}/windows/batch={batch_id}")
+        store.add(batch_id, window_hits(batch, minutes, slide_minutes))
 
     return run_batches(events, step, folder, available_now)
 
 
 def rate_windows_so_far(spark: SparkSession, folder: str) -> DataFrame:
     """Hits per key and window over all batches so far."""
-    rows = spark.read.parquet(f"{folder}/windows")
-    return rows.groupBy("ip", "action", "window_end").agg(F.sum("hits").alias("hits"))
+    return windows_store(spark, folder).read()
+
+
+QUESTION = ["audit_id", "position", "provider"]
+
+
+def first_answers(rows: DataFrame) -> DataFrame:
+    """Of the answers to a question (audit_id, position) by a provider the earliest one, by time and
+    id, in whatever order they came."""
+    others = [c for c in rows.columns if c not in QUESTION]
+    first = F.min_by(F.struct(*others), F.struct("created_at", "response_id"))
+    return rows.groupBy(*QUESTION).agg(first.alias("_first")).select(*QUESTION, "_first.*").select(*rows.columns)
+
+
+def answers_store(spark: SparkSession, folder: str, key: str) -> Store:
+    schema = (
+        f"audit_id {key}, position int, provider string, created_at timestamp, response_id long, detection_method string, "
+        "disagrees boolean, analysed boolean, brand_mentioned boolean, brand_citation_present boolean, mention_position int, sentiment string"
+    )
+    return Store(spark, f"{folder}/answers", schema, first_answers)
 
 
 def running_visibility(
     answers: DataFrame, brands: DataFrame, folder: str, available_now: bool = True
 ):
-    """Mentions per answer and additive score parts per batch, from a stream of analysed answers
-    (with completion and created_at). A repeated answer of a question (audit_id, position) and
-    provider counts once."""
-    question = ["audit_id", "position", "provider"]
-    first = answers.withWatermark("created_at", WATERMARK).dropDuplicatesWithinWatermark(question)
+    """Mention rows of a stream of analysed answers (with completion and created_at).
+
+    A repeated answer of a question and provider counts once, the earliest one. The store is keyed by
+    question and provider: each batch adds its own first answers, and merging parts keeps the first
+    of all, so an answer that comes days late, or before one that was there already, repairs the
+    result instead of being dropped.
+    """
+    store = answers_store(answers.sparkSession, folder, answers.schema["audit_id"].dataType.simpleString())
 
     def step(batch: DataFrame, batch_id: int) -> None:
         loaded = contracts.load_analyses(batch.select("response_id", "completion"))
         rows = mentions.mention_results(batch.drop("completion"), brands, loaded)
-        rows.select(
-            "response_id", "audit_id", "provider", "detection_method", "disagrees", "analysed"
-        ).write.mode("overwrite").parquet(f"{folder}/mentions/batch={batch_id}")
-        visibility.visibility_parts(rows, "audit_id").write.mode("overwrite").parquet(f"{folder}/parts/batch={batch_id}")
+        typed = [F.col(f.name).cast(f.dataType).alias(f.name) for f in store.rows([]).schema]
+        store.add(batch_id, first_answers(rows.select(*typed)))
+
+    return run_batches(answers, step, folder, available_now)
+
+
+def answers_so_far(spark: SparkSession, folder: str, key: str = "long") -> DataFrame:
+    """One mention row per question and provider over all batches so far; `key` is the type of audit_id."""
+    return answers_store(spark, folder, key).read()
 
-    return run_batches(first, step, folder, available_now)
 
+def visibility_so_far(spark: SparkSession, folder: str, key: str = "long") -> DataFrame:
+    """Scores over all batches so far."""
+    return visibility.visibility_scores(answers_so_far(spark, folder, key), "audit_id")
 
-def visibility_so_far(spark: SparkSession, folder: str) -> DataFrame:
-    """Scores over all batches so far: the parts add up."""
-    parts = spark.read.parquet(f"{folder}/parts")
-    summed = parts.groupBy("audit_id").agg(*[F.sum(c).alias(c) for c in visibility.PART_COLUMNS])
-    return visibility.scores_from_parts(summed, "audit_id")
+
+def spend_version(store: Store, reserved: Store, batch: int) -> int | None:
+    """The version of another job's totals that a batch decides by: the newest one when the batch
+    first ran. It is written down, so that the batch decides alike when it is run again."""
+    pin = Store(store.spark, f"{reserved.folder}-pins", store.schema, as_they_are)
+    if batch not in pin.versions():
+        newest = store.latest()
+        pin.write_manifest(batch, [] if newest is None else [(newest, newest, 0)])
+        for old in pin.versions()[: -pin.keep]:
+            pin.system.delete(pin.path(f"{pin.folder}/manifests/{old}.json"), False)
+    found = [p[0] for p in pin.parts(batch)]
+    # A version so old that its writer has deleted it gives way to the newest one.
+    return found[0] if found and found[0] in store.versions() else store.latest() if found else None
+
+
+def admission_stores(spark: SparkSession, folder: str) -> tuple[Store, Store]:
+    """Decided requests, and the reserve of the admitted ones per month."""
+    decided = "request_id long, requested_at timestamp, url string, url_normalized string, domain string, geo_target string, month timestamp, admitted boolean"
+    reserve = summed("month", reserved="decimal(28,6)")
+    return Store(spark, f"{folder}/requests", decided, as_they_are), Store(spark, f"{folder}/reserved", "month timestamp, reserved decimal(28,6)", reserve)
 
 
 def request_admission(
-    requests: DataFrame, spent, folder: str, caps: costs.Caps = costs.Caps(), available_now: bool = True
+    requests: DataFrame, spend: Store | None, folder: str, caps: costs.Caps = costs.Caps(), available_now: bool = True
 ):
-    """Validated requests with `admitted`, from a stream of bodies. `spent()` returns the current
-    month totals (month, total_eur); requests admitted by earlier batches keep their reserve."""
+    """Validated requests with `admitted`, from a stream of bodies (request_id, requested_at, body).
+
+    `spend` is the store of month totals that `spend_alerts` keeps (None: nothing is spent). A batch
+    reads one version of it whole; requests admitted by earlier batches keep their reserve.
+    """
     spark = requests.sparkSession
-    spark.createDataFrame([], "month timestamp, reserved decimal(28,6)").write.mode("ignore").parquet(
-        f"{folder}/reserved/batch=-1"
-    )
+    decided, reserved = admission_stores(spark, folder)
+    money = lambda name: F.col(name).cast("decimal(28,6)").alias("total_eur")
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        before = spark.read.schema("month timestamp, reserved decimal(28,6)").parquet(
-            f"{folder}/reserved/batch={batch_id - 1}"
-        )
         valid = R.accepted(R.read_requests(batch)).withColumn("month", M.month_start(F.col("requested_at")))
-        opening = (
-            spent().select("month", F.col("total_eur").cast("decimal(28,6)").alias("total_eur"))
-            .unionByName(before.withColumnRenamed("reserved", "total_eur"))
-            .groupBy("month").agg(F.sum("total_eur").cast("decimal(28,6)").alias("total_eur"))
-        )
-        decided = costs.admit_requests(valid, opening, caps)
-        path = f"{folder}/requests/batch={batch_id}"
-        decided.write.mode("overwrite").parquet(path)
+        opening = reserved.before(batch_id).select("month", money("reserved"))
+        if spend is not None:
+            version = spend_version(spend, reserved, batch_id)
+            spent = spend.merge(spend.rows(spend.parts(version)))
+            opening = opening.unionByName(spent.select("month", money("total_eur")))
+        opening = opening.groupBy("month").agg(F.sum("total_eur").cast("decimal(28,6)").alias("total_eur"))
+        rows = costs.admit_requests(valid, opening, caps).persist()
+        decided.add(batch_id, rows)
         price = F.lit(str(caps.audit_cost)).cast("decimal(28,6)")
-        new = (
-            spark.read.parquet(path).filter("admitted").groupBy("month")
-            .agg((F.count("*").cast("decimal(20,0)") * price).cast("decimal(28,6)").alias("reserved"))
-        )
-        both = before.unionByName(new).groupBy("month").agg(F.sum("reserved").cast("decimal(28,6)").alias("reserved"))
-        both.coalesce(1).write.mode("overwrite").parquet(f"{folder}/reserved/batch={batch_id}")
+        reserve = (F.count("*").cast("decimal(20,0)") * price).cast("decimal(28,6)").alias("reserved")
+        reserved.add(batch_id, rows.filter("admitted").groupBy("month").agg(reserve))
+        rows.unpersist()
 
     return run_batches(requests, step, folder, available_now)
+
+
+def requests_so_far(spark: SparkSession, folder: str) -> DataFrame:
+    return admission_stores(spark, folder)[0].read()

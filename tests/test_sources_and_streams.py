@@ -82,7 +82,7 @@ def test_spend_alerts_over_many_batches_equal_one_batch_job(spark, sf, tmp_path)
     for _ in range(2):  # the second run finds nothing new
         jobs.spend_alerts(jobs.file_stream(spark, source, 1), folder, caps).awaitTermination()
     columns = ["event_id", "level", "before_eur", "after_eur"]
-    got = spark.read.parquet(f"{folder}/alerts").select(*columns).orderBy("event_id").collect()
+    got = jobs.alerts_so_far(spark, folder).select(*columns).orderBy("event_id").collect()
     want = costs.threshold_crossings(usage, caps).select(*columns).orderBy("event_id").collect()
     assert got == want and len(got) == 2
 
