@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geovis import schemas
@@ -143,3 +143,53 @@ def table_violations(rows: DataFrame, table: str) -> DataFrame:
     if out is None:
         raise ValueError(f"no rules for {table}")
     return out
+
+
+def rules_of(table: str, columns: list[str]) -> dict[str, tuple[str, str]]:
+    """rule name: (kind, column) for the rules of schemas.py that a table with these columns has."""
+    kinds = (("not allowed", schemas.ALLOWED), ("out of range", schemas.RANGES), ("without parent", schemas.PARENTS))
+    return {f"{column} {kind}": (kind, column) for kind, rules in kinds for name, column in rules if name == table and column in columns}
+
+
+def broken(table: str, kind: str, column: str) -> Column:
+    """Whether a row breaks a rule. Only a range forbids a missing value."""
+    value = F.col(column)
+    if kind == "not allowed":
+        return value.isNotNull() & ~value.isin(*schemas.ALLOWED[table, column])
+    if kind == "out of range":
+        return ~F.coalesce(value.between(*schemas.RANGES[table, column]), F.lit(False))
+    return value.isNotNull() & F.col(f"_{column}_parent").isNull()
+
+
+def integrity(tables: dict[str, DataFrame]) -> DataFrame:
+    """(table_name, rule, violations) of the stored tables against all rules of schemas.py.
+
+    Each table is read once for all its rules: parent keys are met by left joins on distinct keys, the
+    broken rules of a row become numbers, and one aggregate adds them up. Where keys have to be
+    unique the same aggregate is grouped by them first; a key that is there more than once is one
+    violation. A rule is left out where the table lacks its column or its parent table is not given.
+    """
+    out = None
+    for table, rows in tables.items():
+        rules = {r: k for r, k in rules_of(table, rows.columns).items() if k[0] != "without parent" or schemas.PARENTS[table, k[1]][0] in tables}
+        keys = [k for k in schemas.UNIQUE.get(table, []) if k in rows.columns]
+        for kind, column in rules.values():
+            if kind == "without parent":
+                parent, key = schemas.PARENTS[table, column]
+                known = tables[parent].select(F.col(key).alias(f"_{column}_parent")).filter(F.col(f"_{column}_parent").isNotNull()).distinct()
+                rows = rows.join(known, F.col(column) == F.col(f"_{column}_parent"), "left")
+        counts = [F.count_if(broken(table, *rule)).alias(f"_r{n}") for n, rule in enumerate(rules.values())]
+        names = list(rules)
+        if keys and len(keys) == len(schemas.UNIQUE[table]):
+            grouped = rows.groupBy(*keys).agg(F.count("*").alias("_copies"), *counts)
+            counts = [F.coalesce(F.sum(f"_r{n}"), F.lit(0)) for n in range(len(names))] + [F.count_if((F.col("_copies") > 1) & ~F.greatest(*[F.col(k).isNull() for k in keys], F.lit(False)))]
+            names.append(f"{', '.join(keys)} not unique")
+            rows = grouped
+        if not names:
+            continue
+        listed = [F.struct(F.lit(name).alias("rule"), c.alias("violations")) for name, c in zip(names, counts, strict=True)]
+        one = rows.agg(F.array(*listed).alias("r")).select(F.lit(table).alias("table_name"), F.inline("r"))
+        out = one if out is None else out.unionByName(one)
+    if out is None:
+        raise ValueError("no table has a rule")
+    return out

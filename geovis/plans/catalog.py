@@ -588,7 +588,7 @@ def integrity_report(spark, sf) -> DataFrame:
     child = I.derive(spark, sf, I.CHILD_SQL, "lineitem")
     answers = I.derive(spark, sf, I.RESPONSE_SQL, "lineitem")
     audits = _audits(spark, sf)
-    customers = I.read(spark, sf, "customer").filter("c_custkey % 50 <> 0")
+    customers = I.read(spark, sf, "customer")
     found = {
         "duplicate question position": guards.duplicate_keys(child, "audit_id", "position"),
         "score out of range": guards.out_of_range(answers, "score", 1, 45),
@@ -613,20 +613,26 @@ def table_rules(spark, sf) -> DataFrame:
     return out
 
 
+def stored_integrity(spark, sf) -> DataFrame:
+    """Broken rules of all twelve stored tables."""
+    return guards.integrity({name: I.derive(spark, sf, sql, given) for name, (given, sql) in I.STORED_SQL.items()})
+
+
 def written_tables(spark, sf) -> DataFrame:
-    """Rows and ids of the stored tables, read back from where the writer put them."""
+    """Rows and ids of all nine tables of an audit, read back from where the writer put them: an
+    earlier run, and one that is loaded again after it had loaded something else."""
     folder = work_dir(spark, "tables")
-    usage = _usage(spark, sf).withColumnRenamed("event_id", "id")
-    frames = {
-        "audits": _audits(spark, sf), "queries": I.derive(spark, sf, I.CHILD_SQL, "lineitem"),
-        "ai_responses": I.derive(spark, sf, I.RESPONSE_SQL, "lineitem"), "api_usage": usage,
-    }
-    sinks.write_tables(frames, folder)
+    frames = {name: I.derive(spark, sf, sql, given) for name, (given, sql) in I.STORED_SQL.items() if name in sinks.TABLES}
+    frames["api_usage"] = _usage(spark, sf).withColumnRenamed("event_id", "id")
+    key = {name: "id" if "id" in df.columns else "response_id" if "response_id" in df.columns else "audit_id" for name, df in frames.items()}
+    sinks.write_tables({"audits": frames["audits"]}, folder, "earlier")
+    sinks.write_tables({name: df.union(df) for name, df in frames.items()}, folder, "load")
+    sinks.write_tables(frames, folder, "load")
     out = None
     for name in frames:
-        rows = spark.read.parquet(f"{folder}/{name}")
-        part = F.col("usage_month").cast("string") if name == "api_usage" else F.lit("")
-        one = rows.groupBy(part.alias("part")).agg(F.count("*").alias("n_rows"), F.sum("id").alias("ids"))
+        rows = sinks.read_table(spark, folder, name)
+        part = F.col("usage_month").cast("string") if name == "api_usage" else F.split_part("run", F.lit("."), F.lit(1))
+        one = rows.groupBy(part.alias("part")).agg(F.count("*").alias("n_rows"), F.sum(key[name]).alias("ids"))
         one = one.select(F.lit(name).alias("table_name"), "part", "n_rows", "ids")
         out = one if out is None else out.unionByName(one)
     return out
@@ -729,6 +735,7 @@ QUERIES = {
     "owned_answers": owned_answers,
     "owned_analyses": owned_analyses,
     "integrity_report": integrity_report,
+    "stored_integrity": stored_integrity,
     "table_rules": table_rules,
     "written_tables": written_tables,
     "exported_records": exported_records,

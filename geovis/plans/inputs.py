@@ -357,6 +357,22 @@ CHILD_SQL = "SELECT l_orderkey * 10 + l_linenumber AS id, l_orderkey AS audit_id
 RESPONSE_SQL = "SELECT l_orderkey * 10 + l_linenumber AS id, l_orderkey * 10 + l_linenumber AS query_id, l_quantity AS score FROM lineitem"
 ANALYSIS_ROW_SQL = "SELECT l_orderkey * 10 + l_linenumber AS response_id, l_returnflag AS flag FROM lineitem"
 
+# The twelve stored tables, one per name: (given table, its rows).
+STORED_SQL = {
+    "profiles": ("customer", "SELECT c_custkey AS id, lower(c_mktsegment) || CAST(CAST(floor(c_custkey / 2) AS INT) AS STRING) AS email, CASE WHEN c_nationkey < 20 THEN 'client' WHEN c_nationkey < 23 THEN 'admin' ELSE 'guest' END AS role FROM customer"),
+    "audits": ("orders", "SELECT o_orderkey AS id, o_custkey * 2 AS user_id, CASE o_orderstatus WHEN 'O' THEN 'queued' WHEN 'F' THEN 'done' ELSE 'paused' END AS status, CAST(floor(o_totalprice / 3000) AS INT) AS progress FROM orders"),
+    "audit_business_info": ("documents", "SELECT doc_id AS audit_id, 'Maison ' || lang AS brand_name FROM documents"),
+    "audit_technical": ("lineitem", "SELECT l_orderkey AS audit_id, CASE l_linenumber WHEN 1 THEN 'foundations' WHEN 2 THEN 'geo_triptych' WHEN 3 THEN 'structured_data' WHEN 4 THEN 'content' WHEN 5 THEN 'authority' WHEN 6 THEN 'content' ELSE 'other' END AS category, CAST(floor(l_quantity / 2) AS INT) AS score FROM lineitem"),
+    "queries": ("lineitem", "SELECT l_orderkey * 10 + l_linenumber AS id, l_orderkey AS audit_id, l_linenumber AS position, CASE l_linenumber % 4 WHEN 0 THEN 'branded' WHEN 1 THEN 'service' WHEN 2 THEN 'comparative' ELSE 'mixed' END AS category FROM lineitem"),
+    "ai_responses": ("lineitem", "SELECT l_orderkey * 10 + l_linenumber AS id, l_orderkey * 10 + CAST(floor((l_linenumber + 1) / 2) AS INT) AS query_id, CASE l_returnflag WHEN 'N' THEN 'openai' WHEN 'R' THEN 'gemini' ELSE 'mistral' END AS provider FROM lineitem"),
+    "ai_response_analysis": ("lineitem", "SELECT l_orderkey * 10 + l_linenumber + 3 AS response_id, CASE l_returnflag WHEN 'N' THEN 'neutral' WHEN 'R' THEN 'great' ELSE NULL END AS sentiment FROM lineitem"),
+    "audit_scores": ("pages", "SELECT page_id AS audit_id, length(html) % 120 AS technical_score, length(url) AS visibility_score, CASE WHEN page_id % 9 = 0 THEN NULL ELSE length(url) + 60 END AS global_score FROM pages"),
+    "audit_recommendations": ("conversations", "SELECT conv_id * 1000 + turn AS id, conv_id AS audit_id, CASE role WHEN 'user' THEN 'quick_win' WHEN 'assistant' THEN 'long_term' ELSE role END AS priority, turn AS impact_score FROM conversations"),
+    "api_usage": ("events", "SELECT event_id AS id, user_id, event_id * 5 AS audit_id FROM events"),
+    "email_captures": ("supplier", "SELECT s_suppkey AS id, s_suppkey * 400 AS audit_id, s_name AS email FROM supplier"),
+    "rate_limits": ("events", "SELECT event_id AS id, CASE event_type WHEN 'view' THEN NULL ELSE user_id END AS audit_id, event_type AS action FROM events"),
+}
+
 STATE_SQL = """
 SELECT user_id AS audit_id, ts AS event_ts, event_id AS seq,
   CASE event_type WHEN 'view' THEN 'scraping' WHEN 'click' THEN 'querying' WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'failed' ELSE 'analyzing' END AS status,

@@ -674,6 +674,39 @@ _OWN = f"SELECT id FROM audits WHERE user_id = {K.USER}"
 _CHILD = f"audits AS ({I.AUDIT_SQL}), child AS ({I.CHILD_SQL}), resp AS ({I.RESPONSE_SQL}), ana AS ({I.ANALYSIS_ROW_SQL})"
 
 
+def _stored():
+    return ", ".join(f"{name} AS ({sql})" for name, (_, sql) in I.STORED_SQL.items())
+
+
+def _stored_integrity():
+    """Every rule spelled out as a query of its own."""
+    allowed = [
+        ("profiles", "role", "'admin', 'client'"),
+        ("audits", "status", "'queued', 'scraping', 'extracting', 'querying', 'analyzing', 'scoring', 'done', 'failed'"),
+        ("audit_technical", "category", "'foundations', 'geo_triptych', 'structured_data', 'content', 'authority'"),
+        ("queries", "category", "'branded', 'service', 'comparative'"),
+        ("ai_responses", "provider", "'openai', 'anthropic', 'perplexity', 'gemini'"),
+        ("ai_response_analysis", "sentiment", "'positive', 'neutral', 'negative'"),
+        ("audit_recommendations", "priority", "'quick_win', 'medium', 'long_term'"),
+    ]
+    ranges = [
+        ("audits", "progress", 0, 100), ("audit_technical", "score", 0, 20), ("audit_scores", "technical_score", 0, 100),
+        ("audit_scores", "visibility_score", 0, 100), ("audit_scores", "global_score", 0, 100), ("audit_recommendations", "impact_score", 1, 10),
+    ]
+    parents = [
+        ("audits", "user_id", "profiles"), ("audit_business_info", "audit_id", "audits"), ("audit_technical", "audit_id", "audits"),
+        ("queries", "audit_id", "audits"), ("ai_responses", "query_id", "queries"), ("ai_response_analysis", "response_id", "ai_responses"),
+        ("audit_scores", "audit_id", "audits"), ("audit_recommendations", "audit_id", "audits"), ("api_usage", "user_id", "profiles"),
+        ("api_usage", "audit_id", "audits"), ("email_captures", "audit_id", "audits"), ("rate_limits", "audit_id", "audits"),
+    ]
+    unique = [("profiles", "email"), ("audit_technical", "audit_id, category"), ("ai_responses", "query_id, provider")]
+    rows = [f"SELECT '{t}' AS table_name, '{c} not allowed' AS rule, (SELECT count(*) FROM {t} WHERE {c} NOT IN ({v})) AS violations" for t, c, v in allowed]
+    rows += [f"SELECT '{t}', '{c} out of range', (SELECT count(*) FROM {t} WHERE {c} IS NULL OR {c} NOT BETWEEN {a} AND {b})" for t, c, a, b in ranges]
+    rows += [f"SELECT '{t}', '{c} without parent', (SELECT count(*) FROM {t} x WHERE {c} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {p} y WHERE y.id = x.{c}))" for t, c, p in parents]
+    rows += [f"SELECT '{t}', '{k} not unique', (SELECT count(*) FROM (SELECT 1 FROM {t} GROUP BY {k} HAVING count(*) > 1))" for t, k in unique]
+    return f"WITH {_stored()} " + " UNION ALL ".join(rows)
+
+
 def _euro():
     amount = "CAST(cost_eur * 1000 AS DECIMAL(18,2))"
     return f"translate(format('{{:,.2f}}', CAST({amount} AS DOUBLE)), ',.', ' ,') || ' €'"
@@ -801,14 +834,16 @@ def statements() -> dict[str, str]:
         "integrity_report": """SELECT 'duplicate question position' AS rule, count(*) AS violations FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1)
           UNION ALL SELECT 'score out of range', count(*) FROM lineitem WHERE l_quantity IS NULL OR l_quantity NOT BETWEEN 1 AND 45
           UNION ALL SELECT 'unknown status', count(*) FROM orders WHERE o_orderstatus NOT IN ('O', 'F')
-          UNION ALL SELECT 'audit without owner', count(*) FROM orders WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_custkey % 50 <> 0)""",
+          UNION ALL SELECT 'audit without owner', count(*) FROM orders WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey)""",
         "table_rules": """SELECT 'audits' AS table_name, 'status not allowed' AS rule, count(*) FILTER (WHERE event_type NOT IN ('queued', 'scraping', 'extracting', 'querying', 'analyzing', 'scoring', 'done', 'failed')) AS violations FROM events
           UNION ALL SELECT 'audits', 'progress out of range', count(*) FILTER (WHERE floor(value) IS NULL OR floor(value) NOT BETWEEN 0 AND 100) FROM events
           UNION ALL SELECT 'ai_responses', 'provider not allowed', count(*) FILTER (WHERE l_linenumber >= 3) FROM lineitem
           UNION ALL SELECT 'ai_responses', 'query_id, provider not unique', count(*) FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey, CASE WHEN l_linenumber < 3 THEN 'openai' ELSE lower(l_returnflag) END HAVING count(*) > 1)""",
-        "written_tables": f"""WITH {USAGE} SELECT 'audits' AS table_name, '' AS part, count(*) AS n_rows, sum(o_orderkey)::BIGINT AS ids FROM orders
-          UNION ALL SELECT 'queries', '', count(*), sum(l_orderkey * 10 + l_linenumber)::BIGINT FROM lineitem
-          UNION ALL SELECT 'ai_responses', '', count(*), sum(l_orderkey * 10 + l_linenumber)::BIGINT FROM lineitem
+        "stored_integrity": _stored_integrity(),
+        "written_tables": f"""WITH {USAGE}, {_stored()}
+          SELECT 'audits' AS table_name, 'earlier' AS part, count(*) AS n_rows, sum(id)::BIGINT AS ids FROM audits
+          UNION ALL SELECT 'audits', 'load', count(*), sum(id)::BIGINT FROM audits
+          {" ".join(f"UNION ALL SELECT '{name}', 'load', count(*), sum({key})::BIGINT FROM {name}" for name, key in (("queries", "id"), ("ai_responses", "id"), ("audit_recommendations", "id"), ("ai_response_analysis", "response_id"), ("audit_business_info", "audit_id"), ("audit_technical", "audit_id"), ("audit_scores", "audit_id")))}
           UNION ALL SELECT 'api_usage', strftime(created_at, '%Y-%m'), count(*), sum(event_id)::BIGINT FROM usage_ GROUP BY strftime(created_at, '%Y-%m')""",
         "exported_records": f"""SELECT strftime(TIMESTAMP '2024-01-01 00:00:00' + INTERVAL 2 HOUR * page_id, '%Y-%m-%d') AS day, replace({host('url')}, '.', '_') AS domain,
           count(*) AS n_records, sum(length(html))::BIGINT AS html_chars FROM pages GROUP BY 1, 2""",

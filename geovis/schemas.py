@@ -78,3 +78,19 @@ UNIQUE = {
     "audit_technical": ["audit_id", "category"],
     "ai_responses": ["query_id", "provider"],
 }
+
+# A column and the table whose key it holds; null where it may be.
+PARENTS = {
+    ("audits", "user_id"): ("profiles", "id"),
+    ("audit_business_info", "audit_id"): ("audits", "id"),
+    ("audit_technical", "audit_id"): ("audits", "id"),
+    ("queries", "audit_id"): ("audits", "id"),
+    ("ai_responses", "query_id"): ("queries", "id"),
+    ("ai_response_analysis", "response_id"): ("ai_responses", "id"),
+    ("audit_scores", "audit_id"): ("audits", "id"),
+    ("audit_recommendations", "audit_id"): ("audits", "id"),
+    ("api_usage", "user_id"): ("profiles", "id"),
+    ("api_usage", "audit_id"): ("audits", "id"),
+    ("email_captures", "audit_id"): ("audits", "id"),
+    ("rate_limits", "audit_id"): ("audits", "id"),
+}

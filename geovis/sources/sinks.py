@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+import re
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geovis.functions import urls as U
+from geovis.sources.files import Files
 
 # Tables of an audit and the states it passes through.
 TABLES = [
@@ -15,18 +20,42 @@ TABLES = [
 AUDIT_STATES = ["queued", "scraping", "extracting", "querying", "analyzing", "scoring", "done", "failed"]
 
 
-def write_tables(frames: dict[str, DataFrame], path: str, mode: str = "append") -> None:
-    """Append each table below `path`. The usage ledger is partitioned by `usage_month`, so that
-    month-to-date reads touch one folder."""
+def write_tables(frames: dict[str, DataFrame], path: str, run_id: str | None = None) -> None:
+    """Load tables below `path` as one run. A run that is loaded again replaces its own rows and no
+    others: each attempt writes folders of its own, and the run's commit file, which names them for
+    all tables at once, is replaced when the last one is written. Without a `run_id` the rows are a
+    run of their own. The usage ledger is partitioned by `usage_month`, so that month-to-date reads
+    touch one folder per run."""
     unknown = set(frames) - set(TABLES)
     if unknown:
         raise ValueError(f"unknown tables: {sorted(unknown)}")
+    if not frames:
+        return
+    run_id, attempt = run_id or uuid.uuid4().hex, uuid.uuid4().hex[:12]
+    if not re.fullmatch(r"[A-Za-z0-9_.-]+", run_id):
+        raise ValueError("a run id has letters, digits and _.- only")
+    files = Files(next(iter(frames.values())).sparkSession, path)
+    commit, name_of = f"_commits/{run_id}.json", f"run={run_id}.{attempt}"
+    before = json.loads(files.read(commit)) if f"{run_id}.json" in files.names("_commits") else {}
     for name, df in frames.items():
         if name == "api_usage":
             dated = df.withColumn("usage_month", F.date_format("created_at", "yyyy-MM"))
-            dated.write.mode(mode).partitionBy("usage_month").parquet(f"{path}/{name}")
+            dated.write.partitionBy("usage_month").parquet(f"{path}/{name}/{name_of}")
         else:
-            df.write.mode(mode).parquet(f"{path}/{name}")
+            df.write.parquet(f"{path}/{name}/{name_of}")
+    files.replace(commit, json.dumps(before | dict.fromkeys(frames, name_of)))
+    for name in before.keys() & frames.keys():
+        files.delete(f"{name}/{before[name]}")
+
+
+def read_table(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """The rows of a stored table of all committed runs, with the folder of each as `run`."""
+    files = Files(spark, path)
+    commits = [json.loads(files.read(f"_commits/{c}")) for c in files.names("_commits") if c.endswith(".json")]
+    folders = sorted(f"{path}/{name}/{c[name]}" for c in commits if name in c)
+    if not folders:
+        raise FileNotFoundError(f"no run has loaded {name}")
+    return spark.read.option("basePath", f"{path}/{name}").parquet(*folders)
 
 
 def technical_rows(checks: DataFrame, scores: DataFrame, key: str = "audit_id") -> DataFrame:

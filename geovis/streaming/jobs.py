@@ -164,7 +164,7 @@ def spend_version(store: Store, reserved: Store, batch: int) -> int | None:
         newest = store.latest()
         pin.write_manifest(batch, [] if newest is None else [(newest, newest, 0)])
         for old in pin.versions()[: -pin.keep]:
-            pin.system.delete(pin.path(f"{pin.folder}/manifests/{old}.json"), False)
+            pin.files.delete(f"manifests/{old}.json")
     found = [p[0] for p in pin.parts(batch)]
     # A version so old that its writer has deleted it gives way to the newest one.
     return found[0] if found and found[0] in store.versions() else store.latest() if found else None

@@ -18,6 +18,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from geovis.sources.files import Files
+
 Part = tuple[int, int, int]  # first batch, last batch, generation
 
 
@@ -27,29 +29,16 @@ class Store:
 
     def __init__(self, spark: SparkSession, folder: str, schema: str | None, merge: Callable[[DataFrame], DataFrame], fan: int = 4, keep: int = 3) -> None:
         self.spark, self.folder, self.schema, self.merge, self.fan, self.keep = spark, folder, schema, merge, fan, keep
-        self.files = spark._jvm.org.apache.hadoop.fs
-        self.system = self.path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def path(self, name: str):
-        return self.files.Path(name)
-
-    def names(self, kind: str) -> list[str]:
-        at = self.path(f"{self.folder}/{kind}")
-        return [s.getPath().getName() for s in self.system.listStatus(at)] if self.system.exists(at) else []
+        self.files = Files(spark, folder)
 
     def versions(self) -> list[int]:
         """The batches that have a manifest, ascending."""
-        return sorted(int(n.removesuffix(".json")) for n in self.names("manifests") if n.endswith(".json"))
+        return sorted(int(n.removesuffix(".json")) for n in self.files.names("manifests") if n.endswith(".json"))
 
     def parts(self, version: int | None) -> list[Part]:
         if version is None:
             return []
-        stream = self.system.open(self.path(f"{self.folder}/manifests/{version}.json"))
-        try:
-            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
-        return [tuple(p) for p in json.loads(text)]
+        return [tuple(p) for p in json.loads(self.files.read(f"manifests/{version}.json"))]
 
     def part_path(self, part: Part) -> str:
         first, last, _ = part
@@ -88,23 +77,13 @@ class Store:
         self.forget()
 
     def write_manifest(self, batch: int, parts: list[Part]) -> None:
-        name = self.path(f"{self.folder}/manifests/{batch}.json")
-        draft = self.path(f"{self.folder}/manifests/{batch}.draft")
-        out = self.system.create(draft, True)
-        try:
-            out.write(bytearray(json.dumps(parts).encode()))
-        finally:
-            out.close()
-        self.system.delete(name, False)
-        if not self.system.rename(draft, name):
-            raise OSError(f"cannot write the manifest of batch {batch} in {self.folder}")
+        self.files.replace(f"manifests/{batch}.json", json.dumps(parts))
 
     def forget(self) -> None:
         """Delete what none of the last versions has."""
         versions = self.versions()
-        kept = versions[-self.keep :]
-        used = {self.part_path(p).rsplit("/", 1)[-1] for v in kept for p in self.parts(v)}
+        used = {self.part_path(p).rsplit("/", 1)[-1] for v in versions[-self.keep :] for p in self.parts(v)}
         for version in versions[: -self.keep]:
-            self.system.delete(self.path(f"{self.folder}/manifests/{version}.json"), False)
-        for name in set(self.names("parts")) - used:
-            self.system.delete(self.path(f"{self.folder}/parts/{name}"), True)
+            self.files.delete(f"manifests/{version}.json")
+        for name in set(self.files.names("parts")) - used:
+            self.files.delete(f"parts/{name}")

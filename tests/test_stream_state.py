@@ -30,7 +30,7 @@ def test_many_batches_leave_few_folders(spark, tmp_path):
         for k, v in rows:
             want[k] = want.get(k, 0) + v
         kept.add(batch, spark.createDataFrame(rows, "k long, v long").coalesce(1))
-        most = max(most, len(kept.names("parts")))
+        most = max(most, len(kept.files.names("parts")))
     assert {r["k"]: r["v"] for r in kept.read().collect()} == want
     parts = kept.parts(kept.latest())
     # 41 = 221 in base 4: one part of generation 0, two of 1, two of 2.
