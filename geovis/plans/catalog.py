@@ -453,13 +453,17 @@ def synthesis_input(spark, sf) -> DataFrame:
     )
 
 
-def audit_records(spark, sf) -> DataFrame:
+def _audit_record(spark, sf) -> DataFrame:
     checks = saved(all_checks(spark, sf).withColumnRenamed("site_id", "audit_id"), "checks")
     audits = I.read(spark, sf, "pages").select(F.col("page_id").alias("audit_id"), "url")
-    record = report.audit_record(
+    return report.audit_record(
         audits, scoring.technical_scores(checks, "audit_id"), checks,
         visibility.visibility_scores(_responses(spark, sf)), _questions(spark, sf)[0], _synthesis(spark, sf),
     )
+
+
+def audit_records(spark, sf) -> DataFrame:
+    record = _audit_record(spark, sf)
     return record.select(
         "audit_id", "url", "technical_score", "visibility_score", F.size("checks").alias("checks"),
         F.coalesce(F.size("queries"), F.lit(0)).alias("queries"),
@@ -648,6 +652,27 @@ def exported_records(spark, sf) -> DataFrame:
     return rows.groupBy("day", "domain").agg(F.count("*").alias("n_records"), F.sum(F.length("html")).alias("html_chars"))
 
 
+def exported_audits(spark, sf) -> DataFrame:
+    """Whole audits as nested records, exported and read back: what their lists say."""
+    folder = work_dir(spark, "audits")
+    record = _audit_record(spark, sf).withColumn("fetched_at", F.timestamp_seconds(F.lit(1704067200) + F.col("audit_id") * 7200))
+    sinks.write_records(record, folder, most=500)
+    rows = spark.read.schema(record.schema.add("domain", "string").add("day", "string")).json(folder)
+
+    def said(items, *fields, order="position"):
+        ordered = F.array_sort(F.transform(items, lambda x: F.struct(x[order].alias("o"), F.concat_ws(":", *[F.coalesce(x[f].cast("string"), F.lit("-")) for f in fields]).alias("s"))))
+        return F.coalesce(F.array_join(F.transform(ordered, lambda x: x.s), "|"), F.lit(""))
+
+    placed = F.transform("recommendations", lambda r, i: F.struct(i.alias("position"), r["priority"].alias("priority"), r["title"].alias("title"), r["impact_score"].alias("impact_score")))
+    checks = F.transform("checks", lambda c: F.struct(c.check_id.alias("check_id"), c.status.alias("status"), c.points_earned.cast("int").alias("points")))
+    return rows.select(
+        "audit_id", "url", F.col("day").cast("string").alias("day"), "domain", "technical_score", "visibility_score",
+        said(checks, "check_id", "status", "points", order="check_id").alias("checks"),
+        F.md5(said(F.col("queries"), "position", "category", "text")).alias("queries_md5"),
+        said(placed, "priority", "title", "impact_score").alias("recommendations"),
+    )
+
+
 def audit_states(spark, sf) -> DataFrame:
     events = I.derive(spark, sf, I.STATE_SQL, "events")
     s = sinks.current_state(events)
@@ -739,6 +764,7 @@ QUERIES = {
     "table_rules": table_rules,
     "written_tables": written_tables,
     "exported_records": exported_records,
+    "exported_audits": exported_audits,
     "audit_states": audit_states,
     "stream_spend_alerts": streams.spend_alerts_query,
     "stream_rate_windows": streams.rate_windows_query,

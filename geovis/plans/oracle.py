@@ -847,6 +847,13 @@ def statements() -> dict[str, str]:
           UNION ALL SELECT 'api_usage', strftime(created_at, '%Y-%m'), count(*), sum(event_id)::BIGINT FROM usage_ GROUP BY strftime(created_at, '%Y-%m')""",
         "exported_records": f"""SELECT strftime(TIMESTAMP '2024-01-01 00:00:00' + INTERVAL 2 HOUR * page_id, '%Y-%m-%d') AS day, replace({host('url')}, '.', '_') AS domain,
           count(*) AS n_records, sum(length(html))::BIGINT AS html_chars FROM pages GROUP BY 1, 2""",
+        "exported_audits": f"""{ALL_CHECKS}, {CATEGORY}, {RESPONSES}, {VISIBILITY}, qn AS (WITH {QUESTIONS} SELECT audit_id, string_agg(position || ':' || category || ':' || text, '|' ORDER BY position) AS said FROM questions GROUP BY 1),
+          sy AS (WITH {SYNTHESIS}, u AS (SELECT audit_id, unnest(recs) AS r, generate_subscripts(recs, 1) AS position FROM synthesis)
+            SELECT audit_id, string_agg(json_extract_string(r, '$.priority') || ':' || json_extract_string(r, '$.title') || ':' || json_extract_string(r, '$.impact_score'), '|' ORDER BY position) AS said FROM u GROUP BY 1),
+          said AS (SELECT site_id, string_agg(check_id || ':' || status || ':' || CAST(points_earned AS INT), '|' ORDER BY check_id) AS said FROM checks GROUP BY site_id)
+          SELECT p.page_id AS audit_id, p.url, strftime(TIMESTAMP '2024-01-01 00:00:00' + INTERVAL 2 HOUR * p.page_id, '%Y-%m-%d') AS day, replace({host('p.url')}, '.', '_') AS domain, technical_score, visibility_score,
+            said.said AS checks, md5(coalesce(qn.said, '')) AS queries_md5, coalesce(sy.said, '') AS recommendations
+          FROM pages p JOIN tech t ON t.site_id = p.page_id JOIN said ON said.site_id = p.page_id LEFT JOIN vis v ON v.audit_id = p.page_id LEFT JOIN qn ON qn.audit_id = p.page_id LEFT JOIN sy ON sy.audit_id = p.page_id""",
         "audit_states": f"""WITH s AS ({I.STATE_SQL}), l AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY audit_id ORDER BY event_ts DESC, seq DESC) = 1)
           SELECT audit_id, status, CASE WHEN status = 'done' THEN 100 ELSE progress END AS progress, current_step, CASE WHEN status = 'failed' THEN error_message END AS error_message, language,
           CASE WHEN status IN ('done', 'failed') THEN epoch_us(event_ts) END AS completed_at, epoch_us(event_ts) AS updated_at FROM l""",

@@ -92,9 +92,17 @@ def current_state(events: DataFrame) -> DataFrame:
     )
 
 
-def write_records(records: DataFrame, path: str, fetched_at: str = "fetched_at", url: str = "url") -> None:
-    """Export nested records as JSON, one folder per day; the domain is a field of the record."""
+MOST_RECORDS = 10_000
+
+
+def write_records(
+    records: DataFrame, path: str, fetched_at: str = "fetched_at", url: str = "url", most: int = MOST_RECORDS
+) -> None:
+    """Export nested records as JSON, one folder per day; the domain is a field of the record. Rows
+    are dealt by ranges of day, domain and address, so a file holds neighbouring domains, a day or a
+    domain with very many records is spread over many tasks, and no file has more than `most`."""
     labelled = records.withColumn("day", F.date_format(F.col(fetched_at), "yyyy-MM-dd")).withColumn(
         "domain", F.regexp_replace(U.domain(F.col(url)), r"\.", "_")
     )
-    labelled.write.mode("append").partitionBy("day").json(path)
+    dealt = labelled.repartitionByRange("day", "domain", F.substring(url, 1, 200)).sortWithinPartitions("day", "domain")
+    dealt.write.mode("append").option("maxRecordsPerFile", most).partitionBy("day").json(path)
