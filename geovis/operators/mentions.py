@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from geovis.functions import text as T
 from geovis.functions import urls as U
 from geovis.functions.core import let
+from geovis.session import bucketed
 
 EXACT_MIN_LENGTH = 3
 FUZZY_MIN_LENGTH = 5
@@ -84,9 +85,16 @@ def fuzzy_match(text: Column, name: Column, aliases: Column) -> Column:
     return let(F.transform(T.tokens(text), sized), search)
 
 
+def stored_for_search(answers: DataFrame, brands: DataFrame, buckets: int = 200) -> tuple[DataFrame, DataFrame]:
+    """Both sides as tables dealt by audit_id, for dictionaries too large to send to every task: the
+    texts are moved once, when they are stored, and no search moves them again."""
+    return bucketed(answers, "answers", "audit_id", buckets), bucketed(brands, "brands", "audit_id", buckets)
+
+
 def exact_mentions(answers: DataFrame, brands: DataFrame) -> DataFrame:
-    """answers plus `exact` (struct, null for none)."""
-    return answers.join(brands, "audit_id").withColumn(
+    """answers plus `exact` (struct, null for none). An answer whose audit has no dictionary row stays,
+    without a mention."""
+    return answers.join(brands, "audit_id", "left").withColumn(
         "exact", exact_match(F.col("text"), F.col("brand_name"), F.col("aliases"))
     )
 

@@ -61,3 +61,12 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     path = work_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """The rows of `df` as a table in the shared folder, dealt and sorted by `key`. Two such tables
+    of one key and number of buckets are joined without moving their rows again."""
+    table = f"geovis_{name}_{uuid.uuid4().hex}"
+    path = work_dir(df.sparkSession, name)
+    df.write.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(table)
+    return df.sparkSession.table(table)
