@@ -66,13 +66,15 @@ ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant"}
 
 
 def canonical(records: DataFrame) -> DataFrame:
-    """conv_id, turn, role, text of a table whose schema has a known fingerprint; columns outside
-    every layout are left out of the fingerprint."""
-    known = {p for x in LAYOUTS for p in x["paths"]}
-    paths = [p for p in nested_paths(records.schema) if p in known]
-    layout = BY_FINGERPRINT.get(fingerprint(paths))
-    if layout is None:
-        raise ValueError(f"no layout has the fields {sorted(nested_paths(records.schema))}")
+    """conv_id, turn, role, text of a table whose schema has the fingerprint of a layout, leaving its
+    other columns out. Of several the rows that are turns already come first, then the layout with
+    the most fields."""
+    paths = nested_paths(records.schema)
+    prints = [fingerprint([p for p in paths if p in x["paths"]]) for x in LAYOUTS]
+    fitting = [x for x, found in zip(LAYOUTS, prints, strict=True) if BY_FINGERPRINT.get(found) is x]
+    if not fitting:
+        raise ValueError(f"no layout has the fields {sorted(paths)}")
+    layout = max(fitting, key=lambda x: ("rows" in x, len(x["paths"])))
     field = lambda path: F.col(f"`{path}`")
     if "rows" in layout:
         turn, role, text = layout["rows"]

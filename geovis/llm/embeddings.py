@@ -13,8 +13,8 @@ tiles returns link counts per vector and a spanning forest of its links, never t
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components have
 no links and are a component of their own; vectors of different length do not link; equal
-vectors link with each other; a null vec_id is counted by its links but has a null component and
-is not kept; an empty table gives no rows; other columns are ignored.
+vectors link with each other; rows with a null vec_id link and bridge, but have a null component and
+are not kept (ids are below 2^62 then); an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -103,8 +103,13 @@ def choose_pivots(sample: np.ndarray) -> np.ndarray:
 
 
 def nodes_of(rows: DataFrame) -> DataFrame:
-    """node, n, vector of the distinct vectors: the smallest id and the number of rows."""
-    return rows.filter("vector is not null").groupBy("vector").agg(F.min("id").alias("node"), F.count("*").alias("n")).filter("node is not null")
+    """node, n, vector of the distinct vectors: the smallest id and the number of rows. A vector that
+    only rows without an id have gets a number above all ids: it links and bridges like any other,
+    and is never the smallest of a component that has an id."""
+    top = rows.agg(F.max("id")).first()[0]
+    above = F.lit(max(top or 0, 0) + 1) + F.monotonically_increasing_id()
+    nodes = rows.filter("vector is not null").groupBy("vector").agg(F.min("id").alias("node"), F.count("*").alias("n"))
+    return nodes.select("vector", F.coalesce("node", above).alias("node"), "n")
 
 
 def with_pivot(nodes: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:

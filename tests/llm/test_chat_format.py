@@ -91,3 +91,17 @@ def test_unknown_table(spark):
 
 def test_fingerprints_are_distinct():
     assert len(chat_format.BY_FINGERPRINT) == len(chat_format.LAYOUTS) == len(chat_format.layout_schemas()) + 1
+
+
+def test_other_columns_change_nothing(spark):
+    """Fields of the other layouts and names used inside, beside turn rows and beside a prompt."""
+    names = ["prompt", "response", "instruction", "input", "output", "piece", "record", "v", "print", "m", "t", "loss_from", "formatted_chars", "messages"]
+    rows = [(1, 0, "user", "a"), (1, 1, "assistant", "b")]
+    df = spark.createDataFrame(rows, TURNS).withColumns({n: F.lit("clash") for n in names})
+    assert run(df) == digest(rows)
+    many = spark.createDataFrame(rows, TURNS).withColumn("messages", F.array(F.struct(F.lit("x").alias("role"), F.lit("y").alias("content"))))
+    assert run(many) == digest(rows)
+    prompts = spark.createDataFrame([(1, "a", "b")], "conv_id long, prompt string, response string").withColumns({n: F.lit("c") for n in ("turn", "input", "role", "output")})
+    assert [tuple(r) for r in chat_format.canonical(prompts).orderBy("turn").collect()] == [(1, 0, "user", "a"), (1, 1, "assistant", "b")]
+    both = spark.createDataFrame([(1, "s", "a", "b")], "conv_id long, instruction string, input string, output string")
+    assert chat_format.canonical(both).count() == 3

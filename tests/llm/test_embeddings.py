@@ -86,3 +86,14 @@ def test_far_pivots_do_not_meet():
     groups = [{"size": 2, "pivot": p, "count": 10, "radius": 0.1} for p in (0, 1)]
     parts, meets = embeddings.tile_pairs(groups, pivots, 0.9)
     assert parts == {(2, 0): 1, (2, 1): 1} and meets == {(2, 0): [(2, 0)], (2, 1): [(2, 1)]}
+
+
+def test_rows_without_an_id_bridge(spark, documents):
+    """The middle of a chain, a group of their own, copies of rows with an id, and many at once."""
+    angle = lambda degrees: [float(np.cos(np.radians(degrees))), float(np.sin(np.radians(degrees)))]
+    rows = [(1, angle(0)), (None, angle(20)), (2, angle(40)), (None, angle(120)), (None, angle(125)), (3, angle(200)), (None, angle(200))]
+    assert found(spark, rows, "double") == brute(rows)
+    assert [r[:3] for r in found(spark, rows, "double") if r[0] == 2] == [(2, 1, 1)]
+    mixed = [(None if k % 3 else k, v) for k, v in vectors(5)]
+    assert found(spark, mixed) == brute(mixed)
+    assert found(spark, [(None, v) for _, v in vectors(6, 20)]) == brute([(None, v) for _, v in vectors(6, 20)])
