@@ -32,9 +32,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     that repeat both that id and its text one stays. Documents without an id have no group and
     stay."""
     groups = simhash.near_duplicates(docs)
-    first = groups.filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").withColumn("_text_hash", F.xxhash64("text"))
-    kept = kept.dropDuplicates(["doc_id", "_text_hash"]).select(*docs.columns)
+    first = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("id")).distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
+    kept = rows.join(first, "id", "left_semi").dropDuplicates(["id", "hash"]).select("row.*")
     return kept.unionByName(docs.filter("doc_id is null"))
 
 
