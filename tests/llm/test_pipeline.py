@@ -1,9 +1,12 @@
 import hashlib
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from geovis.llm import packing, pii, quality, simhash
 from geovis.llm.common import stored, table
+from .test_simhash import slow_components
 from .test_suffix_dedup import brute
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -28,10 +31,7 @@ def test_stages_against_brute_force(spark, sf, documents):
     prints = {r["doc_id"]: simhash.fingerprint(r["text"] or "") for r in kept.collect()}
     left = {r["doc_id"] for r in single.collect()}
     assert left <= set(prints) and len(left) == single.count()
-    for k, bits in prints.items():
-        near = [j for j in prints if j != k and (prints[j] ^ bits).bit_count() <= simhash.RADIUS]
-        assert near or k in left
-        assert k in left or any(j < k for j in near) or near
+    assert left == set(slow_components(prints).values())  # of each component its smallest id, and no other
     texts = {r["doc_id"]: r["text"] for r in single.collect()}
     digests = {i: (removed, sha) for i, _, removed, _, sha in brute(list(texts.items()))}
     for r in cut.collect():
@@ -53,10 +53,12 @@ def test_stages_against_brute_force(spark, sf, documents):
 def test_odd_rows(spark, documents, sf, tmp_path):
     long = " ".join(f"w{k}" for k in range(40))
     rows = [(1, None), (2, ""), (3, long), (3, long), (4, long), (None, " ".join(f"v{k}" for k in range(40))), (5, " ".join(f"u{k}" for k in range(30)) + " bob.7@mail.example.com")]
-    docs = documents(rows, "struct(1 as a) as _rest")
+    extra = ["_rest", "_text_hash", "id", "hash", "row", "_row", "kept", "component_id", "bits", "key", "spans", "verdict"]
+    docs = documents(rows, "struct(1 as a) as _rest").withColumns({n: F.lit(f"own {n}") for n in extra[1:]})
     for name, stage in corpus_pipeline.STAGES[:-1]:
         docs = stored(stage(spark, docs, sf), name.replace(" ", "-"))
-        assert docs.columns == [*COLUMNS, "_rest"]
+        assert docs.columns == [*COLUMNS, *extra]
+        assert all(r[n] == f"own {n}" for r in docs.collect() for n in extra[1:])
     got = {r["doc_id"]: r["text"] for r in docs.collect()}
     assert docs.count() == 3 and set(got) == {3, 5, None} and got[5].endswith("[EMAIL]")
 
