@@ -355,7 +355,8 @@ def whole_address(text: str, span: Span, least: int) -> Span:
 
 
 def plausible(text: str, span: Span) -> bool:
-    """A span of the tagger has what its kind can't do without, and white space at no end."""
+    """A span of the tagger has what its kind can't do without, and white space at no end. A number
+    that fails the test of its kind (Luhn's of a card, parts of an address up to 255) is none."""
     kind, start, end = span
     body = text[start:end]
     digits = len(DIGITS.findall(body))
@@ -367,6 +368,10 @@ def plausible(text: str, span: Span) -> bool:
         return "@" in tight and "." in tight.partition("@")[2] and not re.search(r"\s", tight) and alone
     letters = any(c.isalpha() for c in body)
     least, most = {"ip": (4, 12), "card": (16, 19), "phone": (9, 15)}[KINDS[kind]]
+    if KINDS[kind] == "card" and not luhn("".join(c for c in body if "0" <= c <= "9")):
+        return False
+    if KINDS[kind] == "ip" and any(int(part) > 255 for part in re.findall("[0-9]+", body)):
+        return False
     return not letters and least <= digits <= most and alone
 
 

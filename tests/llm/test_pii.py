@@ -150,3 +150,11 @@ def test_odd_rows(tagger, documents):
 
 def test_hidden_joins_overlaps():
     assert pii.hidden("abcdefgh", [(2, 1, 4), (3, 2, 6)]) == "a[CARD]gh"
+
+
+def test_added_numbers_pass_the_tests_of_their_kind():
+    card, ip = (pii.KINDS.index(k) for k in ("card", "ip"))
+    for body, fine in (("4111 1111 1111 1111", True), ("4111 1111 1111 1112", False), ("4111111111111111", True)):
+        assert pii.plausible(f"x {body} y", (card, 2, 2 + len(body))) is fine
+    for body, fine in (("10.0.0.255", True), ("10.0.0.256", False)):
+        assert pii.plausible(body, (ip, 0, len(body))) is fine
