@@ -33,10 +33,12 @@ PIECE = rf"(?is)(<{_OUTLINE}{_ATTRS}(?:>|\z)(?:[^<]++|<(?!{_OUTLINE})(?:/?[A-Za-
 
 # Named character references, as the standard library lists them. References of
 # running text come first, because a map is searched from its start.
-_COMMON = (
-    "lt gt quot apos nbsp copy reg middot bull ndash mdash laquo raquo lsquo rsquo ldquo rdquo hellip euro deg times "
-    "eacute egrave ecirc agrave acirc ccedil ocirc ugrave icirc amp uuml ouml auml szlig ntilde"
-).split(" ")
+_COMMON = [
+    "lt", "gt", "quot", "apos", "nbsp", "copy", "reg", "middot", "bull", "ndash",
+    "mdash", "laquo", "raquo", "lsquo", "rsquo", "ldquo", "rdquo", "hellip", "euro", "deg",
+    "times", "eacute", "egrave", "ecirc", "agrave", "acirc", "ccedil", "ocirc", "ugrave", "icirc",
+    "amp", "uuml", "ouml", "auml", "szlig", "ntilde",
+]
 ENTITIES = {f"&{name};": html5[f"{name};"] for name in _COMMON} | {
     f"&{name}": char for name, char in sorted(html5.items()) if name.endswith(";") and name[:-1] not in _COMMON
 }

@@ -34,9 +34,10 @@ PRICES = [
 ]
 USD_TO_EUR = "0.92"
 
-MONTHS_FR = (
-    "janvier février mars avril mai juin juillet août septembre octobre novembre décembre".split()
-)
+MONTHS_FR = [
+    "janvier", "février", "mars", "avril", "mai", "juin",
+    "juillet", "août", "septembre", "octobre", "novembre", "décembre",
+]
 
 
 def model_provider(model: Column) -> Column:

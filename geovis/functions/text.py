@@ -23,10 +23,11 @@ EDGE_L = r"(?<![0-9A-Za-z_])"
 EDGE_R = r"(?![0-9A-Za-z_])"
 
 # Interrogative words (French, English) that mark an implicit question.
-QUESTION_WORDS = (
-    "qui que quoi quand comment pourquoi combien ou est-ce peut-on peut-il peut-elle "
-    "what how why when where who which can do does is are"
-).split()
+QUESTION_WORDS = [
+    "qui", "que", "quoi", "quand", "comment", "pourquoi", "combien", "ou",
+    "est-ce", "peut-on", "peut-il", "peut-elle", "what", "how", "why", "when",
+    "where", "who", "which", "can", "do", "does", "is", "are",
+]
 QUESTION_MIN_LENGTH = 20
 
 # Openings of a direct answer.

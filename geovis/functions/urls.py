@@ -12,7 +12,10 @@ ABSOLUTE = r"^\s*[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(?:\[[0-9A-Fa-f:.]+\]|[
 DEFAULT_PORTS = {"http": "80", "https": "443", "ftp": "21", "ws": "80", "wss": "443"}
 
 # Link endings that are files, not pages.
-ASSET_SUFFIXES = "png jpg jpeg gif svg ico webp css js json pdf xml zip mp4 webm woff woff2".split()
+ASSET_SUFFIXES = [
+    "png", "jpg", "jpeg", "gif", "svg", "ico", "webp", "css", "js", "json",
+    "pdf", "xml", "zip", "mp4", "webm", "woff", "woff2",
+]
 
 _TO_ESCAPE = r"""[^\x21-\x7E]|["<>`{}]"""
 

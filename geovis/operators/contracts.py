@@ -1,12 +1,17 @@
 """Loaders for the JSON that models return. Each checks the contract row by row, keeps a reason
-for what it rejects, and falls back to the documented default."""
+for what it rejects, and falls back to the documented default. `payload_breaches` lists every broken
+rule of a payload with the path of the value that breaks it."""
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geovis.functions.core import unfold
+from geovis.functions.core import unfold, whole_json
 from geovis.functions.text import js_trim, strip_fences
 
 # Allowed names in the contracts.
@@ -18,7 +23,7 @@ QUERIES_PER_CATEGORY = 10
 RECOMMENDATIONS = (5, 15)
 
 
-def _kind(value: Column, path: str) -> Column:
+def kind_of(value: Column, path: str = "$") -> Column:
     """JSON type of a field: OBJECT, ARRAY, STRING, BOOLEAN, NUMBER, NULL, or null if absent."""
     schema = F.schema_of_variant(F.try_variant_get(value, path, "variant"))
     return (
@@ -31,66 +36,175 @@ def _kind(value: Column, path: str) -> Column:
 
 
 def _is(value: Column, path: str, *kinds: str) -> Column:
-    return F.coalesce(_kind(value, path).isin(*kinds), F.lit(False))
+    return F.coalesce(kind_of(value, path).isin(*kinds), F.lit(False))
 
 
 def _strings(value: Column, path: str) -> Column:
     return F.try_variant_get(value, path, "array<string>")
 
 
-def _is_string_list(value: Column, path: str) -> Column:
-    items = F.try_variant_get(value, path, "array<variant>")
-    return F.coalesce(
-        F.forall(items, lambda i: F.schema_of_variant(i) == "STRING"), F.lit(False)
-    )
+def _items(value: Column, path: str) -> Column:
+    return F.try_variant_get(value, path, "array<variant>")
 
 
 def _text(value: Column, path: str) -> Column:
     return F.try_variant_get(value, path, "string")
 
 
-def _whole(value: Column, path: str, low: int, high: int | None = None) -> Column:
-    """A whole number of at least `low` and at most `high`."""
-    number = F.try_variant_get(value, path, "double")
-    fits = _is(value, path, "NUMBER") & (number == F.floor(number)) & (number >= low)
-    return F.coalesce(fits if high is None else fits & (number <= high), F.lit(False))
+class Rule(NamedTuple):
+    """What a value must be, in words and as a test of (payload, path). A rule about the items of
+    a list names the rules that each of them has to keep, by path below the item."""
+
+    says: str
+    holds: Callable[[Column, str], Column]
+    items: tuple[tuple[str, Rule], ...] = ()
+
+    def or_null(self) -> Rule:
+        return Rule(f"{self.says} or null", lambda v, path: _is(v, path, "NULL") | self.holds(v, path))
+
+    def or_absent(self) -> Rule:
+        return Rule(f"{self.says} or absent", lambda v, path: kind_of(v, path).isNull() | self.holds(v, path), self.items)
+
+
+def of_kind(kind: str) -> Rule:
+    return Rule(kind.lower(), lambda v, path: _is(v, path, kind))
+
+
+TEXT, FLAG, NUMBER, OBJECT = (of_kind(kind) for kind in ("STRING", "BOOLEAN", "NUMBER", "OBJECT"))
 
 
-def _one_of(value: Column, path: str, names: list[str]) -> Column:
-    return _is(value, path, "STRING") & F.coalesce(_text(value, path).isin(*names), F.lit(False))
+def whole(low: int, high: int | None = None) -> Rule:
+    def holds(v, path):
+        number = F.try_variant_get(v, path, "double")
+        fits = _is(v, path, "NUMBER") & (number == F.floor(number)) & (number >= low)
+        return F.coalesce(fits if high is None else fits & (number <= high), F.lit(False))
 
+    return Rule(f"whole number from {low}" + ("" if high is None else f" to {high}"), holds)
 
-def _reason(rules: list[tuple[Column, str]]) -> Column:
+
+def one_of(names: list[str]) -> Rule:
+    return Rule(
+        "one of " + ", ".join(names),
+        lambda v, path: _is(v, path, "STRING") & F.coalesce(_text(v, path).isin(*names), F.lit(False)),
+    )
+
+
+def list_of(low: int = 0, high: int | None = None) -> Rule:
+    def holds(v, path):
+        n = F.size(_items(v, path))
+        return F.coalesce(n >= low if high is None else n.between(low, high), F.lit(False))
+
+    return Rule("list" if not low and high is None else f"list of {low}" + ("" if high == low else " or more" if high is None else f" to {high}"), holds)
+
+
+def each(*items: tuple[str, Rule]) -> Rule:
+    """A list whose items keep `items`."""
+
+    def fits(item):
+        return functools.reduce(lambda a, b: a & b, [rule.holds(item, "$" + below) for below, rule in items])
+
+    return Rule("list", lambda v, path: F.coalesce(F.forall(_items(v, path), fits), F.lit(False)), items)
+
+
+TEXTS = each(("", TEXT))
+
+# Contracts: (name of the reason, path, rule), in the order in which reasons are given.
+Contract = list[tuple[str, str, Rule]]
+ANALYSIS: Contract = [
+    ("brand_mentioned", "$.brand_mentioned", FLAG),
+    ("mention_position", "$.mention_position", whole(0).or_null()),
+    ("mention_context", "$.mention_context", TEXT.or_null()),
+    ("brand_citation_present", "$.brand_citation_present", FLAG),
+    ("sentiment", "$.sentiment", one_of(SENTIMENTS).or_null()),
+    ("competitors_cited", "$.competitors_cited", TEXTS),
+    ("sources_cited", "$.sources_cited", TEXTS),
+]
+BUSINESS: Contract = [
+    ("brand_name", "$.brand_name", TEXT),
+    ("brand_aliases", "$.brand_aliases", TEXTS),
+    ("industry", "$.industry", TEXT.or_null()),
+    ("services", "$.services", TEXTS),
+    ("geo_zone", "$.geo_zone", TEXT.or_null()),
+    ("detected_competitors", "$.detected_competitors", TEXTS),
+    ("language", "$.language", one_of(LANGUAGES)),
+]
+QUESTIONS: Contract = [
+    (name, f"$.{name}", rule)
+    for name in QUERY_CATEGORIES
+    for rule in (TEXTS, list_of(QUERIES_PER_CATEGORY, QUERIES_PER_CATEGORY))
+]
+SYNTHESIS: Contract = [
+    ("verdict", "$.verdict", TEXT),
+    ("top_competitor", "$.top_competitor", TEXT.or_null()),
+    ("number of recommendations", "$.recommendations", list_of(*RECOMMENDATIONS)),
+    (
+        "recommendation",
+        "$.recommendations",
+        each(
+            (".priority", one_of(PRIORITIES)), (".category", TEXT), (".title", TEXT), (".description", TEXT),
+            (".impact_score", whole(1, 10)),
+        ).or_absent(),
+    ),
+]
+
+
+def _reason(v: Column, contract: Contract) -> Column:
     """Name of the first broken rule, null when all hold."""
-    return F.coalesce(*[F.when(~ok, F.lit(name)) for ok, name in rules])
+    broken = [F.when(~rule.holds(v, path), F.lit(name)) for name, path, rule in contract]
+    return F.coalesce(F.when(~_is(v, "$", "OBJECT"), "not a JSON object"), *broken)
 
 
 def _loaded(raw: DataFrame, text: str) -> DataFrame:
-    return raw.withColumn("_json", F.try_parse_json(strip_fences(F.col(text))))
+    return raw.withColumn("_json", whole_json(strip_fences(F.col(text))))
 
 
 _JSON = "_json"
 
 
+def breaches(v: Column, contract: Contract) -> Column:
+    """array(path, rule, found) of all broken rules of a payload, `found` being the type that
+    stands there. A broken rule about items gives a row for each value in them that breaks it."""
+
+    def breach(at, rule, value, path):
+        found = F.coalesce(kind_of(value, path), F.lit("ABSENT"))
+        return F.struct(at.alias("path"), F.lit(rule.says).alias("rule"), found.alias("found"))
+
+    def within(path, rule):
+        def of_item(item, i):
+            at = lambda below: F.concat(F.lit(f"{path}["), i.cast("string"), F.lit(f"]{below}"))
+            return F.array_compact(
+                F.array(*[F.when(~r.holds(item, "$" + below), breach(at(below), r, item, "$" + below)) for below, r in rule.items])
+            )
+
+        return F.flatten(F.transform(_items(v, path), of_item))
+
+    def of_field(path, rule):
+        whole_field = F.array(breach(F.lit(path), rule, v, path))
+        told = F.when(_is(v, path, "ARRAY"), within(path, rule)).otherwise(whole_field) if rule.items else whole_field
+        return F.when(rule.holds(v, path), F.array().cast(BREACHES)).otherwise(told)
+
+    unreadable = F.struct(
+        F.lit("$").alias("path"), F.lit(OBJECT.says).alias("rule"), F.coalesce(kind_of(v), F.lit("NO JSON")).alias("found")
+    )
+    fields = F.flatten(F.array(*[of_field(path, rule) for _, path, rule in contract]))
+    return F.when(_is(v, "$", "OBJECT"), fields).otherwise(F.array(unreadable))
+
+
+BREACHES = "array<struct<path:string,rule:string,found:string>>"
+
+
+def payload_breaches(raw: DataFrame, contract: Contract, keys: list[str], text: str = "completion") -> DataFrame:
+    """(keys, path, rule, found): one row for each broken rule of each payload in `raw`; none for
+    a payload that keeps the contract."""
+    rows = unfold(_loaded(raw, text), keys, breaches(F.col(_JSON), contract), "b")
+    return rows.select(*keys, "b.*")
+
+
 def load_analyses(raw: DataFrame, text: str = "completion") -> DataFrame:
     """`raw` without its text, plus the seven analysis fields and `rejected` (reason or null).
     A broken row counts as not mentioned."""
     v = F.col(_JSON)
-    loaded = _loaded(raw, text).withColumn(
-        "rejected",
-        _reason(
-            [
-                (v.isNotNull() & _is(v, "$", "OBJECT"), "not a JSON object"),
-                (_is(v, "$.brand_mentioned", "BOOLEAN"), "brand_mentioned"),
-                (_is(v, "$.mention_position", "NULL") | _whole(v, "$.mention_position", 0), "mention_position"),
-                (_is(v, "$.mention_context", "NULL", "STRING"), "mention_context"),
-                (_is(v, "$.brand_citation_present", "BOOLEAN"), "brand_citation_present"),
-                (_is(v, "$.sentiment", "NULL") | _one_of(v, "$.sentiment", SENTIMENTS), "sentiment"),
-                (_is_string_list(v, "$.competitors_cited"), "competitors_cited"),
-                (_is_string_list(v, "$.sources_cited"), "sources_cited"),
-            ]
-        ),
-    )
+    loaded = _loaded(raw, text).withColumn("rejected", _reason(v, ANALYSIS))
     ok = F.col("rejected").isNull()
     none = F.array().cast("array<string>")
 
@@ -115,21 +229,7 @@ def load_business(raw: DataFrame, text: str = "completion", domain: str = "domai
     """`raw` without its text, plus the seven business fields and `rejected`. A broken row falls
     back to the domain as brand and French as language."""
     v = F.col(_JSON)
-    loaded = _loaded(raw, text).withColumn(
-        "rejected",
-        _reason(
-            [
-                (v.isNotNull() & _is(v, "$", "OBJECT"), "not a JSON object"),
-                (_is(v, "$.brand_name", "STRING"), "brand_name"),
-                (_is_string_list(v, "$.brand_aliases"), "brand_aliases"),
-                (_is(v, "$.industry", "NULL", "STRING"), "industry"),
-                (_is_string_list(v, "$.services"), "services"),
-                (_is(v, "$.geo_zone", "NULL", "STRING"), "geo_zone"),
-                (_is_string_list(v, "$.detected_competitors"), "detected_competitors"),
-                (_one_of(v, "$.language", LANGUAGES), "language"),
-            ]
-        ),
-    )
+    loaded = _loaded(raw, text).withColumn("rejected", _reason(v, BUSINESS))
     ok = F.col("rejected").isNull()
     none = F.array().cast("array<string>")
     kept = [c for c in raw.columns if c != text]
@@ -150,11 +250,7 @@ def load_queries(raw: DataFrame, text: str = "completion", key: str = "audit_id"
     """(questions, rejected). Questions: (key, position, category, text), numbered through the
     three categories in order. Each category must hold exactly ten."""
     v = F.col(_JSON)
-    rules = [(v.isNotNull() & _is(v, "$", "OBJECT"), "not a JSON object")]
-    for name in QUERY_CATEGORIES:
-        ten = F.coalesce(F.size(_strings(v, f"$.{name}")) == QUERIES_PER_CATEGORY, F.lit(False))
-        rules.append((_is_string_list(v, f"$.{name}") & ten, name))
-    loaded = _loaded(raw, text).withColumn("rejected", _reason(rules))
+    loaded = _loaded(raw, text).withColumn("rejected", _reason(v, QUESTIONS))
 
     def labelled(name):
         return F.transform(
@@ -176,30 +272,7 @@ def load_synthesis(raw: DataFrame, text: str = "completion", key: str = "audit_i
     """(key, verdict, top_competitor, recommendations, rejected). A broken row has no
     recommendations."""
     v = F.col(_JSON)
-    items = F.try_variant_get(v, "$.recommendations", "array<variant>")
-
-    def fits(i):
-        return (
-            _one_of(i, "$.priority", PRIORITIES)
-            & _is(i, "$.category", "STRING")
-            & _is(i, "$.title", "STRING")
-            & _is(i, "$.description", "STRING")
-            & _whole(i, "$.impact_score", 1, 10)
-        )
-
-    low, high = RECOMMENDATIONS
-    loaded = _loaded(raw, text).withColumn(
-        "rejected",
-        _reason(
-            [
-                (v.isNotNull() & _is(v, "$", "OBJECT"), "not a JSON object"),
-                (_is(v, "$.verdict", "STRING"), "verdict"),
-                (_is(v, "$.top_competitor", "NULL", "STRING"), "top_competitor"),
-                (F.coalesce(F.size(items).between(low, high), F.lit(False)), "number of recommendations"),
-                (F.coalesce(F.forall(items, fits), F.lit(False)), "recommendation"),
-            ]
-        ),
-    )
+    loaded = _loaded(raw, text).withColumn("rejected", _reason(v, SYNTHESIS))
     ok = F.col("rejected").isNull()
     return loaded.select(
         key,

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geovis.functions import html as H
-from geovis.functions.core import unfold
+from geovis.functions.core import unfold, whole_json
 from geovis.functions.text import js_trim
 
 _SCRIPT = r"(?is)(<script\b[^>]*>.*?(?:</script\s*>|\z))"
@@ -43,7 +43,7 @@ def raw_blocks(plain: Column) -> Column:
 
 def parsed(blocks: Column) -> Column:
     """array(variant); null marks a block that is no valid JSON."""
-    return F.transform(blocks, lambda b: F.try_parse_json(b))
+    return F.transform(blocks, whole_json)
 
 
 def _at(value: Column, path: str, kind: str) -> Column:
@@ -153,7 +153,7 @@ def summary(objs: Column) -> Column:
 def jsonld_blocks(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """Long table (key, ord, raw, is_valid)."""
     blocks = raw_blocks(H.strip_comments(F.col(html)))
-    return unfold(pages, key, blocks, "raw").withColumn("is_valid", F.try_parse_json("raw").isNotNull())
+    return unfold(pages, key, blocks, "raw").withColumn("is_valid", whole_json(F.col("raw")).isNotNull())
 
 
 def jsonld_objects(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -360,7 +362,8 @@ def rule_analysis(spark, sf) -> DataFrame:
 
 
 def loaded_analyses(spark, sf) -> DataFrame:
-    return _analyses(spark, sf).withColumn("competitors_cited", _text("competitors_cited")).drop("sources_cited", "mention_context")
+    rows = _analyses(spark, sf).withColumn("competitors_cited", _text("competitors_cited"))
+    return rows.withColumn("context_md5", F.md5("mention_context")).drop("sources_cited", "mention_context")
 
 
 def answer_points(spark, sf) -> DataFrame:
@@ -432,13 +435,33 @@ def _synthesis(spark, sf) -> DataFrame:
 
 
 def loaded_synthesis(spark, sf) -> DataFrame:
-    return _synthesis(spark, sf).withColumn("recommendations", F.size("recommendations"))
+    listed = F.transform("recommendations", lambda r: F.concat_ws(":", r.priority, r.category, r.title, r.description, r.impact_score))
+    return _synthesis(spark, sf).withColumn("recommendations", F.array_join(listed, "|"))
 
 
 def recommendation_rows(spark, sf) -> DataFrame:
     return contracts.recommendation_rows(_synthesis(spark, sf))
 
 
+def payload_breaches(spark, sf) -> DataFrame:
+    """Every broken rule of every payload that a model returned, of all six kinds."""
+    from_json = [
+        ("analysis", I.ANALYSIS_SQL, contracts.ANALYSIS, "response_id"),
+        ("business", I.BUSINESS_JSON_SQL, contracts.BUSINESS, "audit_id"),
+        ("questions", I.QUESTION_JSON_SQL, contracts.QUESTIONS, "audit_id"),
+        ("synthesis", I.SYNTHESIS_JSON_SQL, contracts.SYNTHESIS, "audit_id"),
+    ]
+    found = [
+        contracts.payload_breaches(I.derive(spark, sf, sql, "conversations").withColumnRenamed(key, "id"), contract, ["id"])
+        .withColumn("payload", F.lit(name))
+        for name, sql, contract, key in from_json
+    ]
+    for name, sql, contract in (("chat", I.CHAT_SQL, replies.CHAT), ("parts", I.PARTS_SQL, replies.PARTS)):
+        raw = I.derive(spark, sf, sql, "conversations").withColumnRenamed("response_id", "id")
+        found.append(replies.reply_breaches(raw, contract, ["id"]).withColumn("payload", F.lit(name)))
+    return functools.reduce(DataFrame.unionByName, found)
+
+
 def synthesis_input(spark, sf) -> DataFrame:
     business = contracts.load_business(I.derive(spark, sf, I.BUSINESS_JSON_SQL, "conversations"))
     checks = saved(all_checks(spark, sf).withColumnRenamed("site_id", "audit_id"), "checks")
@@ -740,6 +763,7 @@ QUERIES = {
     "stored_answer_ids": stored_answer_ids,
     "loaded_business": loaded_business,
     "loaded_synthesis": loaded_synthesis,
+    "payload_breaches": payload_breaches,
     "recommendation_rows": recommendation_rows,
     "synthesis_input": synthesis_input,
     "audit_records": audit_records,

@@ -8,6 +8,9 @@ means the same in Spark and in DuckDB; the reference queries use the very same t
 
 from __future__ import annotations
 
+import re
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +36,29 @@ def _jsonld(body: str) -> str:
     return f"'<script type=\"application/ld+json\">' || {body} || '</script>'"
 
 
+def escaped(text: str) -> str:
+    """The text as the inside of a JSON string."""
+    back = "chr(92)"
+    out = f"replace({text}, {back}, {back} || {back})"
+    out = f"replace({out}, '\"', {back} || '\"')"
+    for code in range(1, 32):
+        out = f"replace({out}, chr({code}), {back} || 'u{code:04x}')"
+    return out
+
+
+def said(key: str) -> str:
+    """The text of a conversation row, ended by what a careless reader trips over (quotes that close
+    the field, a fence with an object, escapes, rare characters), as the inside of a JSON string."""
+    hostile = _pick(
+        f"{key} % 5",
+        "'\"}], \"choices\": [], \"verdict\": \"'",
+        "chr(10) || '```' || chr(10) || '{\"brand_mentioned\": false}' || chr(10) || '```'",
+        "' ' || chr(92) || '\" ' || chr(92) || 'u0041 ' || chr(92) || chr(92)",
+        "' ☃ 😀\u2028 ' || chr(7) || chr(9)",
+    )
+    return escaped(f"(coalesce(text, '') || {hostile})")
+
+
 _HEAD = " || ".join(
     [
         _pick(
@@ -240,18 +266,18 @@ FROM conversations WHERE turn = 0
 """
 
 # What the analysing model returned for an answer: well formed, fenced, or broken.
-ANALYSIS_SQL = """
+ANALYSIS_SQL = f"""
 SELECT conv_id * 1000 + turn AS response_id,
   CASE (conv_id + turn) % 11
-    WHEN 9 THEN '{"brand_mentioned": "yes"}'
-    WHEN 10 THEN 'no json'
+    WHEN 9 THEN '{{"brand_mentioned": "yes", "sources_cited": ["a", 1, null], "mention_context": ["' || {said('turn')} || '"]}}'
+    WHEN 10 THEN CASE conv_id % 3 WHEN 0 THEN 'no json' WHEN 1 THEN '{{"brand_mentioned": true, "mention_context": "' || coalesce(text, '') || '"}}' ELSE '{{"brand_mentioned": true}} ' || coalesce(text, '') END
     ELSE CASE WHEN conv_id % 3 = 0 THEN '```json' || chr(10) ELSE '' END
-      || '{"brand_mentioned": ' || CASE WHEN (conv_id + turn) % 3 = 0 THEN 'false' ELSE 'true' END
+      || '{{"brand_mentioned": ' || CASE WHEN (conv_id + turn) % 3 = 0 THEN 'false' ELSE 'true' END
       || ', "mention_position": ' || CASE WHEN (conv_id * 7 + turn) % 6 = 5 THEN 'null' WHEN (conv_id + turn) % 23 = 7 THEN '1.5' ELSE CAST((conv_id * 7 + turn) % 6 AS STRING) END
-      || ', "mention_context": null, "brand_citation_present": ' || CASE WHEN (conv_id + turn) % 4 = 0 THEN 'true' ELSE 'false' END
+      || ', "mention_context": "' || {said('conv_id + turn')} || '", "brand_citation_present": ' || CASE WHEN (conv_id + turn) % 4 = 0 THEN 'true' ELSE 'false' END
       || ', "sentiment": ' || CASE (conv_id * 5 + turn) % 5 WHEN 0 THEN 'null' WHEN 1 THEN '"negative"' WHEN 2 THEN '"neutral"' WHEN 3 THEN '"positive"' ELSE CASE WHEN conv_id % 10 = 1 THEN '"great"' ELSE '"positive"' END END
       || ', "competitors_cited": [' || CASE WHEN conv_id % 2 = 0 THEN '" Supplier ' || CAST((conv_id + turn) % 5 AS STRING) || '", "Supplier ' || CAST(turn % 3 AS STRING) || '", "Supplier 0", " "' ELSE '"Supplier ' || CAST(conv_id % 4 AS STRING) || '"' END || ']'
-      || ', "sources_cited": []}' || CASE WHEN conv_id % 3 = 0 THEN chr(10) || '```' ELSE '' END
+      || ', "sources_cited": []}}' || CASE WHEN conv_id % 3 = 0 THEN chr(10) || '```' ELSE '' END
   END AS completion
 FROM conversations WHERE role = 'assistant'
 """
@@ -292,26 +318,26 @@ SELECT page_id AS request_id,
 FROM pages
 """
 
-CHAT_SQL = """
+CHAT_SQL = f"""
 SELECT conv_id * 1000 + turn AS response_id, 'perplexity/sonar' AS model,
   CASE WHEN conv_id % 9 = 8 THEN 503 ELSE 200 END AS status,
-  CASE WHEN conv_id % 9 = 8 THEN 'busy ' || text WHEN conv_id % 9 = 7 THEN '{"choices": []}' ELSE
-  '{"id":"x","model":"m","choices":[{"message":{"role":"assistant","content":"answer ' || CAST(turn AS STRING) || '"'
-  || CASE WHEN conv_id % 4 = 0 THEN ',"annotations":[{"type":"url_citation","url_citation":{"url":"https://a.fr/' || CAST(turn AS STRING) || '","title":"T"}},{"type":"link","url":"https://b.fr"}]' ELSE '' END
-  || '}}],"usage":{"prompt_tokens":' || CAST(length(text) AS STRING) || ',"completion_tokens":' || CAST(turn * 3 AS STRING)
-  || CASE WHEN conv_id % 2 = 0 THEN ',"cost":0.00' || CAST(1 + conv_id % 9 AS STRING) ELSE '' END || '}'
-  || CASE WHEN conv_id % 5 = 0 THEN ',"citations":["https://c.fr","https://d.fr/' || CAST(conv_id AS STRING) || '"]' ELSE '' END || '}' END AS reply
+  CASE WHEN conv_id % 9 = 8 THEN 'busy ' || text WHEN conv_id % 9 = 7 THEN CASE turn % 4 WHEN 1 THEN '{{"choices": []}}' ELSE '{{"choices": [{{"message": {{"content": "' || coalesce(text, '') END ELSE
+  '{{"id":"x","model":"m","choices":[{{"message":{{"role":"assistant","content":"' || {said('conv_id + turn')} || '"'
+  || CASE WHEN conv_id % 4 = 0 THEN ',"annotations":[{{"type":"url_citation","url_citation":{{"url":"https://a.fr/' || CAST(turn AS STRING) || '","title":"T"}}}},{{"type":"link","url":"https://b.fr"}}]' ELSE '' END
+  || '}}}}],"usage":{{"prompt_tokens":' || CAST(length(text) AS STRING) || ',"completion_tokens":' || CASE WHEN conv_id % 7 = 6 THEN '"many"' ELSE CAST(turn * 3 AS STRING) END
+  || CASE WHEN conv_id % 2 = 0 THEN ',"cost":0.00' || CAST(1 + conv_id % 9 AS STRING) ELSE '' END || '}}'
+  || CASE WHEN conv_id % 5 = 0 THEN ',"citations":["https://c.fr","https://d.fr/' || CAST(conv_id AS STRING) || '"]' ELSE '' END || '}}' END AS reply
 FROM conversations WHERE role = 'assistant'
 """
 
-PARTS_SQL = """
+PARTS_SQL = f"""
 SELECT conv_id * 1000 + turn AS response_id,
   CASE WHEN conv_id % 5 = 0 THEN 'google/unlisted' ELSE 'google/gemini-2.5-flash' END AS model,
   CASE WHEN conv_id % 9 = 8 THEN 429 ELSE 200 END AS status,
   CASE WHEN conv_id % 9 = 8 THEN 'slow down' ELSE
-  '{"candidates":[{"content":{"parts":[{"text":"a' || CAST(conv_id AS STRING) || '"},{"text":""},{"text":"b"}]}'
-  || CASE WHEN conv_id % 3 = 0 THEN ',"groundingMetadata":{"groundingChunks":[{"web":{"uri":"https://g.fr/' || CAST(turn AS STRING) || '","title":"G"}},{"web":{"title":"no uri"}},{}]}' ELSE '' END
-  || '}],"usageMetadata":{"promptTokenCount":' || CAST(length(text) AS STRING) || ',"candidatesTokenCount":' || CAST(turn * 5 AS STRING) || '}}' END AS reply
+  '{{"candidates":[{{"content":{{"parts":[{{"text":"' || {said('conv_id + turn')} || '"}},{{"text":""}},{{"text":' || CASE WHEN conv_id % 7 = 6 THEN '["b"]' ELSE '"b"' END || '}}]}}'
+  || CASE WHEN conv_id % 3 = 0 THEN ',"groundingMetadata":{{"groundingChunks":[{{"web":{{"uri":"https://g.fr/' || CAST(turn AS STRING) || '","title":"G"}}}},{{"web":{{"title":"no uri"}}}},{{}}]}}' ELSE '' END
+  || '}}],"usageMetadata":{{"promptTokenCount":' || CAST(length(text) AS STRING) || ',"candidatesTokenCount":' || CAST(turn * 5 AS STRING) || '}}}}' END AS reply
 FROM conversations WHERE role = 'assistant'
 """
 
@@ -323,16 +349,16 @@ def _list(prefix: str, count: int) -> str:
 
 QUESTION_JSON_SQL = f"""
 SELECT conv_id AS audit_id,
-  CASE conv_id % 6 WHEN 5 THEN '{{"branded": []}}' WHEN 4 THEN '{{"branded": {_list("b", 10)}, "service": {_list("s", 9)}, "comparative": {_list("c", 10)}}}'
-  ELSE '{{"branded": {_list("avis", 10)}, "service": {_list("Quel service a Lyon", 10)}, "comparative": ["' || replace(replace(text, chr(10), ' '), '"', ' ') || '", ' || '{_list("mieux que", 9)[1:]}}}' END AS completion
+  CASE conv_id % 6 WHEN 5 THEN '{{"branded": []}}' WHEN 4 THEN '{{"branded": {_list("b", 10)}, "service": {_list("s", 9)}, "comparative": [{_list("c", 9)[1:-1]}, 10]}}'
+  ELSE '{{"branded": {_list("avis", 10)}, "service": {_list("Quel service a Lyon", 10)}, "comparative": ["' || {said('conv_id')} || '", ' || '{_list("mieux que", 9)[1:]}}}' END AS completion
 FROM conversations WHERE turn = 0
 """
 
-BUSINESS_JSON_SQL = """
+BUSINESS_JSON_SQL = f"""
 SELECT conv_id AS audit_id, 'maison' || CAST(conv_id AS STRING) || '.fr' AS domain,
-  CASE conv_id % 5 WHEN 4 THEN '{"brand_name": "X"' WHEN 3 THEN '{"brand_name":"M","brand_aliases":[],"industry":null,"services":[],"geo_zone":null,"detected_competitors":[],"language":"pt"}'
-  ELSE '```' || chr(10) || '{"brand_name":"Maison ' || CAST(conv_id AS STRING) || '","brand_aliases":["La Maison","M' || CAST(conv_id AS STRING) || '"],"industry":' || CASE WHEN conv_id % 2 = 0 THEN 'null' ELSE '"Hotellerie"' END
-    || ',"services":["spa"],"geo_zone":"Lyon","detected_competitors":["Supplier 1"],"language":"en"}' || chr(10) || '```' END AS completion
+  CASE conv_id % 5 WHEN 4 THEN '{{"brand_name": "' || {said('conv_id')} || '"' WHEN 3 THEN '{{"brand_name":"M","brand_aliases":[],"industry":null,"services":[],"geo_zone":null,"detected_competitors":[],"language":"pt"}}'
+  ELSE '```' || chr(10) || '{{"brand_name":"Maison ' || CAST(conv_id AS STRING) || '","brand_aliases":["La Maison","M' || CAST(conv_id AS STRING) || '"],"industry":' || CASE WHEN conv_id % 2 = 0 THEN 'null' ELSE '"' || {said('conv_id')} || '"' END
+    || ',"services":["spa","' || {said('conv_id + 1')} || '"],"geo_zone":"Lyon","detected_competitors":["Supplier 1"],"language":"en"}}' || chr(10) || '```' END AS completion
 FROM conversations WHERE turn = 0
 """
 
@@ -343,11 +369,16 @@ def _recommendations(count: int, impact: str) -> str:
     return ",".join(one.format(p=names[i % 3], i=i, s=impact) for i in range(count))
 
 
+_ADVICE = (
+    "{\"priority\":\"medium\",\"category\":\"content\",\"title\":\"' || "
+    + said("conv_id + 1") + " || '\",\"description\":\"' || " + said("conv_id + 2") + " || '\",\"impact_score\":9}"
+)
+
 SYNTHESIS_JSON_SQL = f"""
 SELECT conv_id AS audit_id,
-  CASE conv_id % 5 WHEN 4 THEN '{{"verdict":"v","top_competitor":null,"recommendations":[{_recommendations(1, "5")}]}}'
-  WHEN 3 THEN '{{"verdict":"v","top_competitor":null,"recommendations":[{_recommendations(5, "11")}]}}'
-  ELSE '{{"verdict":"Verdict ' || CAST(conv_id AS STRING) || '","top_competitor":"Supplier 1","recommendations":[{_recommendations(6, "7")}]}}' END AS completion
+  CASE conv_id % 5 WHEN 4 THEN '{{"verdict":7,"top_competitor":null,"recommendations":[{_recommendations(1, "5")}]}}'
+  WHEN 3 THEN '{{"verdict":"v","top_competitor":null,"recommendations":[{_recommendations(5, "11")},{{"title":"' || {said('conv_id')} || '"}}]}}'
+  ELSE '{{"verdict":"' || {said('conv_id')} || '","top_competitor":"Supplier 1","recommendations":[{_recommendations(6, "7")},{_ADVICE}]}}' END AS completion
 FROM conversations WHERE turn = 0
 """
 
@@ -402,15 +433,22 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(df) if name in TEXT_TABLES else df
 
 
-def tables(spark: SparkSession, sf_dir: str, *names: str) -> None:
-    """Register the given tables as views for the input expressions."""
-    for name in names:
-        read(spark, sf_dir, name).createOrReplaceTempView(name)
+def over_views(spark: SparkSession, sql: str, tables: dict[str, DataFrame]) -> DataFrame:
+    """An input expression over some tables. They are views under names of their own for as long as
+    the expression is read, so that none of the user's views is replaced."""
+    views = {name: f"geovis_{name}_{uuid.uuid4().hex}" for name in tables}
+    for name, df in tables.items():
+        df.createOrReplaceTempView(views[name])
+        sql = re.sub(rf"\bFROM {name}\b", f"FROM {views[name]}", sql)
+    try:
+        return spark.sql(sql)
+    finally:
+        for view in views.values():
+            spark.catalog.dropTempView(view)
 
 
 def derive(spark: SparkSession, sf_dir: str, sql: str, *names: str) -> DataFrame:
-    tables(spark, sf_dir, *names)
-    return spark.sql(sql)
+    return over_views(spark, sql, {name: read(spark, sf_dir, name) for name in names})
 
 
 def sites(spark, sf_dir) -> DataFrame:

@@ -7,8 +7,7 @@ pattern per tag where they use back-references.
 from __future__ import annotations
 
 from geovis.functions import money as M
-from geovis.functions.text import ANSWER_OPENINGS, QUESTION_WORDS
-from geovis.functions.urls import ASSET_SUFFIXES
+from geovis.functions.text import ANSWER_OPENINGS
 from geovis.operators.facts import (
     ADDRESS_WORDS, BLOG_WORDS, LANGUAGE_LINK, LANGUAGE_SWITCH, MAP_EMBED, MAP_LINK, PHONE,
     SOCIAL_PATTERNS, TRAVEL_WORDS,
@@ -18,6 +17,15 @@ from geovis.operators.sitemaps import PRIORITY_PATHS
 from geovis.plans import catalog as K
 from geovis.plans import inputs as I
 
+# Fixed values, stated again here so that a slip in the library's lists shows.
+QUESTION_WORDS = [
+    "qui", "que", "quoi", "quand", "comment", "pourquoi", "combien", "ou", "est-ce", "peut-on", "peut-il", "peut-elle",
+    "what", "how", "why", "when", "where", "who", "which", "can", "do", "does", "is", "are",
+]
+ASSET_SUFFIXES = [
+    "png", "jpg", "jpeg", "gif", "svg", "ico", "webp", "css", "js", "json", "pdf", "xml", "zip", "mp4", "webm", "woff", "woff2",
+]
+
 WS = r"[\s\x0B\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 SEP = WS[:-1] + r""".,;:!?'"()\[\]/\\-]+"""
 ATTRS = r"""(?:=\s*"[^"]*"|=\s*'[^']*'|[^>])*?"""
@@ -563,6 +571,7 @@ analyses AS (SELECT response_id, rejected IS NULL AND {jstr('brand_mentioned')}
   CASE WHEN rejected IS NULL THEN TRY_CAST({jstr('mention_position')} AS INT) END AS mention_position,
   rejected IS NULL AND {jstr('brand_citation_present')} = 'true' AS brand_citation_present,
   CASE WHEN rejected IS NULL THEN {jstr('sentiment')} END AS sentiment,
+  CASE WHEN rejected IS NULL THEN md5({jstr('mention_context')}) END AS context_md5,
   CASE WHEN rejected IS NULL THEN {as_list('competitors_cited')} ELSE [] END AS comp, rejected FROM judged)"""
 RESPONSES = f"""{ANSWERS}, {ANALYSES}, responses AS (SELECT a.*, n.* EXCLUDE (response_id), a.text <> '' AND a.error IS NULL AS analysed FROM answers a JOIN analyses n USING (response_id)),
 pointed AS (SELECT *, CASE WHEN NOT (analysed AND brand_mentioned) THEN 0 WHEN mention_position = 1 AND sentiment = 'positive' THEN 100
@@ -598,7 +607,7 @@ _REC = "CAST(json_extract(j, '$.recommendations') AS JSON[])"
 SYNTHESIS = f"""{loaded(I.SYNTHESIS_JSON_SQL)}, judged AS (SELECT *, {reason([
     (f"{jtype('verdict')} = 'VARCHAR'", 'verdict'), (f"{jtype('top_competitor')} IN ('NULL', 'VARCHAR')", 'top_competitor'),
     (f"len({_REC}) BETWEEN 5 AND 15", 'number of recommendations'),
-    (f"len(list_filter({_REC}, lambda x: NOT (json_extract_string(x, '$.priority') IN ('quick_win', 'medium', 'long_term') AND CAST(json_extract(x, '$.impact_score') AS INT) BETWEEN 1 AND 10))) = 0", 'recommendation')])} AS rejected FROM js_),
+    (f"len(list_filter({_REC}, lambda x: NOT coalesce(json_extract_string(x, '$.priority') IN ('quick_win', 'medium', 'long_term') AND CAST(json_extract(x, '$.impact_score') AS INT) BETWEEN 1 AND 10, false))) = 0", 'recommendation')])} AS rejected FROM js_),
 synthesis AS (SELECT audit_id, CASE WHEN rejected IS NULL THEN {jstr('verdict')} END AS verdict, CASE WHEN rejected IS NULL THEN {jstr('top_competitor')} END AS top_competitor,
   CASE WHEN rejected IS NULL THEN {_REC} ELSE [] END AS recs, rejected FROM judged)"""
 
@@ -655,12 +664,82 @@ def _reply_sql(kind):
         usd = f"CASE WHEN model = 'google/gemini-2.5-flash' THEN (CAST(json_extract_string(j, '{tin}') AS DECIMAL(12,0)) * 0.3 + CAST(json_extract_string(j, '{tout}') AS DECIMAL(12,0)) * 2.5) * 0.000001 ELSE 0 END"
         sources = "array_to_string(list_transform(list_filter(coalesce(CAST(json_extract(j, '$.candidates[0].groundingMetadata.groundingChunks') AS JSON[]), CAST([] AS JSON[])), lambda x: json_extract_string(x, '$.web.uri') IS NOT NULL), lambda x: json_extract_string(x, '$.web.uri') || '=' || coalesce(json_extract_string(x, '$.web.title'), '')), '|')"
     return f"""raw_r AS ({sql}), parsed_r AS (SELECT *, CASE WHEN json_valid(reply) THEN CAST(reply AS JSON) END AS j FROM raw_r),
-errs AS (SELECT *, CASE WHEN status NOT BETWEEN 200 AND 299 THEN 'HTTP ' || status || ': ' || reply {bad} END AS error FROM parsed_r),
-reply_{kind} AS (SELECT response_id, model, CASE WHEN error IS NULL THEN {text} END AS text, CASE WHEN error IS NULL THEN coalesce(CAST(json_extract_string(j, '{tin}') AS INT), 0) ELSE 0 END AS tokens_in,
-  CASE WHEN error IS NULL THEN coalesce(CAST(json_extract_string(j, '{tout}') AS INT), 0) ELSE 0 END AS tokens_out, CASE WHEN error IS NULL THEN CAST({usd} AS DOUBLE) ELSE 0 END AS usd,
+errs AS (SELECT *, CASE WHEN status NOT BETWEEN 200 AND 299 THEN 'HTTP ' || status || ': ' || reply WHEN j IS NULL THEN 'reply is not JSON' {bad} END AS error FROM parsed_r),
+reply_{kind} AS (SELECT response_id, model, CASE WHEN error IS NULL THEN {text} END AS text, CASE WHEN error IS NULL THEN coalesce(TRY_CAST(json_extract_string(j, '{tin}') AS INT), 0) ELSE 0 END AS tokens_in,
+  CASE WHEN error IS NULL THEN coalesce(TRY_CAST(json_extract_string(j, '{tout}') AS INT), 0) ELSE 0 END AS tokens_out, CASE WHEN error IS NULL THEN CAST({usd} AS DOUBLE) ELSE 0 END AS usd,
   CASE WHEN error IS NULL THEN {sources} ELSE '' END AS sources, error FROM errs)"""
 
 
+def _found(value):
+    """Type name of a JSON value."""
+    return f"CASE json_type({value}) WHEN 'VARCHAR' THEN 'STRING' WHEN 'UBIGINT' THEN 'NUMBER' WHEN 'BIGINT' THEN 'NUMBER' WHEN 'DOUBLE' THEN 'NUMBER' ELSE json_type({value}) END"
+
+
+def _broken(payload, source, fields, items):
+    """Rows of all broken rules of the payloads `j` of a query with id: `fields` (path, rule, test of
+    k, its type, and x, the value), `items` (path of a list, path below an item, rule, test)."""
+    none = "coalesce(k, '')"
+    parts = [f"SELECT id, '$' AS path, 'object' AS rule, coalesce({_found('j')}, 'NO JSON') AS found FROM p WHERE coalesce(json_type(j), '') <> 'OBJECT'"]
+    whole = "(SELECT * FROM p WHERE json_type(j) = 'OBJECT')"
+    for path, rule, ok in fields:
+        parts.append(f"SELECT id, '{path}', '{rule}', coalesce(k, 'ABSENT') FROM (SELECT id, x, {_found('x')} AS k FROM (SELECT id, json_extract(j, '{path}') AS x FROM {whole})) WHERE NOT coalesce({ok.replace('kind', none)}, false)")
+    for path, below, rule, ok in items:
+        listed = f"SELECT id, l, unnest(range(CAST(json_array_length(l) AS BIGINT))) AS n FROM (SELECT id, json_extract(j, '{path}') AS l FROM {whole}) WHERE json_type(l) = 'ARRAY'"
+        parts.append(f"SELECT id, '{path}[' || n || ']{below}', '{rule}', coalesce(k, 'ABSENT') FROM (SELECT *, {_found('x')} AS k FROM (SELECT *, json_extract(l, '$[' || n || ']{below}') AS x FROM ({listed}))) WHERE NOT coalesce({ok.replace('kind', none)}, false)")
+    return f"SELECT '{payload}' AS payload, * FROM (WITH p AS ({source}) {' UNION ALL '.join(parts)})"
+
+
+def _payload_breaches():
+    text, text_or_null, listed = "kind = 'STRING'", "kind IN ('STRING', 'NULL')", "kind = 'ARRAY'"
+    flag, count = "kind = 'BOOLEAN'", "json_type(x) = 'UBIGINT' OR kind IN ('NULL', '')"
+    missing = lambda test: f"({test} OR kind = '')"
+    within = lambda *names: "kind = 'STRING' AND json_extract_string(x, '$') IN (" + ", ".join(f"'{n}'" for n in names) + ")"
+    texts = lambda *names: [(f"$.{n}", "", "string", text) for n in names]
+    rows = lambda sql, key: f"WITH {loaded(sql)} SELECT {key} AS id, j FROM js_"
+    ten = "len(CAST(x AS JSON[])) = 10"
+    is_count = "whole number from 0 or null or absent"
+
+    def replies(sql):
+        return f"WITH r AS ({sql}) SELECT response_id AS id, CASE WHEN json_valid(reply) THEN CAST(reply AS JSON) END AS j FROM r WHERE status BETWEEN 200 AND 299"
+
+    def calls(payload, sql):
+        return f"SELECT '{payload}', response_id, 'status', '200 to 299', CAST(status AS VARCHAR) FROM ({sql}) WHERE status NOT BETWEEN 200 AND 299"
+
+    lists = ("branded", "service", "comparative")
+    return " UNION ALL ".join([
+        _broken("analysis", rows(I.ANALYSIS_SQL, "response_id"), [
+            ("$.brand_mentioned", "boolean", flag), ("$.mention_position", "whole number from 0 or null", "json_type(x) = 'UBIGINT' OR kind = 'NULL'"),
+            ("$.mention_context", "string or null", text_or_null), ("$.brand_citation_present", "boolean", flag),
+            ("$.sentiment", "one of positive, neutral, negative or null", f"kind = 'NULL' OR {within('positive', 'neutral', 'negative')}"),
+            ("$.competitors_cited", "list", listed), ("$.sources_cited", "list", listed),
+        ], texts("competitors_cited", "sources_cited")),
+        _broken("business", rows(I.BUSINESS_JSON_SQL, "audit_id"), [
+            ("$.brand_name", "string", text), ("$.brand_aliases", "list", listed), ("$.industry", "string or null", text_or_null), ("$.services", "list", listed),
+            ("$.geo_zone", "string or null", text_or_null), ("$.detected_competitors", "list", listed),
+            ("$.language", "one of fr, en, es, de, it, other", within("fr", "en", "es", "de", "it", "other")),
+        ], texts("brand_aliases", "services", "detected_competitors")),
+        _broken("questions", rows(I.QUESTION_JSON_SQL, "audit_id"), [(f"$.{n}", rule, ok) for n in lists for rule, ok in (("list", listed), ("list of 10", ten))], texts(*lists)),
+        _broken("synthesis", rows(I.SYNTHESIS_JSON_SQL, "audit_id"), [
+            ("$.verdict", "string", text), ("$.top_competitor", "string or null", text_or_null),
+            ("$.recommendations", "list of 5 to 15", "len(CAST(x AS JSON[])) BETWEEN 5 AND 15"), ("$.recommendations", "list or absent", missing(listed)),
+        ], [
+            ("$.recommendations", ".priority", "one of quick_win, medium, long_term", within("quick_win", "medium", "long_term")),
+            *[("$.recommendations", f".{n}", "string", text) for n in ("category", "title", "description")],
+            ("$.recommendations", ".impact_score", "whole number from 1 to 10", "json_type(x) = 'UBIGINT' AND CAST(x AS INT) BETWEEN 1 AND 10"),
+        ]),
+        _broken("chat", replies(I.CHAT_SQL), [
+            ("$.choices", "list of 1 or more", "len(CAST(x AS JSON[])) > 0"), ("$.choices", "list or absent", missing(listed)), ("$.usage.prompt_tokens", is_count, count),
+            ("$.usage.completion_tokens", is_count, count), ("$.usage.cost", "number or null or absent", "kind IN ('NUMBER', 'NULL', '')"), ("$.citations", "list or absent", missing(listed)),
+        ], [("$.choices", ".message", "object", "kind = 'OBJECT'"), ("$.choices", ".message.content", "string or null or absent", missing(text_or_null)), *texts("citations")]),
+        calls("chat", I.CHAT_SQL),
+        _broken("parts", replies(I.PARTS_SQL), [
+            ("$.candidates", "list of 1 or more", "len(CAST(x AS JSON[])) > 0"), ("$.candidates[0].content.parts", "list or absent", missing(listed)),
+            ("$.usageMetadata.promptTokenCount", is_count, count), ("$.usageMetadata.candidatesTokenCount", is_count, count),
+        ], [("$.candidates[0].content.parts", "", "object", "kind = 'OBJECT'"), ("$.candidates[0].content.parts", ".text", "string or null or absent", missing(text_or_null))]),
+        calls("parts", I.PARTS_SQL),
+    ])
+
+
 def _reply_select(kind):
     return f"WITH {_reply_sql(kind)} SELECT response_id, model, text, tokens_in, tokens_out, round(usd, 9) AS cost_usd, round(usd * 0.92, 9) AS cost_eur, sources, error FROM reply_{kind}"
 
@@ -712,7 +791,7 @@ def _euro():
     return f"translate(format('{{:,.2f}}', CAST({amount} AS DOUBLE)), ',.', ' ,') || ' €'"
 
 
-_MONTHS = "[" + ", ".join(q(m) for m in M.MONTHS_FR) + "]"
+_MONTHS = "['janvier', 'février', 'mars', 'avril', 'mai', 'juin', 'juillet', 'août', 'septembre', 'octobre', 'novembre', 'décembre']"
 
 
 def statements() -> dict[str, str]:
@@ -795,7 +874,9 @@ def statements() -> dict[str, str]:
         "stored_question_ids": f"WITH {QUESTIONS}, s AS ({I.CHILD_SQL}) SELECT q.audit_id, q.position, category, s.id AS query_id FROM questions q JOIN s USING (audit_id, position)",
         "stored_answer_ids": "SELECT l_orderkey * 10 + l_linenumber AS query_id, 'openai' AS provider, l_orderkey * 10 + l_linenumber AS response_id FROM lineitem a JOIN (SELECT l_orderkey * 10 + l_linenumber AS k FROM lineitem) b ON b.k = a.l_orderkey * 10 + a.l_linenumber WHERE l_linenumber % 2 = 0",
         "loaded_business": f"WITH {BUSINESS} SELECT * FROM business",
-        "loaded_synthesis": f"WITH {SYNTHESIS} SELECT audit_id, verdict, top_competitor, len(recs) AS recommendations, rejected FROM synthesis",
+        "loaded_synthesis": f"""WITH {SYNTHESIS} SELECT audit_id, verdict, top_competitor, rejected,
+          array_to_string(list_transform(recs, lambda r: {" || ':' || ".join(f"json_extract_string(r, '$.{c}')" for c in ('priority', 'category', 'title', 'description', 'impact_score'))}), '|') AS recommendations FROM synthesis""",
+        "payload_breaches": _payload_breaches(),
         "recommendation_rows": f"""WITH {SYNTHESIS}, u AS (SELECT audit_id, unnest(recs) AS r, generate_subscripts(recs, 1) AS position FROM synthesis)
           SELECT audit_id, position, {', '.join(f"json_extract_string(r, '$.{c}') AS {c}" for c in ('priority', 'category', 'title', 'description'))}, CAST(json_extract_string(r, '$.impact_score') AS INT) AS impact_score FROM u""",
         "synthesis_input": f"""{ALL_CHECKS}, {CATEGORY}, {RESPONSES}, {VISIBILITY}, {RIVALS}, {EVERY}, biz AS (WITH {BUSINESS} SELECT * FROM business),

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,15 +15,9 @@ from geovis.streaming.jobs import (
 
 
 def _view_stream(spark: SparkSession, sf_dir: str, name: str, sql: str) -> DataFrame:
-    """The input expression of a job on a stream of a given table. The view has a name of its own, so
-    that none of the user's is replaced."""
+    """The input expression of a job on a stream of a given table."""
     configure(spark)
-    view = f"geovis_{name}_{uuid.uuid4().hex}"
-    file_stream(spark, f"{sf_dir}/{name}.parquet*").createOrReplaceTempView(view)
-    try:
-        return spark.sql(re.sub(rf"\bFROM {name}\b", f"FROM {view}", sql))
-    finally:
-        spark.catalog.dropTempView(view)
+    return I.over_views(spark, sql, {name: file_stream(spark, f"{sf_dir}/{name}.parquet*")})
 
 
 CAPS = costs.Caps(cap=60.0, warning=20.0, critical=40.0)

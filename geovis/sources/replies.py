@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geovis.functions import money as M
+from geovis.functions.core import unfold, whole_json
 from geovis.functions.text import strip_fences
+from geovis.operators.contracts import BREACHES, NUMBER, OBJECT, TEXT, TEXTS, Contract, breaches, each, list_of, whole
 
 CHAT_REPLY = """struct<
   choices: array<struct<message: struct<content: string, annotations: array<struct<
@@ -20,6 +22,24 @@ PARTS_REPLY = """struct<
     groundingMetadata: struct<groundingChunks: array<struct<web: struct<uri: string, title: string>>>>>>,
   usageMetadata: struct<promptTokenCount: int, candidatesTokenCount: int>>"""
 
+# What a reply is expected to hold. A reply that departs from it is still read as far as it goes;
+# `reply_breaches` tells where it departs.
+_OPTIONAL_TEXT, _OPTIONAL_COUNT = TEXT.or_null().or_absent(), whole(0).or_null().or_absent()
+CHAT: Contract = [
+    ("choices", "$.choices", list_of(1)),
+    ("choice", "$.choices", each((".message", OBJECT), (".message.content", _OPTIONAL_TEXT)).or_absent()),
+    ("tokens in", "$.usage.prompt_tokens", _OPTIONAL_COUNT),
+    ("tokens out", "$.usage.completion_tokens", _OPTIONAL_COUNT),
+    ("cost", "$.usage.cost", NUMBER.or_null().or_absent()),
+    ("citations", "$.citations", TEXTS.or_absent()),
+]
+PARTS: Contract = [
+    ("candidates", "$.candidates", list_of(1)),
+    ("parts", "$.candidates[0].content.parts", each(("", OBJECT), (".text", _OPTIONAL_TEXT)).or_absent()),
+    ("tokens in", "$.usageMetadata.promptTokenCount", _OPTIONAL_COUNT),
+    ("tokens out", "$.usageMetadata.candidatesTokenCount", _OPTIONAL_COUNT),
+]
+
 _SOURCES = "array<struct<url:string,title:string>>"
 
 
@@ -36,13 +56,13 @@ def _finish(df: DataFrame, kept: list[str]) -> DataFrame:
     ).withColumn("cost_eur", M.to_eur(F.col("cost_usd")).cast("decimal(28,14)"))
 
 
-def _http_error():
-    """Message of a failed call from (status, reply)."""
+def _failure():
+    """Message of a failed call or an unreadable reply from (status, reply)."""
     return F.when(
         ~F.coalesce(F.col("status").between(200, 299), F.lit(False)),
         F.concat(F.lit("HTTP "), F.coalesce(F.col("status").cast("string"), F.lit("0")), F.lit(": "),
                  F.coalesce("reply", F.lit(""))),
-    )
+    ).when(whole_json(F.col("reply")).isNull(), "reply is not JSON")
 
 
 def normalize_chat_replies(raw: DataFrame, json_mode: bool = False) -> DataFrame:
@@ -70,7 +90,7 @@ def normalize_chat_replies(raw: DataFrame, json_mode: bool = False) -> DataFrame
     parsed = raw.withColumn("_r", F.from_json("reply", CHAT_REPLY)).withColumn(
         "error",
         F.coalesce(
-            _http_error(),
+            _failure(),
             F.when(F.coalesce(F.size("_r.choices"), F.lit(0)) <= 0, "reply without choices"),
         ),
     )
@@ -112,7 +132,7 @@ def normalize_parts_replies(raw: DataFrame, prices: DataFrame, json_mode: bool =
         raw.withColumn("_r", F.from_json("reply", PARTS_REPLY))
         .withColumn("_native", M.native_model(F.col("model")))
         .join(listed, "_native", "left")
-        .withColumn("error", _http_error())
+        .withColumn("error", _failure())
         .withColumn("_in", F.coalesce("_r.usageMetadata.promptTokenCount", F.lit(0)))
         .withColumn("_out", F.coalesce("_r.usageMetadata.candidatesTokenCount", F.lit(0)))
     )
@@ -129,6 +149,17 @@ def normalize_parts_replies(raw: DataFrame, prices: DataFrame, json_mode: bool =
     )
 
 
+def reply_breaches(raw: DataFrame, contract: Contract, keys: list[str]) -> DataFrame:
+    """(keys, path, rule, found): one row for each broken rule of each reply in `raw` (..., status,
+    reply); a failed call has one row, with its status."""
+    called = F.coalesce(F.col("status").between(200, 299), F.lit(False))
+    status = F.coalesce(F.col("status").cast("string"), F.lit("ABSENT"))
+    failed = F.struct(F.lit("status").alias("path"), F.lit("200 to 299").alias("rule"), status.alias("found"))
+    read = raw.withColumn("_json", F.when(called, whole_json(F.col("reply"))))
+    broken = F.when(called, breaches(F.col("_json"), contract)).otherwise(F.array(failed).cast(BREACHES))
+    return unfold(read, keys, broken, "b").select(*keys, "b.*")
+
+
 def all_answers(*per_provider: DataFrame) -> DataFrame:
     """Answer tables of several providers as one."""
     out = per_provider[0]

@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geovis.functions import urls as U
+from geovis.functions.core import whole_json
 
 
 def read_requests(raw: DataFrame, body: str = "body") -> DataFrame:
     """`raw` without its body, plus url, geo_target and `rejected` (reason or null): the body must
     be JSON with a valid `url`; `geo_target` may be missing or null but else is a text."""
-    value = F.try_parse_json(F.col(body))
+    value = whole_json(F.col(body))
 
     def kind(path):
         return F.schema_of_variant(F.try_variant_get(F.col("_json"), path, "variant"))
