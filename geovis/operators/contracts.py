@@ -11,7 +11,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geovis.functions.core import unfold, whole_json
+from geovis.functions.core import let, unfold, whole_json
 from geovis.functions.text import js_trim, strip_fences
 
 # Allowed names in the contracts.
@@ -26,17 +26,19 @@ RECOMMENDATIONS = (5, 15)
 def kind_of(value: Column, path: str = "$") -> Column:
     """JSON type of a field: OBJECT, ARRAY, STRING, BOOLEAN, NUMBER, NULL, or null if absent."""
     schema = F.schema_of_variant(F.try_variant_get(value, path, "variant"))
-    return (
-        F.when(schema == "VOID", "NULL")
-        .when(schema.startswith("OBJECT"), "OBJECT")
-        .when(schema.startswith("ARRAY"), "ARRAY")
-        .when(schema.isin("STRING", "BOOLEAN"), schema)
-        .when(schema.isNotNull(), "NUMBER")
+    return let(
+        F.regexp_extract(schema, "^[A-Z]+", 0),
+        lambda name: F.when(name.isin("OBJECT", "ARRAY", "STRING", "BOOLEAN"), name).when(name == "VOID", "NULL").when(name.isNotNull(), "NUMBER"),
     )
 
 
+# How the schema of a value of a kind begins.
+_SCHEMAS = {"NULL": "VOID", "NUMBER": "BIGINT|DECIMAL|DOUBLE|FLOAT"}
+
+
 def _is(value: Column, path: str, *kinds: str) -> Column:
-    return F.coalesce(kind_of(value, path).isin(*kinds), F.lit(False))
+    schema = F.schema_of_variant(F.try_variant_get(value, path, "variant"))
+    return F.coalesce(schema.rlike(f"^(?:{'|'.join(_SCHEMAS.get(kind, kind) for kind in kinds)})"), F.lit(False))
 
 
 def _strings(value: Column, path: str) -> Column:
