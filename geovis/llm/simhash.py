@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geovis.llm.common import arrow_schema, cut, id_and_text, map_arrow, record, same_bits, slices, stored
-from geovis.llm.components import components, forest, whole_groups
+from geovis.llm.components import Forest, bounded_groups, components
 
 BITS = 64
 SHINGLE = 4
@@ -42,6 +42,7 @@ MOST_PARTS = 5
 MOST_PROBES = 4096
 VERIFY_COST = 0.05  # of moving a row, for comparing a pair
 BLOCK = 4096
+HELD = 50_000  # rows of buckets in memory at once
 HOT_SHARE = 1000  # a part value of more than 1/1000 of all fingerprints (and a block) is cut
 
 
@@ -220,30 +221,56 @@ def shared_keys(nodes: DataFrame, plan: list[tuple[list[int], int]], n: int) ->
     return {r["key"] % (1 << 64): -(-r["count"] // least) for r in counts}
 
 
-def bucket_links(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """a, b: nodes of a spanning forest of the links of each bucket."""
+class Bucket:
+    """What is stored under a key; `meet` gives the links of some of the rows that probe it. Rows
+    come in slices, so only the stored ones are held."""
+
+    def __init__(self, bits: np.ndarray, node: np.ndarray, radius: int) -> None:
+        self.bits, self.node, self.radius, self.forest = bits, node, radius, Forest()
+
+    def meet(self, bits: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        hits = ((r, np.flatnonzero(np.bitwise_count(bits ^ own) <= self.radius)) for r, own in enumerate(self.bits))
+        found = np.array(self.forest.add(hits, len(bits)), np.int64).reshape(-1, 2)
+        return self.node[found[:, 0]], node[found[:, 1]]
+
+
+def bucket_links(rows: DataFrame, radius: int = RADIUS, held: int = HELD) -> DataFrame:
+    """a, b: nodes of a spanning forest of the links of each bucket. About `held` rows are in memory
+    at once, and the rows stored in one bucket."""
     schema = arrow_schema(a=pa.int64(), b=pa.int64())
 
+    def whole_buckets(key: np.ndarray, probing: np.ndarray, bits: np.ndarray, node: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        sizes = np.diff(np.append(first, len(key)))
+        use = (sizes > 1) & ~probing[first]  # stored rows sort first
+        small = use & (sizes <= 4)
+        for d in range(1, 4):
+            for at in range(0, 4 - d):
+                i = first[small & (sizes > at + d)] + at
+                i = i[~probing[i]]
+                close = (np.bitwise_count(bits[i] ^ bits[i + d]) <= radius) & (node[i] != node[i + d])
+                yield node[i[close]], node[i[close] + d]
+        for start, size in zip(first[use & ~small].tolist(), sizes[use & ~small].tolist(), strict=True):
+            inside = slice(start, start + size)
+            own = slice(start, start + int(np.count_nonzero(~probing[inside])))
+            yield Bucket(bits[own], node[own], radius).meet(bits[inside], node[inside])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches):
+        large, large_key = None, None  # a bucket whose rows are still coming
+        for table, goes_on in bounded_groups(slices(batches, held), 0, 1, held):
             key, probing, bits, node = (c.to_numpy() for c in table.columns)
-            bits = bits.view(np.uint64)
-            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            sizes = np.diff(np.append(first, len(key)))
-            use = (sizes > 1) & ~probing[first]  # stored rows sort first
-            links: list[tuple[np.ndarray, np.ndarray]] = []
-            small = use & (sizes <= 4)
-            for d in range(1, 4):
-                for at in range(0, 4 - d):
-                    i = first[small & (sizes > at + d)] + at
-                    i = i[~probing[i]]
-                    close = (np.bitwise_count(bits[i] ^ bits[i + d]) <= radius) & (node[i] != node[i + d])
-                    links.append((node[i[close]], node[i[close] + d]))
-            for start, size in zip(first[use & ~small].tolist(), sizes[use & ~small].tolist(), strict=True):
-                own, all_bits = slice(start, start + int(np.count_nonzero(~probing[start : start + size]))), bits[start : start + size]
-                hits = ((r, np.flatnonzero(np.bitwise_count(all_bits ^ bits[own.start + r]) <= radius)) for r in range(own.stop - own.start))
-                found = np.array(forest(hits, size), np.int64).reshape(-1, 2) + start
-                links.append((node[found[:, 0]], node[found[:, 1]]))
+            bits, links, begin = bits.view(np.uint64), [], 0
+            if large is not None and key[0] == large_key:
+                begin = int(np.searchsorted(key, large_key, side="right"))
+                links.append(large.meet(bits[:begin], node[:begin]))
+            elif goes_on:
+                own = slice(0, int(np.count_nonzero(~probing)))
+                large, large_key, begin = Bucket(bits[own], node[own], radius), key[0], len(key)
+                links.append(large.meet(bits, node))
+            if not goes_on:
+                large = None
+            if begin < len(key):
+                links += whole_buckets(key[begin:], probing[begin:], bits[begin:], node[begin:])
             a, b = (np.concatenate(x) for x in zip(*links, strict=True))
             differ = a != b
             yield record(schema, a[differ], b[differ])

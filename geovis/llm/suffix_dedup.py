@@ -335,30 +335,6 @@ def long_texts(docs: DataFrame) -> DataFrame:
     return identified(rows).select("_a", "_b", "text")
 
 
-ROWS = "key long, a long, b long, start long, windows int, left_bytes int, fine boolean"
-
-
-def run_rows(docs: DataFrame, hot: np.ndarray) -> DataFrame:
-    """The runs of all texts; runs with a hot key are replaced by their fine blocks."""
-    schema = arrow_schema(key=pa.int64(), a=pa.int64(), b=pa.int64(), start=pa.int64(), windows=pa.int32(), left_bytes=pa.int32(), fine=pa.bool_())
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 400):
-            a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            texts = [t.encode() for t in batch.column(2).to_pylist()]
-            runs = Runs(texts)
-            is_hot = np.isin(runs.key, hot) if len(hot) else np.zeros(len(runs.key), bool)
-            cold = ~is_hot
-            t = runs.text[cold]
-            yield record(schema, runs.key[cold].view(np.int64), a[t], b[t], runs.start[cold], runs.windows[cold].astype(np.int32), runs.left[cold].astype(np.int32), np.zeros(len(t), bool))
-            if is_hot.any():
-                index, start, windows, key = blocks(texts, runs, np.flatnonzero(is_hot))
-                t = runs.text[index]
-                yield record(schema, key.view(np.int64), a[t], b[t], start, windows.astype(np.int32), np.zeros(len(t), np.int32), np.ones(len(t), bool))
-
-    return map_arrow(long_texts(docs), run, ROWS)
-
-
 def packed_place(start: np.ndarray, left: np.ndarray, windows: np.ndarray, fine: bool) -> np.ndarray:
     """A run's place in its text as one number: start, bytes before the anchor, windows, fine."""
     return (start.astype(np.int64) << 17) | (left.astype(np.int64) << 9) | (windows.astype(np.int64) << 1) | int(fine)
@@ -402,7 +378,7 @@ def selected(docs: DataFrame) -> DataFrame:
     counted = stored(repeated(run_rows(docs, np.zeros(0, np.uint64))), "repeated-anchors")
     total = counted.agg(F.sum("n")).first()[0] or 0
     most = max(LEAST_HOT, total // HOT_SHARE)  # so there are at most HOT_SHARE hot keys
-    hot = np.array(sorted(r["key"] % (1 << 64) for r in counted.filter(F.col("n") > most).select("key").collect()), np.uint64)
+    hot = np.sort(counted.filter(F.col("n") > most).select("key").toArrow()["key"].to_numpy().view(np.uint64))
     keys = counted.filter(F.col("n") <= most).select("key")
     rows = run_rows(docs, hot)
     if len(hot):

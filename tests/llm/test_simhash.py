@@ -1,11 +1,12 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
 from geovis.llm import simhash
-from geovis.llm.components import components, forest
+from geovis.llm.components import bounded_groups, components, forest
 
 
 def slow_fingerprint(text):
@@ -112,3 +113,48 @@ def test_components_of_long_paths(spark, documents):
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(rows, "a long, b long")).collect()}
     assert got == {k: 0 for k in range(1, 61)} | {200: 199} | {500 + k: 500 for k in range(1, 50)}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_parts_of_a_large_group_hold_all_that_is_stored():
+    rows = [(k, flag, n) for k in range(6) for n, flag in enumerate([False] * (3 if k == 2 else 1) + [True] * (40 if k in (2, 4) else 2))]
+    batches = pa.Table.from_arrays([pa.array(c) for c in zip(*rows)], ["key", "later", "n"]).to_batches(max_chunksize=2)
+    seen, parts = [], 0
+    for table, goes_on in bounded_groups(iter(batches), 0, 1, 2):
+        keys = table.column(0).to_pylist()
+        seen += zip(*(c.to_pylist() for c in table.columns))
+        parts += goes_on
+        if goes_on:
+            assert len(set(keys)) == 1 and table.num_rows < 10
+            assert table.column(1)[-1].as_py()
+    assert seen == rows and parts > 20
+
+
+@pytest.mark.parametrize("held", [2, 7, 50, 50_000])
+def test_large_buckets_come_in_slices(spark, held):
+    rows, df = cluster(spark, held, True)
+    # Two thirds of all rows probe one key, under which a few are stored.
+    keyed = [(7, k > 30, p - (1 << 64) if p >> 63 else p, k) for k, p in rows.items() if k < 120]
+    keyed += [(k % 9 + 10, k % 3 > 0, p - (1 << 64) if p >> 63 else p, k) for k, p in rows.items()]
+    table = spark.createDataFrame(keyed, "key long, probing boolean, bits long, node long")
+    found = {(r["a"], r["b"]) for r in simhash.bucket_links(table, held=held).collect()}
+    assert all((rows[a] ^ rows[b]).bit_count() <= simhash.RADIUS for a, b in found)
+    joined = lambda pairs: slow_roots(sorted(rows), pairs)
+    expected = [
+        (a, b) for key, probing, bits, a in keyed if not probing for other, _, more, b in keyed
+        if key == other and ((bits ^ more) & ((1 << 64) - 1)).bit_count() <= simhash.RADIUS
+    ]
+    assert joined(found) == joined(expected)
+
+
+def slow_roots(nodes, pairs):
+    root = {n: n for n in nodes}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    return {n: find(n) for n in nodes}
