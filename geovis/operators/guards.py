@@ -161,6 +161,16 @@ def broken(table: str, kind: str, column: str) -> Column:
     return value.isNotNull() & F.col(f"_{column}_parent").isNull()
 
 
+# A task of this many rows holds their keys in some hundred megabytes.
+ROWS_PER_TASK = 1_000_000
+
+
+def by_key(rows: DataFrame, keys: list[str], tasks: int) -> DataFrame:
+    """The rows dealt by key over exactly as many tasks. Partitions of any other shuffle would be merged
+    by their compressed bytes, until one task holds many millions of keys."""
+    return rows.repartition(tasks, *keys)
+
+
 def integrity(tables: dict[str, DataFrame]) -> DataFrame:
     """(table_name, rule, violations) of the stored tables against all rules of schemas.py.
 
@@ -168,19 +178,29 @@ def integrity(tables: dict[str, DataFrame]) -> DataFrame:
     broken rules of a row become numbers, and one aggregate adds them up. Where keys have to be
     unique the same aggregate is grouped by them first; a key that is there more than once is one
     violation. A rule is left out where the table lacks its column or its parent table is not given.
+
+    Joins and groups run in tasks of a bounded number of rows. Only the parents' distinct keys are held,
+    the rows stream past them, so that many rows with one key or none take no more memory.
     """
+    sizes = {table: rows.count() for table, rows in tables.items()}
+    tasks = lambda *names: max(-(-sum(sizes[n] for n in names) // ROWS_PER_TASK), tables[names[0]].sparkSession.sparkContext.defaultParallelism)
     out = None
     for table, rows in tables.items():
         rules = {r: k for r, k in rules_of(table, rows.columns).items() if k[0] != "without parent" or schemas.PARENTS[table, k[1]][0] in tables}
         keys = [k for k in schemas.UNIQUE.get(table, []) if k in rows.columns]
+        dealt = None
         for kind, column in rules.values():
             if kind == "without parent":
                 parent, key = schemas.PARENTS[table, column]
-                known = tables[parent].select(F.col(key).alias(f"_{column}_parent")).filter(F.col(f"_{column}_parent").isNotNull()).distinct()
-                rows = rows.join(known, F.col(column) == F.col(f"_{column}_parent"), "left")
+                held = tables[parent].select(F.col(key).alias(f"_{column}_parent")).filter(F.col(f"_{column}_parent").isNotNull())
+                known = by_key(held, [f"_{column}_parent"], tasks(table, parent)).distinct().hint("shuffle_hash")
+                rows = by_key(rows, [column], tasks(table, parent)).join(known, F.col(column) == F.col(f"_{column}_parent"), "left")
+                dealt = column
         counts = [F.count_if(broken(table, *rule)).alias(f"_r{n}") for n, rule in enumerate(rules.values())]
         names = list(rules)
         if keys and len(keys) == len(schemas.UNIQUE[table]):
+            # Rows that were dealt by one of the keys already lie together.
+            rows = rows if dealt in keys else by_key(rows, keys, tasks(table))
             grouped = rows.groupBy(*keys).agg(F.count("*").alias("_copies"), *counts)
             counts = [F.coalesce(F.sum(f"_r{n}"), F.lit(0)) for n in range(len(names))] + [F.count_if((F.col("_copies") > 1) & ~F.greatest(*[F.col(k).isNull() for k in keys], F.lit(False)))]
             names.append(f"{', '.join(keys)} not unique")

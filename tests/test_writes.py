@@ -94,3 +94,16 @@ def test_each_table_is_scanned_once(spark, tmp_path):
     plan = guards.integrity(tables)._jdf.queryExecution().optimizedPlan().toString()
     # Profiles once for their own rules and once as the parents' keys.
     assert plan.count("Relation [id") == 3
+
+
+def test_no_task_holds_more_keys_than_it_is_dealt(spark, monkeypatch):
+    monkeypatch.setattr(guards, "ROWS_PER_TASK", 100)
+    runs = spark.range(3000).selectExpr("id", "CASE WHEN id % 4 = 0 THEN NULL ELSE id END AS user_id", "'done' AS status", "5 AS progress")
+    profiles = spark.range(0, 6000, 2).selectExpr("id", "CAST(id % 5000 AS STRING) AS email", "'admin' AS role")
+    found = guards.integrity({"profiles": profiles, "audits": runs})
+    got = {(r["table_name"], r["rule"]): r["violations"] for r in found.collect()}
+    assert got["audits", "user_id without parent"] == 1500 and got["profiles", "email not unique"] == 500
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    # Spark may merge the partitions of its own shuffles, and sorts hold all rows of one; neither is left.
+    assert plan.count("REPARTITION_BY_NUM") >= 3 and "SortMergeJoin" not in plan
+    assert "hashpartitioning(user_id" in plan and ", 60), REPARTITION_BY_NUM" in plan
