@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from geovis.functions import html as H
 from geovis.functions import text as T
+from geovis.operators import facts
 from geovis.plans import catalog
 from geovis.plans import inputs as I
 
@@ -59,3 +60,30 @@ def test_checks_read_only_what_they_need(spark, sf):
         found = catalog.QUERIES[name](spark, sf)
         assert not [f for f in found.inputFiles() if "documents" in f]
         assert {every[r["site_id"], r["check_id"]] == (r["status"], r["points_earned"]) for r in found.collect()} == {True}
+
+
+def test_words_and_references_need_no_second_look(spark):
+    chance = random.Random(3)
+    parts = ["&amp;", "&nbsp;", "&#32;", "&#x3000;", "&emsp;", "&ThickSpace;", "&eacute;", "&", "&&lt;", "&bad;", "&#0;", "&amp", " ", "mot", "é", "<p>", "</p>", "\u00a0", ";"]
+    pages = ["".join(chance.choices(parts, k=chance.randint(0, 12))) for _ in range(400)]
+    rows = spark.createDataFrame([(p,) for p in pages], "h string").coalesce(1)
+    whole = T.count_words(T.collapse_space(H.decode_entities(H.strip_tags(F.col("h")))))
+    got = rows.select(H.count_words(F.col("h")).alias("n"), whole.alias("w"), H.decode_entities(F.col("h")).alias("d")).collect()
+    assert [r["n"] for r in got] == [r["w"] for r in got]
+    numbers = {"&#32;": " ", "&#x3000;": "\u3000", "&#0;": H.UNKNOWN_CHARACTER}
+    assert [r["d"] for r in got] == [re.sub(H.REFERENCE, lambda m: numbers.get(m[0], H.ENTITIES.get(m[0], m[0])), p) for p in pages]
+
+
+def test_source_facts_by_plain_texts_are_those_of_the_patterns(spark):
+    chance = random.Random(5)
+    parts = ["google.com/maps", "/embed", "maps.", "goo.gl/maps", "maps.app.goo.gl", "x.com/", "twitter.com/", "TWITTER.com/", "a", " ", "F.A.Q", "faq", "Questions  frequentes", "é", "frequently asked"]
+    pages = ["".join(chance.choices(parts, k=chance.randint(0, 6))) for _ in range(300)]
+    rows = spark.createDataFrame([(p,) for p in pages], "h string").coalesce(1)
+    h = F.col("h")
+    found = facts.source_facts(h, F.lower(h))
+    social = sum((h.rlike(p).cast("int") for p in facts.SOCIAL_PATTERNS), F.lit(0))
+    want = {"map_embed": h.rlike(facts.MAP_EMBED), "map_link": h.rlike(facts.MAP_LINK), "has_faq_words": h.rlike(facts.FAQ), "social_profiles": social}
+    got = rows.select(*[found[n].alias(n) for n in want], *[c.alias(f"want_{n}") for n, c in want.items()]).collect()
+    assert all(r[n] == r[f"want_{n}"] for r in got for n in want) and all(len({r[n] for r in got}) > 1 for n in want)
+    plan = rows.select(*found.values())._jdf.queryExecution().optimizedPlan().toString()
+    assert not [p for p in (facts.MAP_EMBED, facts.MAP_LINK) if p in plan]
